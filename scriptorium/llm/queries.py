@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import format_copies, near_copies
+from scriptorium.llm import encoding, format_copies, near_copies, packing, splitting
 from scriptorium.llm.frames import text_rows
+from scriptorium.session import table, write_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +24,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.find_pairs(text_rows(spark, sf_dir))
 
 
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_chunks(table(spark, sf_dir, "rag_chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).where(F.col("piece_no") == 0).select("chunk_row")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode_column(table(spark, sf_dir, "documents"))
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = write_table(encoding.count_tokens(table(spark, sf_dir, "documents")), "token-counts")
+    return packing.pack(sizes)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_records": p1_records,
         "p4_found": p4_found,
+        "p5_found": p5_found,
+        "p5_pieces": p5_pieces,
+        "p8_ids": p8_ids,
+        "p9_packed": p9_packed,
     }
