@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import encoding, format_copies, near_copies, packing, splitting
+from scriptorium.llm import encoding, format_copies, mojibake, near_copies, packing, splitting
 from scriptorium.llm.frames import text_rows
 from scriptorium.session import table, write_table
 
@@ -41,6 +41,14 @@ def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_words(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restore(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -50,4 +58,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pieces": p5_pieces,
         "p8_ids": p8_ids,
         "p9_packed": p9_packed,
+        "p10_found": p10_found,
+        "p10_restored": p10_restored,
     }
