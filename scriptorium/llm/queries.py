@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import encoding, format_copies, mojibake, near_copies, packing, splitting
+from scriptorium.llm import encoding, format_copies, mojibake, near_copies, packing, residue, splitting
 from scriptorium.llm.frames import text_rows
 from scriptorium.session import table, write_table
 
@@ -20,6 +20,14 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_copies.collapse(text_rows(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(text_rows(spark, sf_dir))
+
+
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.keep_content(text_rows(spark, sf_dir)).select("src_table", "row_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.find_pairs(text_rows(spark, sf_dir))
 
@@ -53,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_records": p1_records,
+        "p2_found": p2_found,
+        "p2_kept": p2_kept,
         "p4_found": p4_found,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
