@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import encoding, format_copies, mojibake, near_copies, packing, residue, splitting
+from scriptorium.llm import encoding, format_copies, history, mojibake, near_copies, neighbours, packing, residue, splitting
 from scriptorium.llm.frames import text_rows
 from scriptorium.session import table, write_table
 
@@ -28,6 +28,10 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.keep_content(text_rows(spark, sf_dir)).select("src_table", "row_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.find_pairs(table(spark, sf_dir, "vector_documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.find_pairs(text_rows(spark, sf_dir))
 
@@ -40,6 +44,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where(F.col("piece_no") == 0).select("chunk_row")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.find_repeats(*(table(spark, sf_dir, name) for name in ("rag_chunks", "document_jobs", "pipeline_runs")))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_column(table(spark, sf_dir, "documents"))
 
@@ -63,9 +71,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_records": p1_records,
         "p2_found": p2_found,
         "p2_kept": p2_kept,
+        "p3_found": p3_found,
         "p4_found": p4_found,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
+        "p6_found": p6_found,
         "p8_ids": p8_ids,
         "p9_packed": p9_packed,
         "p10_found": p10_found,
