@@ -20,6 +20,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,11 +128,15 @@ def restore_single(word: str, true: str, read: str) -> str | None:
     return new if new != word and letters else None
 
 
+@lru_cache(100_000)
+def _looks_garbled(run: str) -> bool:
+    """Whether a run of non-ASCII characters holds UTF-8 sequences read in some other encoding."""
+    return any(_restore_run(run, read) for true, read in TRANSFORMATIONS if true == "utf-8")
+
+
 def _suspicion(text: str) -> int:
     """How many runs of a text look garbled: lost characters, or UTF-8 sequences read otherwise."""
-    return text.count(LOST) + sum(
-        any(_restore_run(run, read) for true, read in TRANSFORMATIONS if true == "utf-8") for run in _RUN.findall(text)
-    )
+    return text.count(LOST) + sum(map(_looks_garbled, _RUN.findall(text)))
 
 
 def _passages(rest: dict[str, list], texts: list[str]) -> dict[str, list]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import encoding, format_copies, history, mojibake, near_copies, neighbours, packing, residue, splitting
+from scriptorium.llm import encoding, format_copies, history, mojibake, near_copies, neighbours, packing, residue, scans, splitting
 from scriptorium.llm.frames import text_rows
 from scriptorium.session import table, write_table
 
@@ -48,6 +48,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.find_repeats(*(table(spark, sf_dir, name) for name in ("rag_chunks", "document_jobs", "pipeline_runs")))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(scans.titled_rows(spark, sf_dir)).select("src_table", "row_id")
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(scans.titled_rows(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_column(table(spark, sf_dir, "documents"))
 
@@ -76,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p6_found": p6_found,
+        "p7_found": p7_found,
+        "p7_repaired": p7_repaired,
         "p8_ids": p8_ids,
         "p9_packed": p9_packed,
         "p10_found": p10_found,
