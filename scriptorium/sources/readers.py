@@ -19,7 +19,10 @@ LARGE_FILE = 50_000_000
 
 
 def scan_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame:
-    """(path, file_name, length, modified, checksum): all files of a suffix, in either case, in all subfolders."""
+    """(path, file_name, length, modified, checksum): all files of a suffix, in either case, in all subfolders.
+
+    Files without a byte are left out, as the file source lists none.
+    """
     glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     return files.select(
