@@ -73,12 +73,14 @@ def read_staged(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(chunks, rejects) of JSON lines; missing fields are empty or 0, malformed lines are kept apart."""
-    rows = spark.read.schema(CHUNKS + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.jsonl").json(path)
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path).where(~T.is_blank(F.col("value")))
+    parsed = F.from_json("value", CHUNKS + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select(parsed.alias("r"), "value").select("r.*", "value")
     good = rows.where("_bad is null").select(
         T.text_of(F.col("chunkId")).alias("chunk_id"), T.text_of(F.col("documentName")).alias("document_name"), F.coalesce("pageNumber", F.lit(0)).alias("page_number"),
         T.text_of(F.col("heading")).alias("heading"), T.text_of(F.col("content")).alias("content"), F.coalesce("characterCount", F.lit(0)).alias("character_count"),
     )
-    return good, rows.where("_bad is not null").select(F.col("_bad").alias("line"))
+    return good, rows.where("_bad is not null").select(F.col("value").alias("line"))
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
