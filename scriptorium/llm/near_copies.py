@@ -100,15 +100,23 @@ def candidate_pairs(reps: DataFrame, order: str | None = None) -> DataFrame:
     reps: (src_table, row_id, prefixes); with `order`, only pairs whose value of that column differs
     are made, the one with the smaller value first.
     """
-    cols = ["src_table", "row_id"] + ([order] if order else [])
-    entries = reps.select(*cols, F.posexplode("prefixes").alias("tree", "prefix"))
+    more = [order] if order else []
+    code = F.pmod(F.crc32(F.encode("src_table", "utf-8")), F.lit(1 << 25))
+    names = write_table(reps.select(code.alias("code"), "src_table").distinct(), "table-codes")  # a row a table
+    entries = reps.select("row_id", *more, code.alias("code"), F.posexplode("prefixes").alias("tree", "prefix")).select(
+        # one number orders the tries: table, tree, prefix
+        (F.shiftleft(F.col("code") * 64 + F.col("tree"), 32) + F.col("prefix").cast("long") + (1 << 31)).alias("key"),
+        "row_id",
+        *more,
+    )
     left = entries.withColumnRenamed("row_id", "a")
     right = entries.withColumnRenamed("row_id", "b")
     rule = F.col("a") < F.col("b")
     if order:
         left, right = left.withColumnRenamed(order, "_oa"), right.withColumnRenamed(order, "_ob")
         rule = F.col("_oa") < F.col("_ob")
-    return left.join(right, ["src_table", "tree", "prefix"]).where(rule).select("src_table", "a", "b").distinct()
+    met = left.join(right, "key").where(rule).select(F.shiftright("key", 38).alias("code"), "a", "b").distinct()
+    return met.join(names, "code").select("src_table", "a", "b")
 
 
 def _sketch_batch(batch) -> dict[str, object]:
