@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import textcore as core
 from scriptorium.llm.frames import map_batches, map_text
+from scriptorium.operators.components import connected_components
 from scriptorium.operators.skew import join_groups
 from scriptorium.session import write_table
 
@@ -101,7 +102,7 @@ def candidate_pairs(reps: DataFrame, order: str | None = None) -> DataFrame:
     are made, the one with the smaller value first.
     """
     more = [order] if order else []
-    code = F.pmod(F.crc32(F.encode("src_table", "utf-8")), F.lit(1 << 25))
+    code = F.pmod(F.hash("src_table"), F.lit(1 << 25)).cast("long")
     names = write_table(reps.select(code.alias("code"), "src_table").distinct(), "table-codes")  # a row a table
     entries = reps.select("row_id", *more, code.alias("code"), F.posexplode("prefixes").alias("tree", "prefix")).select(
         # one number orders the tries: table, tree, prefix
@@ -220,3 +221,28 @@ def find_pairs(rows: DataFrame) -> DataFrame:
         .join(right, ["src_table", "b"])
         .select("src_table", F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))
     )
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """(src_table, row_id, group_id, links): every row with its group's smallest key and its number of similar rows.
+
+    A group holds what is connected by similarity or by equal words; a row alone is its own group.
+    """
+    signed = signatures(rows)
+    classes = write_table(classes_of(signed), "near-classes")
+    links = write_table(_without_copies(class_links(rows, signed, classes), signed), "near-pairs")
+    connected = write_table(connected_components(links, "src_table", "a", "b"), "near-groups").withColumnRenamed("node", "rep")
+    sizes = classes.select("src_table", "rep", "n_rows")
+    ends = links.select("src_table", F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(
+        links.select("src_table", F.col("b").alias("rep"), F.col("a").alias("other"))
+    )
+    degree = (
+        ends.join(sizes.toDF("src_table", "other", "n"), ["src_table", "other"]).groupBy("src_table", "rep").agg(F.sum("n").alias("links"))
+    )
+    known = classes.join(connected, ["src_table", "rep"], "left").join(degree, ["src_table", "rep"], "left")
+    member = join_groups(signed.select(*CLASS, "row_id"), known.select(*CLASS, "rep", "n_rows", "component", "links"), CLASS, "n_rows")
+    found = member.select(
+        "src_table", "row_id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")
+    )
+    alone = rows.select("src_table", "row_id").join(signed.select("src_table", "row_id"), ["src_table", "row_id"], "left_anti")
+    return found.unionByName(alone.select("src_table", "row_id", F.col("row_id").alias("group_id"), F.lit(0).cast("long").alias("links")))

@@ -36,6 +36,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.find_pairs(text_rows(spark, sf_dir))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.groups(text_rows(spark, sf_dir))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf_dir, "rag_chunks"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_kept": p2_kept,
         "p3_found": p3_found,
         "p4_found": p4_found,
+        "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p6_found": p6_found,
