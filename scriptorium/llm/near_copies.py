@@ -117,7 +117,8 @@ def candidate_pairs(reps: DataFrame, order: str | None = None) -> DataFrame:
         left, right = left.withColumnRenamed(order, "_oa"), right.withColumnRenamed(order, "_ob")
         rule = F.col("_oa") < F.col("_ob")
     met = left.join(right, "key").where(rule).select(F.shiftright("key", 38).alias("code"), "a", "b").distinct()
-    return met.join(names, "code").select("src_table", "a", "b")
+    # a left join, as an inner one would filter one side of the self-join and keep it from sharing its shuffle
+    return met.join(names, "code", "left").select("src_table", "a", "b")
 
 
 def _sketch_batch(batch) -> dict[str, object]:
