@@ -79,7 +79,7 @@ def _exact_key(text: str) -> str:
 
 def find_copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(src_table, row_a, row_b): each copy `row_b` with the smallest key `row_a` among its copies."""
-    keys = write_table(_class_keys(copy_keys(rows, min_words)), "copy-keys")
+    keys = write_table(_class_keys(write_table(copy_keys(rows, min_words), "copy-hashes")), "copy-keys")
     groups = (
         keys.groupBy("src_table", "c1", "c2")
         .agg(F.min("row_id").alias("row_a"), F.count("*").alias("n"))
