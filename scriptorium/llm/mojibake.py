@@ -11,7 +11,7 @@
    characters are restored by their aligned twins.
 
 Null, empty and pure ASCII texts are never garbled. A document is reported once; what can't be
-restored stays as it is. Words shared by any number of documents are handled once.
+restored stays as it is, among that texts garbled twice by way of Greek or Cyrillic letters. Words shared by any number of documents are handled once.
 """
 
 from __future__ import annotations
