@@ -189,6 +189,38 @@ kinds AS (SELECT *, {_KIND} AS kind FROM lines)"""
 _STAGED = """staged AS (SELECT 'doc_' || doc_id AS document_name, '# Document: doc_' || doc_id || chr(10) || '> Source: doc_' || doc_id || chr(10)
   || '> Total Pages: 1' || chr(10) || chr(10) || '## Page 1' || chr(10) || chr(10) || coalesce(text, '') AS text FROM documents)"""
 
+_WHITE = r"[\t-\r\x1c-\x1f \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]"
+
+
+def _chunked() -> str:
+    """CTEs down to `chunks`: one step of the recursion takes the next line of every document."""
+    mark, title = r"(?i)^##\s+Page\s+(\d+)", r"^###?\s+(.+)$"
+    filled = f"{trim('buffer')} <> ''"
+    tail = trim(f"regexp_extract(right(grown, 150), '(?s){_WHITE}.*$')")
+    return f"""WITH RECURSIVE {_STAGED},
+split AS (SELECT document_name, string_split_regex(regexp_replace(text, '(\\r\\n|\\r|\\n)$', ''), '\\r\\n|\\r|\\n') AS parts FROM staged),
+lines AS (SELECT document_name, unnest(generate_series(0, len(parts) - 1)) AS i, unnest(parts) AS x FROM split),
+fold AS (
+  SELECT document_name, 0::BIGINT AS i, 1 AS page, 'General' AS heading, '' AS buffer, 0 AS n,
+    NULL::VARCHAR AS e_content, NULL::INT AS e_page, NULL::VARCHAR AS e_heading, NULL::INT AS e_size FROM split
+  UNION ALL
+  SELECT document_name, i + 1,
+    CASE WHEN marked THEN regexp_extract(x, '{mark}', 1)::INT ELSE page END,
+    new_heading,
+    CASE WHEN marked THEN (CASE WHEN closes THEN '' ELSE buffer END) WHEN closes THEN (CASE WHEN {tail} <> '' THEN {tail} || ' ' ELSE '' END) ELSE grown END,
+    n + closes::INT,
+    CASE WHEN closes THEN {trim("CASE WHEN marked THEN buffer ELSE grown END")} END,
+    CASE WHEN closes THEN page END, CASE WHEN closes THEN new_heading END,
+    CASE WHEN closes THEN length(CASE WHEN marked THEN buffer ELSE grown END)::INT END
+  FROM (SELECT *, CASE WHEN marked THEN {filled} ELSE length(grown) >= 1200 END AS closes,
+      CASE WHEN NOT marked AND regexp_matches(x, '{title}') THEN {trim(f"regexp_extract(x, '{title}', 1)")} ELSE heading END AS new_heading
+    FROM (SELECT f.*, l.x, regexp_matches(l.x, '{mark}') AS marked, f.buffer || l.x || chr(10) AS grown
+      FROM fold f JOIN lines l ON l.document_name = f.document_name AND l.i = f.i))
+),
+emitted AS (SELECT document_name, n - 1 AS k, e_page AS page_number, e_heading AS heading, e_content AS content, e_size AS character_count FROM fold WHERE e_size IS NOT NULL
+  UNION ALL SELECT document_name, n, page, heading, {trim("buffer")}, length(buffer)::INT FROM fold JOIN split USING (document_name) WHERE i = len(parts) AND {filled}),
+chunks AS (SELECT document_name || '_chunk_' || k AS chunk_id, document_name, page_number, heading, content, character_count FROM emitted)"""
+
 
 def oracle_sql() -> dict[str, str]:
     h = content_hash("content")
@@ -248,6 +280,11 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN mark = '' AND regexp_matches(line, '^###?\\s+.+$') THEN {trim("regexp_extract(line, '^###?\\s+(.+)$', 1)")} END AS t FROM marks)
             SELECT document_name, line_no, coalesce(last_value(p IGNORE NULLS) OVER w, 1) AS page, coalesce(last_value(t IGNORE NULLS) OVER w, 'General') AS heading
             FROM known WINDOW w AS (PARTITION BY document_name ORDER BY line_no ROWS UNBOUNDED PRECEDING)""",
+        "chunk_fold": f"{_chunked()} SELECT * FROM chunks",
+        "chunk_summary": f"{_chunked()} SELECT count(DISTINCT document_name) AS files, count(*) AS chunks FROM chunks",
+        "vector_rows": f"""WITH r AS (SELECT chunk_row AS vec_row, {h} AS id, {source()} AS s, row_number() OVER w AS k,
+            array_to_string(list_sort(list_distinct(list({source()}) OVER w)), '; ') AS sources FROM rag_chunks WINDOW w AS (PARTITION BY {h} ORDER BY {_FIRST}))
+            SELECT vec_row, id, sources, k > 1 AS deduplicated, 128 AS dimensions FROM r""",
         "clean_content": f"SELECT chunk_row, {clean('content')} AS clean FROM rag_chunks",
         "strip_outline": f"SELECT chunk_row, {strip('content')} AS stripped FROM rag_chunks",
         "small_talk": f"""SELECT request_id, NOT {blank("query_text")} AND {form} IN ({talk}) AS conversational,
