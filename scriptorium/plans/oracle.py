@@ -222,6 +222,50 @@ emitted AS (SELECT document_name, n - 1 AS k, e_page AS page_number, e_heading A
 chunks AS (SELECT document_name || '_chunk_' || k AS chunk_id, document_name, page_number, heading, content, character_count FROM emitted)"""
 
 
+def _steps(key: str, value: str, first: str, then: str) -> str:
+    """CTEs down to `steps`: the events of each key in order, one step of the recursion an event.
+
+    `first` and `then` give the columns of a step, from the event (ms, value) and the step before (p).
+    """
+    return f"""WITH RECURSIVE events_ AS (SELECT request_id, CASE WHEN {blank(key)} THEN 'anonymous' ELSE {key} END AS key, epoch_us(ts) // 1000 AS ms, {value} AS value
+  FROM query_log WHERE ts IS NOT NULL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, request_id) AS i FROM events_),
+steps AS (SELECT o.request_id, o.key, o.i, o.ms, {first} FROM ordered o WHERE o.i = 1
+  UNION ALL SELECT o.request_id, o.key, o.i, o.ms, {then} FROM steps p JOIN ordered o ON o.key = p.key AND o.i = p.i + 1)"""
+
+
+def _bucket() -> str:
+    room = "least(30.0::DOUBLE, p.tokens + (o.ms - p.ms) / 1000.0::DOUBLE)"
+    return _steps("client_key", "NULL", "true AS allowed, 29.0::DOUBLE AS tokens", f"{room} >= 1, CASE WHEN {room} >= 1 THEN {room} - 1 ELSE {room} END")
+
+
+def _cache() -> str:
+    key = f"('rag:answer:' || substr(sha256(lower({trim('coalesce(query_text, chr(32))')}) || ':' || coalesce(top_k, 5)), 1, 16))"
+    hit = "o.ms <= p.expires"
+    return _steps(key, "NULL", "false AS hit, o.ms + 900000 AS expires", f"{hit}, CASE WHEN {hit} THEN p.expires ELSE o.ms + 900000 END")
+
+
+def _flights() -> str:
+    normal = f"regexp_replace({trim('coalesce(query_text, chr(32))')}, '{_SPACE}+', ' ', 'g')"
+    ends = "o.ms + greatest(0.0::DOUBLE, coalesce(o.value, 0.0::DOUBLE))"
+    shared = "o.ms < p.ends"
+    return _steps(f"(lower({normal}) || ':' || coalesce(top_k, 5))", "latency_ms", f"false AS shared, {ends} AS ends", f"{shared}, CASE WHEN {shared} THEN p.ends ELSE {ends} END")
+
+
+def _breaker() -> str:
+    failed = f"coalesce(upper({trim('outcome')}), 'UNKNOWN') <> 'SUCCESS'"
+    waits = "(p.state = 'OPEN' AND o.ms - p.since < 5000)"
+    trial = "(p.state = 'HALF_OPEN' OR p.state = 'OPEN')"
+    ring = "list_slice(list_append(p.ring, o.value), -20, -1)"
+    trips = f"(o.value AND (CASE WHEN {trial} THEN true ELSE len({ring}) >= 10 AND len(list_filter({ring}, lambda x: x)) / len({ring}) >= 0.5 END))"
+    state = f"CASE WHEN {waits} THEN p.state WHEN {trips} THEN 'OPEN' WHEN {trial} THEN 'CLOSED' ELSE p.state END"
+    since = f"CASE WHEN {waits} THEN p.since WHEN {trips} OR {trial} THEN o.ms ELSE p.since END"
+    kept = f"CASE WHEN {waits} THEN p.ring WHEN {trial} AND NOT o.value THEN [] ELSE {ring} END"
+    return _steps(
+        "client_key", failed, "true AS allowed, 'CLOSED' AS state, 0::BIGINT AS since, [o.value] AS ring", f"NOT {waits}, {state}, {since}, {kept}"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     h = content_hash("content")
     form = f"regexp_replace(regexp_replace(lower({trim('coalesce(query_text, chr(32))')}), '[^a-z \\t\\n\\x0B\\f\\r]', '', 'g'), '{_SPACE}+', ' ', 'g')"
@@ -335,6 +379,12 @@ def oracle_sql() -> dict[str, str]:
         "first_token": "SELECT count(first_token_ms) AS samples, round(coalesce(avg(first_token_ms), 0), 2) AS mean_first_token_ms FROM query_log",
         "recent_failures": f"""SELECT request_id, count(*) OVER w AS calls, round(avg(({outcome} <> 'SUCCESS')::INT) OVER w, 6) AS failure_rate FROM query_log
             WINDOW w AS (PARTITION BY client_key ORDER BY ts NULLS FIRST, request_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+        "token_bucket": f"{_bucket()} SELECT request_id, key, allowed, round(tokens, 6) AS tokens FROM steps",
+        "circuit_breaker": f"{_breaker()} SELECT request_id, key, allowed, state FROM steps",
+        "ttl_cache": f"{_cache()} SELECT request_id, key, hit, expires::DOUBLE AS expires_ms FROM steps",
+        "coalesced_requests": f"{_flights()} SELECT request_id, key, shared, ends::DOUBLE AS ends_ms FROM steps",
+        "cache_hit_rate": f"""{_cache()} SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses,
+            coalesce(round(count(*) FILTER (hit) * 100.0 / nullif(count(*), 0), 2), 0)::DOUBLE AS hit_rate FROM steps""",
         "event_last_samples": """WITH e AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20)
             SELECT user_id, count(*) AS events, round(avg((event_type = 'error')::INT), 6) AS error_rate FROM e GROUP BY user_id""",
     }
