@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_SIZE, OVERLAP = 1200, 150
-_PAGE = re.compile(r"^##\s+Page\s+(\d+)", re.IGNORECASE)
-_HEADING = re.compile(r"^###?\s+(.+)$")
+_PAGE = re.compile(r"^##\s+Page\s+(\d+)", re.IGNORECASE | re.ASCII)
+_HEADING = re.compile(r"^###?\s+(.+)$", re.ASCII)
 _ENDS = re.compile(r"\r\n|\r|\n")
 _CONTROL = "".join(map(chr, range(33)))
 _NO_BREAK = "\x85\xa0\u2007\u202f"  # no white space in the sense of the overlap

@@ -99,16 +99,16 @@ def page_markdown(text: str | None) -> str:
 
     for raw in re.split(r"\r?\n", text or ""):
         line = raw.strip(T.TRIMMED)
-        cells = re.split(WIDE_GAP, line)
+        cells = re.split(WIDE_GAP, line, flags=re.ASCII)
         if line and len(cells) >= 2 and len(line) > 10:
             rows.append(cells)
             continue
         close()
-        if m := re.match(LEGAL, line):
+        if m := re.match(LEGAL, line, re.ASCII):
             out.append(f"### {m[1]} {m[3]}")
-        elif m := re.match(NUMBERED, line):
+        elif m := re.match(NUMBERED, line, re.ASCII):
             out.append(f"{m[1]} {m[2]}")
-        elif m := re.match(BULLET, line):
+        elif m := re.match(BULLET, line, re.ASCII):
             out.append(f"- {m[1]}")
         elif 5 <= len(line) <= 80 and line[-1] not in ".,;" and (
             (line.upper() == line and re.search("[A-Z]", line)) or line.startswith(HEADER_WORDS)

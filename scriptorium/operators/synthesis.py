@@ -45,15 +45,15 @@ def paragraphs(text: str | None) -> list[str]:
 def salient_sentences(text: str, keywords: list[str], most: int = 3) -> list[str]:
     """The first sentences that hold a keyword and are no noise, closed with a full stop."""
     out = []
-    for part in re.split(r"(?<=[.!?\n])\s+", text):
-        s = re.sub(r"\s+", " ", part).strip(T.TRIMMED)
+    for part in re.split(r"(?<=[.!?\n])\s+", text, flags=re.ASCII):
+        s = re.sub(r"\s+", " ", part, flags=re.ASCII).strip(T.TRIMMED)
         low = s.lower()
         if len(s) < 25 or s.startswith(NOISE_STARTS) or low.startswith(NOISE_STARTS_ANY_CASE):
             continue
         if any(x in s for x in NOISE_PARTS) or any(x in low for x in NOISE_PARTS_ANY_CASE):
             continue
         for prefix in OUTLINE_PREFIXES:
-            s = re.sub(prefix, "", s)
+            s = re.sub(prefix, "", s, flags=re.ASCII)
         s = s.strip(T.TRIMMED)
         if len(s) >= 20 and any(k in s.lower() for k in keywords):
             out.append(s if s.endswith((".", "!", "?")) else s + ".")
@@ -68,10 +68,10 @@ def definition(line: str) -> tuple[str, str] | None:
         return None
     first, _, rest = _split_once(line)
     term = re.sub(r"[*#_`~⮚✓➢❖■➔()]+", "", first)
-    term = re.sub(r"^\s*\d+(\.\d+)*[:.)-]\s*", "", term).strip(T.TRIMMED)
+    term = re.sub(r"^\s*\d+(\.\d+)*[:.)-]\s*", "", term, flags=re.ASCII).strip(T.TRIMMED)
     meaning = re.sub(r"^[:–-]\s*", "", rest).strip(T.TRIMMED)
     sized = len(re.sub("[^a-zA-Z0-9]", "", term)) >= 2 and len(term) <= 50 and len(meaning) >= 12
-    return (term, meaning) if sized and "," not in term and len(re.split(r"\s+", term)) <= 5 else None
+    return (term, meaning) if sized and "," not in term and len(re.split(r"\s+", term, flags=re.ASCII)) <= 5 else None
 
 
 def _split_once(line: str) -> tuple[str, str, str]:
@@ -81,7 +81,7 @@ def _split_once(line: str) -> tuple[str, str, str]:
 
 def _python_outline(text: str) -> str:
     for pattern in T.OUTLINE_PATTERNS:
-        text = re.sub(pattern, "", text)
+        text = re.sub(pattern, "", text, flags=re.ASCII)
     return text.strip(T.TRIMMED)
 
 

@@ -7,6 +7,7 @@ import re
 from scriptorium.functions import text as T
 from scriptorium.functions.predicates import ASKS_FOR_CODE, ASKS_FOR_RESUME, CODE_MARKS, INDEX_MARKS, NOTICE_MARKS
 from scriptorium.functions.vector import embed
+from scriptorium.operators.synthesis import NOISE_PARTS, NOISE_PARTS_ANY_CASE, NOISE_STARTS, NOISE_STARTS_ANY_CASE, OUTLINE_PREFIXES
 
 PHRASE = "medical certificate of the insurer"
 SECOND = "grievance panel earned leave price schedule"
@@ -266,6 +267,22 @@ def _breaker() -> str:
     )
 
 
+def _salient() -> str:
+    def starts(c: str, marks: tuple[str, ...]) -> str:
+        return "(" + " OR ".join(f"starts_with({c}, {_q(m)})" for m in marks) + ")"
+
+    bare = "s"
+    for prefix in OUTLINE_PREFIXES:
+        bare = f"regexp_replace({bare}, {_q(prefix)}, '')"
+    return f"""WITH parts AS (SELECT chunk_row, string_split(regexp_replace(coalesce(content, ''), '([.!?\\n]){_SPACE}+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM rag_chunks),
+u AS (SELECT chunk_row, unnest(generate_series(1, len(p))) AS i, {trim(f"regexp_replace(unnest(p), '{_SPACE}+', ' ', 'g')")} AS s FROM parts),
+good AS (SELECT chunk_row, i, {trim(bare)} AS s FROM u WHERE length(s) >= 25 AND NOT {starts("s", NOISE_STARTS)} AND NOT {starts("lower(s)", NOISE_STARTS_ANY_CASE)}
+  AND NOT {any_of("s", NOISE_PARTS)} AND NOT {any_of("lower(s)", NOISE_PARTS_ANY_CASE)}),
+kept AS (SELECT chunk_row, row_number() OVER (PARTITION BY chunk_row ORDER BY i)::INT - 1 AS sentence_no,
+  CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END AS sentence FROM good WHERE length(s) >= 20 AND {any_of("lower(s)", tuple(words(PHRASE)))})
+SELECT * FROM kept WHERE sentence_no < 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     h = content_hash("content")
     form = f"regexp_replace(regexp_replace(lower({trim('coalesce(query_text, chr(32))')}), '[^a-z \\t\\n\\x0B\\f\\r]', '', 'g'), '{_SPACE}+', ' ', 'g')"
@@ -331,6 +348,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT vec_row, id, sources, k > 1 AS deduplicated, 128 AS dimensions FROM r""",
         "clean_content": f"SELECT chunk_row, {clean('content')} AS clean FROM rag_chunks",
         "strip_outline": f"SELECT chunk_row, {strip('content')} AS stripped FROM rag_chunks",
+        "salient_sentences": _salient(),
         "small_talk": f"""SELECT request_id, NOT {blank("query_text")} AND {form} IN ({talk}) AS conversational,
             CASE WHEN {form} IN ({", ".join(_q(w) for w in T.GREETINGS)}) THEN {_q(T.REPLIES["greeting"])}
             WHEN {form} IN ({", ".join(_q(w) for w in T.ABOUT_ME)}) THEN {_q(T.REPLIES["about"])}
