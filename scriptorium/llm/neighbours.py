@@ -34,11 +34,11 @@ from scriptorium.session import write_table
 DIM = 128
 DIMS = 8
 K = 5
-LEAF = 1024
+LEAF = 2048
 SAMPLE = 50_000  # rows the upper tree levels are fitted on, at most; every row is indexed
 MOST_CELLS = 4096
 MISS_PROBABILITY = 0.002
-TARGET = 0.995
+TARGET = 0.999
 TYPICAL = 0.95
 MOST_TREES = 24
 SPARE = 3  # neighbours kept beside K until the exact cosines are known
