@@ -5,7 +5,9 @@
    corpus writes with the hyphen inside lines.
 2. The frequencies of all words of the corpus form a lexicon. A symmetric-delete index (all strings
    that arise by deleting up to two characters) joins rare words with frequent ones; a weighted edit
-   distance, cheap for shapes that scanners confuse, decides between them, ties by frequency.
+   distance, cheap for shapes that scanners confuse, decides between them, ties by frequency. A text
+   counts once, however often it was delivered, or with its copies if only these show the ratio. Words with a digit or a dagger between letters are
+   misread near-certainly: they stand for any word of the corpus that the confusions lead to.
 3. Lines are joined to paragraphs.
 
 Null, empty and blank texts are no cases. Line ends alone aren't noise. The lexicon, the index and
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,7 @@ _COMPOUND = re.compile(r"(?<!\w)[^\W\d_]++(?:-[^\W\d_]++)+")
 _TOKEN = re.compile(r"[^\s,.;:\"“”„«»?–—/\[\]{}<>*#=+|\\_~^%&-]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _CODE = re.compile(r"[A-Z].*\d|\d.*[A-Z]|^[A-Z]{1,4}\d|\d{2,}")
+_INSIDE = re.compile(r"[^\W\d_][015689†ɑƒ]+[^\W\d_]")
 _SPECIAL = set("0156789(†ɑſƒíìıﬁﬂﬀ|!@$")
 #: Running lines: forms of page numbers, and of marks on every page.
 _PAGE = re.compile(
@@ -127,21 +131,37 @@ def _words_of(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
     """Counts of words (and of hyphenated compounds) in a batch."""
     forms = _forms.setdefault("all", _Forms(lambda w: 2 < len(w) <= 40))
     counts: Counter[str] = Counter()
-    for text, title in zip(texts, rest["document_name"]):
+    shares: Counter[str] = Counter()
+    for text, title, copies in zip(texts, rest["document_name"], rest["copies"]):
         lines, _ = clean_lines(text, title or "")
         whole = "\n".join(lines)
         words = set(_COMPOUND.findall(whole)) if "-" in whole else set()
         joined = _BREAK.sub(lambda m: m.group(1), whole) if _LINE_HYPHEN.search(whole) else whole
         words.update(_TOKEN.findall(joined))
-        counts.update({forms[w] for w in words})
+        own = {forms[w] for w in words}
+        counts.update(own)
+        if copies:
+            for word in own:
+                shares[word] += 1 / copies - 1
     counts.pop("", None)
-    return {"word": list(counts), "df": list(counts.values())}
+    return {"word": list(counts), "df": [n + shares[w] for w, n in counts.items()], "n": list(counts.values())}
+
+
+def copied_rows(rows: DataFrame) -> DataFrame:
+    """(src_table, row_id, copies): the rows whose letters and digits occur in other rows too, with the number of these rows."""
+    folded = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
+    hashed = write_table(rows.select("src_table", "row_id", F.xxhash64(folded).alias("h")), "scan-hashes")
+    sizes = hashed.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
+    return join_groups(hashed, sizes, ["h"], "copies").select("src_table", "row_id", "copies")
 
 
 def lexicon(rows: DataFrame) -> DataFrame:
-    """(word, df): all words of the corpus in lower case with the number of rows that hold them; a written table."""
-    counted = map_text(rows.select("document_name", "text"), "word string, df long", _words_of)
-    return write_table(counted.groupBy("word").agg(F.sum("df").alias("df")), "scan-lexicon")
+    """(word, df, n): all words of the corpus in lower case with the numbers of different texts and of rows that hold them; a written table."""
+    weighed = rows.join(copied_rows(rows), ["src_table", "row_id"], "left").select("document_name", "text", "copies")
+    counted = map_text(weighed, "word string, df double, n long", _words_of)
+    return write_table(
+        counted.groupBy("word").agg(F.ceil(F.sum("df") - 1e-6).alias("df"), F.sum("n").alias("n")).withColumn("df", F.greatest("df", F.lit(1))), "scan-lexicon"
+    )
 
 
 def deletes(word: str, most: int = 2) -> set[str]:
@@ -177,10 +197,10 @@ def weighted_distance(seen: str, meant: str) -> float:
 
 
 def _index(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
-    out: dict[str, list] = {"key": [], "word": [], "df": []}
-    for word, df in zip(texts, rest["df"]):
+    out: dict[str, list] = {"key": [], "word": [], "df": [], "n": []}
+    for word, df, n in zip(texts, rest["df"], rest["n"]):
         for key in deletes(word):
-            for name, value in (("key", key), ("word", word), ("df", df)):
+            for name, value in (("key", key), ("word", word), ("df", df), ("n", n)):
                 out[name].append(value)
     return out
 
@@ -202,23 +222,45 @@ def _telling(word: str) -> bool:
     return len(word) >= 4 and not _CODE.search(word)
 
 
+_READ_AS = {wrong: sorted({b.lower() for a, b in CONFUSIONS if a == wrong}) for wrong in "015689†ɑƒ"}
+
+
+def readings(word: str) -> list[str]:
+    """The words that one with digits or daggers between letters may stand for; none if it isn't of that shape."""
+    odd = sum(c in _READ_AS for c in word)
+    if not _INSIDE.search(word) or 2 * odd > len(word) or word.count("1") > 6:
+        return []
+    options = [_READ_AS.get(c, [c]) for c in word.lower()]
+    return [w for w in map("".join, product(*options)) if not any(c.isdigit() for c in w)]
+
+
+def _readings(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+    pairs = [(word, meant) for word in texts for meant in readings(word)]
+    return {"seen": [a for a, _ in pairs], "meant": [b for _, b in pairs], "cost": [CHEAP * sum(c in _READ_AS for c in a) for a, _ in pairs]}
+
+
 def corrections(words: DataFrame) -> DataFrame:
     """(seen, meant): misread words and the frequent words they stand for; a written table."""
-    frequent = words.where((F.col("df") >= LEAST_DF) & F.col("word").rlike(r"^[\p{L}’'-]{3,}$") & ~F.col("word").rlike("[†ɑſƒﬁﬂﬀı]"))
+    frequent = words.where((F.col("n") >= LEAST_DF) & F.col("word").rlike(r"^[\p{L}’'-]{3,}$") & ~F.col("word").rlike("[†ɑſƒﬁﬂﬀı]"))
     may_be = F.udf(_telling, "boolean")
-    top = words.agg(F.max("df")).first()[0] or 0
-    rare = words.where((F.col("df") * RATIO <= top) & may_be("word"))
-    left = map_text(rare.select("df", F.col("word").alias("text")), "key string, word string, df long", _index)
-    right = map_text(frequent.select("df", F.col("word").alias("text")), "key string, word string, df long", _index)
+    top, most = words.agg(F.max("df"), F.max("n")).first()
+    rare = words.where(((F.col("df") * RATIO <= (top or 0)) | (F.col("n") * RATIO <= (most or 0))) & may_be("word"))
+    index = "key string, word string, df long, n long"
+    left = map_text(rare.select("df", "n", F.col("word").alias("text")), index, _index)
+    right = map_text(frequent.select("df", "n", F.col("word").alias("text")), index, _index)
+    often = (F.col("meant_df") >= F.col("df") * RATIO) | (F.col("meant_n") >= F.col("n") * RATIO)
     pairs = (
-        left.toDF("key", "text", "df")
-        .join(right.toDF("key", "meant", "meant_df"), "key")
-        .where((F.col("text") != F.col("meant")) & (F.col("meant_df") >= F.col("df") * RATIO))
+        left.toDF("key", "text", "df", "n")
+        .join(right.toDF("key", "meant", "meant_df", "meant_n"), "key")
+        .where((F.col("text") != F.col("meant")) & often)
         .select("text", "meant", "df", "meant_df")
         .distinct()
     )
     scored = map_text(pairs, "seen string, meant string, df long, meant_df long, cost double", _score)
-    best = scored.where(F.col("cost") <= MOST_COST).groupBy("seen").agg(
+    shaped = map_text(words.where(may_be("word")).select(F.col("word").alias("text")), "seen string, meant string, cost double", _readings)
+    sure = shaped.join(words.select(F.col("word").alias("meant"), F.col("df").alias("meant_df")), "meant")
+    likely = scored.where(F.col("cost") <= MOST_COST).select("seen", "meant", "cost", "meant_df").unionByName(sure)
+    best = likely.groupBy("seen").agg(
         F.max_by("meant", F.struct(-F.col("cost"), "meant_df", "meant")).alias("meant")
     )
     return write_table(best, "scan-corrections")
@@ -256,7 +298,7 @@ def noise(rows: DataFrame) -> DataFrame:
     fixes = corrections(words)
     seen = write_table(map_text(rows.select("src_table", "row_id", "document_name", "text"), _ROWS, _evidence), "scan-evidence")
     used = seen.select("src_table", "row_id", F.explode("words").alias("seen"))
-    known = fixes.join(words.select(F.col("word").alias("seen"), F.col("df").alias("_n")), "seen")
+    known = fixes.join(words.select(F.col("word").alias("seen"), F.col("n").alias("_n")), "seen")
     misread = join_groups(used, known, ["seen"], "_n").groupBy("src_table", "row_id").agg(F.collect_set(F.struct("seen", "meant")).alias("fixes"))
     parts = seen.select("src_table", "row_id", F.explode("broken").alias("b")).select("src_table", "row_id", "b.joined", "b.compound")
     df = words.select("word", "df")

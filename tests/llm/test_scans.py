@@ -57,3 +57,19 @@ def test_paragraphs_are_joined():
     assert S.repair_text(text, "", {}, set()) == "### Head\nfirst line second line\n\nnext paragraph\n- item"
     assert S.repair_text("a co-\noperative", "", {}, {"co-operative"}) == "a co-operative"
     assert S.repair_text("The Heacl", "", {"heacl": "head"}, set()) == "The Head"
+
+
+def test_copies_of_noisy_text_count_once(spark):
+    clean = [(i, "Rules_A", prose(i)) for i in range(300)]
+    noisy = prose(901).replace("employee", "ernployee") + " the ernployee"
+    copies = [(1000 + i, "Rules_A", noisy.replace(" ", "  ", i % 3)) for i in range(200)]
+    rare = [(2000, "Rules_A", prose(902) + " the zeugnis"), (2001, "Rules_A", prose(903) + " the zeu9nis")]
+    frame = spark.createDataFrame([("t", *r) for r in clean + copies + rare], "src_table string, row_id long, document_name string, text string")
+    found = {r["row_id"]: {f["seen"]: f["meant"] for f in r["fixes"]} for r in S.noise(frame).collect()}
+    assert set(found) == {*range(1000, 1200), 2001}
+    assert found[1000] == {"ernployee": "employee"} and found[2001] == {"zeu9nis": "zeugnis"}
+
+
+def test_readings():
+    assert S.readings("emp1oyee") == ["empioyee", "employee"] and S.readings("con†ract") == ["contract"]
+    assert S.readings("a4b") == S.readings("x2y1z") == S.readings("word") == S.readings("word†") == []
