@@ -4,11 +4,13 @@
    passages so meet their clean near-twins. The least garbled, most frequent variant of a key is
    taken as clean, the others are aligned with it word by word.
 2. Each aligned pair votes for the transformation (true encoding, encoding it was read with) that
-   turns the clean word into the garbled one. Voted transformations are learned.
+   turns the clean word into the garbled one; where neither looks garbled, for either direction, as a
+   garbled variant may be the frequent one. Voted transformations are learned.
 3. Learned transformations are applied to the words of all documents. Where the true encoding is
-   UTF-8 the byte pattern itself is proof; where it is a single-byte encoding the restored word has
-   to be a known word of the corpus and the found one has to be rarer. Words with replacement
-   characters are restored by their aligned twins.
+   UTF-8 the byte pattern itself is proof, also of transformations not learned; where it is a
+   single-byte encoding the restored word has to be a known word of the corpus and the found one has
+   to be rarer, by different texts first, so that copies of a garbled document don't outvote clean ones. Words with replacement characters are restored by
+   their aligned twins.
 
 Null, empty and pure ASCII texts are never garbled. A document is reported once; what can't be
 restored stays as it is, among that texts garbled twice by way of Greek or Cyrillic letters. Words shared by any number of documents are handled once.
@@ -140,15 +142,16 @@ def _suspicion(text: str) -> int:
 
 
 def _passages(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
-    keys, passages, bad = [], [], []
-    for text in texts:
+    keys, passages, bad, own = [], [], [], []
+    for h, text in zip(rest["h"], texts):
         for passage in {re.sub(r"[0-9]+", "0", p) for p in _PASSAGE.split(text) if p and not p.isascii()}:
             bare = _RUN.sub("", passage)
             if len(bare) >= 12:
                 keys.append(zlib.crc32(bare.encode()) << 31 ^ zlib.adler32(bare.encode()) ^ len(bare) << 24)
                 passages.append(passage)
                 bad.append(_suspicion(passage))
-    return {"key": keys, "passage": passages, "bad": bad}
+                own.append(h)
+    return {"key": keys, "passage": passages, "bad": bad, "h": own}
 
 
 def _votes(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
@@ -164,6 +167,10 @@ def _votes(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
             if x == y or x.isascii() or y.isascii():
                 continue
             how = next((k for k, (true, read) in enumerate(TRANSFORMATIONS) if _turns(y, x, true, read)), -1)
+            for k, (true, read) in enumerate(TRANSFORMATIONS):
+                if true != "utf-8" and k != how and (_turns(x, y, true, read) or _turns(y, x, true, read)):
+                    for name, value in (("word", y), ("clean", x), ("how", k), ("n", n)):
+                        out[name].append(value)
             if how >= 0 or LOST in x:
                 for name, value in (("word", x), ("clean", y), ("how", how), ("n", n)):
                     out[name].append(value)
@@ -176,8 +183,8 @@ def _turns(clean: str, found: str, true: str, read: str) -> bool:
 
 
 def _document_words(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
-    ids, words, amount = [], [], []
-    for key, text in zip(rest["doc_id"], texts):
+    ids, words, amount, own = [], [], [], []
+    for key, h, text in zip(rest["doc_id"], rest["h"], texts):
         seen = {}
         for match in _WORD.finditer(text):
             word = match.group().strip(_EDGE)
@@ -187,10 +194,25 @@ def _document_words(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
         ids += [key] * len(seen)
         words += seen
         amount += seen.values()
-    return {"doc_id": ids, "word": words, "amount": amount}
+        own += [h] * len(seen)
+    return {"doc_id": ids, "word": words, "amount": amount, "h": own}
+
+
+def _unlearned(word: str, reads: list[str]) -> tuple[bool, str | None]:
+    """Whether a word holds UTF-8 sequences read in one of the encodings, and what it stands for if that is certain.
+
+    Words of letters without any ASCII one are left: ordinary Cyrillic words look like this too.
+    """
+    if all(c.isalpha() for run in _RUN.findall(word) for c in run) and not re.search("[A-Za-z]", word):
+        return False, None
+    news = {new for read in reads if (new := restore_utf8(word, read))}
+    least = [new for new in news if len(new) == min(map(len, news))]
+    return bool(news), least[0] if len(least) == 1 else None
 
 
 def _candidates(learned: list[int]):
+    others = [read for k, (true, read) in enumerate(TRANSFORMATIONS) if true == "utf-8" and k not in learned]
+
     def find(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
         out: dict[str, list] = {"word": [], "restored": [], "proof": [], "how": [], "df": []}
 
@@ -209,6 +231,10 @@ def _candidates(learned: list[int]):
             if best is not None:
                 add(word, best, "bytes", -1, df)
                 continue
+            garbled, best = _unlearned(word, others)
+            if garbled:
+                add(word, best, "bytes", -1, df)
+                continue
             for k in learned:
                 true, read = TRANSFORMATIONS[k]
                 if true != "utf-8" and (new := restore_single(word, true, read)):
@@ -255,8 +281,9 @@ def _restore_texts(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
 
 def learn(documents: DataFrame) -> tuple[DataFrame, list[int]]:
     """The aligned (word, clean, how, n) pairs of near-twins, and which TRANSFORMATIONS they vote for."""
-    passages = map_text(documents.select("text"), "key long, passage string, bad int", _passages)
-    variants = write_table(passages.groupBy("key", "passage", "bad").agg(F.count("*").alias("n")), "passages")
+    passages = map_text(documents.select("h", "text"), "key long, passage string, bad int, h long", _passages)
+    once = passages.groupBy("key", "passage", "bad", "h").agg(F.lit(1).alias("one"))
+    variants = write_table(once.groupBy("key", "passage", "bad").agg(F.count("*").alias("n")), "passages")
     cleanest = (
         variants.groupBy("key")
         .agg(
@@ -281,7 +308,10 @@ def word_map(documents: DataFrame, words: DataFrame) -> DataFrame:
     `restored` is null where that is unknown.
     """
     votes, learned = learn(documents)
-    counted = write_table(words.groupBy("word").agg(F.count("*").alias("df"), F.max("amount").alias("amount")), "word-counts")
+    once = words.groupBy("word", "h").agg(F.count("*").alias("df"), F.max("amount").alias("amount"))
+    counted = write_table(
+        once.groupBy("word").agg(F.sum("df").alias("df"), F.count("*").alias("texts"), F.max("amount").alias("amount")), "word-counts"
+    )
     found = write_table(
         map_text(
             counted.withColumnRenamed("word", "text"),
@@ -290,11 +320,16 @@ def word_map(documents: DataFrame, words: DataFrame) -> DataFrame:
         ),
         "restorations",
     )
-    known = counted.select(F.col("word").alias("restored"), F.col("df").alias("known"))
+    known = counted.select(F.col("word").alias("restored"), F.col("df").alias("known"), F.col("texts").alias("known_texts"))
+    single = found.where(F.col("proof") == "lexicon")
+    weighed = single.join(known, "restored").join(counted.select("word", "texts"), "word").where(F.col("known") >= 2)
+    more = F.struct("known_texts", "known") > F.struct("texts", "df")
+    # more documents with fewer different texts count only if the opposite isn't possible
+    opposite = single.select(F.col("word").alias("restored"), F.col("restored").alias("word"))
+    copied = weighed.where(~more & (F.col("known") > F.col("df"))).join(opposite, ["word", "restored"], "left_anti")
     lexicon = (
-        found.where(F.col("proof") == "lexicon")
-        .join(known, "restored")
-        .where((F.col("known") >= 2) & (F.col("known") > F.col("df")))
+        weighed.where(more)
+        .unionByName(copied)
         .groupBy("word")
         .agg(F.max_by(F.struct("restored", "how"), F.struct("known", "restored", "how")).alias("r"))
     )
@@ -322,8 +357,10 @@ def word_map(documents: DataFrame, words: DataFrame) -> DataFrame:
 
 def garbled_words(documents: DataFrame) -> DataFrame:
     """(doc_id, word, restored, how) of each garbled word of each document, as a written table."""
-    odd = documents.where(F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", "text")
-    words = write_table(map_text(odd, "doc_id long, word string, amount boolean", _document_words), "document-words")
+    odd = documents.where(F.col("text").rlike(r"[^\x00-\x7f]")).select(
+        "doc_id", F.xxhash64(F.regexp_replace("text", r"\s+", "")).alias("h"), "text"
+    )
+    words = write_table(map_text(odd, "doc_id long, word string, amount boolean, h long", _document_words), "document-words")
     mapping = write_table(word_map(odd, words), "word-map")
     signs = F.length("word") > 1
     usable = words.where(signs | F.col("amount") | F.col("word").contains(LOST))

@@ -46,3 +46,15 @@ def test_documents(spark):
     assert restored[204] == CLEAN[3].format(5) + " " + CLEAN[1].format(6)
     assert restored[205] == CLEAN[3].format(3)
     assert M.restore(frame.limit(0)).count() == 0
+
+
+def test_copies_of_a_garbled_document(spark):
+    german = CLEAN[2]
+    hot = M.garble(german.format(9), "cp1252", "cp850")
+    alone = M.garble("Das Übergabeprotokoll für Zürich liegt bei.", "utf-8", "cp850")
+    rows = [(i, german.format(i)) for i in range(40)] + [(100 + i, hot) for i in range(90)] + [(300, alone), (301, "Наша река и гордая правда, так и есть."), (302, "Πάντα ῥεῖ — так «правда».")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"] for r in M.garbled_words(frame).select("doc_id").distinct().collect()}
+    assert found == {*range(100, 190), 300}
+    restored = {r["doc_id"]: r["text"] for r in M.restore(frame).collect()}
+    assert restored[100] == german.format(9) and restored[300] == "Das Übergabeprotokoll für Zürich liegt bei."
