@@ -2,9 +2,10 @@
 
 Records without ordinary prose give their message lines, masked, to a prefix tree of fixed depth
 (number of words, then the first words) whose leaves hold message templates; each template is
-classified once and its verdict goes back to all records with a message of it. Unresolved slots and
-passages of filler are looked for in every record on their own, sentence by sentence; sentences that
-explain or mention such things don't count.
+classified once and its verdict goes back to all records with a message of it. Longer records are
+error pages or notices if nearly all of their words belong to messages and what follows these.
+Unresolved slots and passages of filler are looked for in every record on their own, sentence by
+sentence; sentences that explain the slot or mention such things don't count.
 
 Null, empty and blank texts are no cases. Extra columns are ignored. A message that a third of all
 rows hold is counted once before it is classified, and its verdict is joined back by hot-key
@@ -40,6 +41,9 @@ _EXPLAINS = re.compile(
     r"|token|import job|drafter|print run|mail merge|where a value belongs|the variable|the field|steht für|ersetzt"
     r"|représente|remplace|sustituye|representa)\b"
 )
+#: Explanations that hold wherever they stand in the sentence; all others have to stand beside the slot.
+_ABOUT = re.compile(r"(?i)\b(?:placeholders?|square brackets|curly brackets|mail merge|where a value belongs)\b")
+_BESIDE = 5  # words
 _FILLER_WORDS = frozenset(
     # The words of the customary filler text.
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et "
@@ -47,6 +51,28 @@ _FILLER_WORDS = frozenset(
     "consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint "
     "occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
+_TELLING_FILLER = frozenset(w for w in _FILLER_WORDS if len(w) >= 5)
+#: Sentences that are filler also between ordinary ones.
+_FILLER_SENTENCE = re.compile(
+    r"(?i)^(?:your text (?:goes )?here\b.{0,12}|(?:add|insert|enter|type|place|put|write) (?:\w+ ){0,3}(?:text|content|copy|description) here\b.{0,12}"
+    r"|click (?:here )?to (?:edit|add) (?:\w+ ){0,2}(?:text|content|copy|description)|(?:text|content|description|details?) (?:follows|to follow|goes here|coming soon)"
+    r"|this is (?:(?:a|an|some|only|just) ){0,2}(?:placeholder|dummy|sample|filler)(?: (?:text|copy|content|paragraph|passage))?"
+    r"|(?:sample|dummy|placeholder|filler|example) (?:text|copy|content|paragraph)(?: (?:here|goes here|only|\d+))?|(?:das|dies) ist (?:ein )?(?:blindtext|platzhalter|mustertext|beispieltext)"
+    r"|(?:blindtext|platzhalter(?:text)?|mustertext|beispieltext)(?: \d+)?|(?:hier )?(?:folgt|steht) (?:\w+ ){0,3}(?:text|inhalt)|text folgt|(?:texto|contenido) de (?:prueba|relleno|ejemplo)"
+    r"|texte? (?:d['’]exemple|factice|provisoire|de remplissage|à venir|à remplacer)|(?:test ){2,}(?:test)?(?: ?\d+)?|x{2,}(?:\W+x{2,})+\W*\d*|replace this (?:text|copy|content)(?: with your own)?)"
+    r"[\s.…!)\]]*$"
+)
+_TRACE = re.compile(r"^Traceback \(most recent call last\)|^Exception in thread\b|^(?:\w+\.)*\w+(?:Error|Exception)(?::|$)")
+#: What error pages and notices say after their message, and lines of stack traces.
+_FOLLOWS = re.compile(
+    r"(?i)^(?:at [\w.$<>]+\(|file \"|caused by:|\.\.\. \d+ more\b)"
+    r"|^(?:please |you (?:can|may|could|should) )?(?:check|verify) (?:the|your) (?:address|url|link|spelling|connection|browser)|^(?:please )?(?:try again|try refreshing|refresh|reload|retry)\b"
+    r"|^(?:please |you (?:can|may|could|should) )?(?:go back|return|contact)\b.*\b(?:page|home|site|administrator|webmaster|support|help desk|helpdesk)\b"
+    r"|^if (?:the|this) (?:problem|error|issue)\b|^(?:it|the (?:page|document|file|resource|link|address|url)(?: you (?:are looking|were looking|requested|asked)(?: for)?)?) (?:may|might|could|was|has|does|is|cannot)\b.*\b(?:moved|deleted|removed|renamed|exist|found|available|mistyped|wrong|expired|outdated|located|loaded|displayed)\b"
+    r"|^(?:the|this|your|our) (?:server|request|requested|browser|session|application|site|page|viewer|service|gateway|proxy|url|resource|web server|administrator|team)\b.*\b(?:server|request|requests|error|unable|not|scripts?|javascript|cookies|notified|failed|again|located|temporarily|requires?|misconfiguration|maintenance|capacity|problems?)\b"
+    r"|^(?:we|sorry|apologies|unfortunately)\b.*\b(?:page|error|inconvenience|server|request|sorry|apologi[sz]e|problem)\b|^(?:after|once|when|then)\b.*\b(?:enabled?|enabling|javascript|scripts?|reload|refresh)\b"
+    r"|^(?:without|some|most|all)\b.*\b(?:javascript|scripts?|cookies)\b|^(?:additionally|more information|error code|error id|status code|request id|reference|incident|trace)\b"
+)
 #: How messages begin, or lines that are one, by kind.
 _MESSAGES = {
     "script": re.compile(
@@ -86,7 +112,8 @@ _SEPARATOR = re.compile(r"\s+[·›»|•>]\s+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _NUMBER = re.compile(r"\b(?![45]\d\d\b)\d+|(?<=[^\W\d])\d+")  # all but status codes
-MOST_WORDS = 40
+MOST_WORDS = 40  # of records judged by their lines; longer ones are judged by is_message_page
+MOST_OTHER = 0.25  # share of words that belong to no message
 DEPTH = 3
 SIMILARITY = 0.6
 
@@ -96,24 +123,45 @@ def has_slot(text: str) -> bool:
     for match in _SLOT.finditer(text):
         before = [m.end() for m in _SENTENCE.finditer(text, max(0, match.start() - 400), match.start())]
         after = _SENTENCE.search(text, match.end())
-        sentence = text[before[-1] if before else max(0, match.start() - 400) : after.start() if after else match.end() + 400]
-        if not _EXPLAINS.search(sentence):
+        start, end = before[-1] if before else max(0, match.start() - 400), after.start() if after else match.end() + 400
+        if _ABOUT.search(text[start:end]):
+            continue
+        ahead, behind = text[start : match.start()].split()[-_BESIDE:], text[match.end() : end].split()[:_BESIDE]
+        if not _EXPLAINS.search(" ".join(ahead)) and not _EXPLAINS.search(" ".join(behind)):
             return True
     return False
 
 
 def has_filler(text: str) -> bool:
-    """Whether a sentence of at least four words consists mostly of filler words."""
+    """Whether a sentence is a filler template, or one of at least four words consists mostly of filler words."""
     low = text.lower()
-    if not ("lorem" in low or "consectetur" in low or "adipiscing" in low or "eiusmod" in low or "cupidatat" in low):
-        return False
+    latin = any(w in low for w in _TELLING_FILLER)
     for sentence in _SENTENCE.split(low):
-        words = _TOKEN.findall(sentence)
-        if len(words) >= 4 and sum(w in _FILLER_WORDS for w in words) >= 0.75 * len(words):
+        if _FILLER_SENTENCE.match(sentence.strip()):
+            return True
+        words = _TOKEN.findall(sentence) if latin else ()
+        if len(words) >= 4 and sum(w in _FILLER_WORDS for w in words) >= 0.75 * len(words) and len(_TELLING_FILLER.intersection(words)) >= 2:
             return True
     return False
 
 
+def is_message_page(text: str) -> bool:
+    """Whether a record holds a message, and all but MOST_OTHER of its words belong to messages and what follows them."""
+    lines = [x for x in map(str.strip, text.split("\n")) if x and not _HEADING.match(x) and not _REQUEST.match(x)]
+    sentences = [x.strip() for line in lines for part in _SEPARATOR.split(line) for x in _SENTENCE.split(part)]
+    counted = [(x, len(x.split())) for x in sentences if x]
+    allowed = MOST_OTHER * sum(n for _, n in counted)
+    other, message = 0, False
+    for sentence, n in counted:
+        if _MESSAGES["error"].search(sentence) or _MESSAGES["script"].search(sentence) or _TRACE.search(sentence):
+            message = True
+        elif not _FOLLOWS.search(sentence):
+            other += n
+            if other > allowed:
+                return False
+    return message
+
+
 def message_lines(text: str) -> list[str] | None:
     """The masked lines of a record that has no ordinary prose, without headings, request marks and menus; else None."""
     lines, words = [], 0
@@ -140,8 +188,9 @@ def _scan(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
     direct, lines = [], []
     for text in texts:
         hit = has_slot(text) or has_filler(text)
-        direct.append(hit)
-        lines.append(None if hit else message_lines(text))
+        own = None if hit else message_lines(text)
+        direct.append(hit or is_message_page(text))
+        lines.append(own)
     return {"src_table": rest["src_table"], "row_id": rest["row_id"], "direct": direct, "lines": lines}
 
 
@@ -222,8 +271,9 @@ def find_residue(rows: DataFrame) -> DataFrame:
     judged = join_groups(lines, known, ["line"], "n").groupBy("src_table", "row_id").agg(
         F.max(F.col("kind").isNotNull()).alias("hit"),
         F.sum(F.when(F.col("kind").isNull(), F.size(F.split("line", " "))).otherwise(0)).alias("other_words"),
+        F.sum(F.size(F.split("line", " "))).alias("all_words"),
     )
-    messages = judged.where(F.col("hit") & (F.col("other_words") <= 4)).select("src_table", "row_id")
+    messages = judged.where(F.col("hit") & ((F.col("other_words") <= 4) | (F.col("other_words") <= MOST_OTHER * F.col("all_words")))).select("src_table", "row_id")
     return scanned.where("direct").select("src_table", "row_id").unionByName(messages)
 
 

@@ -56,3 +56,31 @@ def test_tree_merges_and_keeps_apart():
     assert tree.add("page a b c d missing")[3] == "*"
     assert tree.add("site a b c d missing") is not tree.add("page a b c d missing")
     assert tree.add("page a b") is not tree.add("page a b c d missing")
+
+
+PAGE = (
+    "404 Not Found\nThe page you requested could not be located on this server. It may have been moved or deleted. Check the address and try again.\n"
+    "If the problem persists, tell us what you did. You may return to the home page or contact the administrator. Our team has been notified of the error."
+)
+TRACE = "Traceback (most recent call last):\n" + "\n".join(f'File "/srv/app/step{i}.py", line {i}, in run' for i in range(12)) + "\nValueError: bad value"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [f"{PROSE} Text follows. {PROSE}", f"{PROSE}\nAdd body text here.\n{PROSE}", f"{PROSE} Blindtext. {PROSE}", f"{PROSE} This is placeholder copy. {PROSE}",
+     f"{PROSE} Ut enim ad minim veniam, quis nostrud exercitation ullamco. {PROSE}", f"{PROSE} Duis aute irure dolor in reprehenderit in voluptate. {PROSE}"],
+)
+def test_filler_between_ordinary_sentences(text):
+    assert R.has_filler(text)
+
+
+def test_ordinary_sentences_are_no_filler():
+    for text in ("The goods are to be supplied.", "Enter the description.", "Sample copy of the invoice is filed.", "Qui est in culpa non est.", "The text follows the form."):
+        assert not R.has_filler(f"{PROSE} {text} {PROSE}"), text
+
+
+def test_long_pages_and_slots_beside_other_words():
+    assert R.message_lines(PAGE) is None and R.is_message_page(PAGE) and R.is_message_page(TRACE)
+    assert not R.is_message_page(f"{PROSE} {PROSE}\n404 Not Found\n{PROSE}")
+    assert R.has_slot("The variable speed drive of the second pumping unit was sent by road to {{city}} on Monday.")
+    assert not R.has_slot("Here the variable {{city}} names the place.")
