@@ -1,6 +1,8 @@
 """Problem 7: noise in text from scanned pages.
 
-1. Running lines (page numbers, headers, footers) between the lines of a text are dropped; words
+1. Running lines (page numbers, headers, footers) between the lines of a text are dropped: fixed forms,
+   and short lines, numbers masked, that interrupt the sentences of several texts of the document or
+   the corpus; words
    broken by a hyphen or a sign standing for it at a line end are joined, except compounds that the
    corpus writes with the hyphen inside lines.
 2. The frequencies of all words of the corpus form a lexicon. A symmetric-delete index (all strings
@@ -38,6 +40,7 @@ CHEAP, DEAR = 0.3, 1.0
 MOST_COST = 0.95  # of a correction: up to three confusions, no arbitrary change
 RATIO = 30  # a word is a misreading only if its correction is this many times as frequent
 LEAST_DF = 5
+LEAST_IN_DOCUMENT, LEAST_IN_CORPUS = 2, 3  # texts in which a header interrupts a sentence
 _HYPHENS = "‐‑¬\xad-"
 _BREAK = re.compile(rf"([^\W\d_][^\s{_HYPHENS}]*)[{_HYPHENS}][ \t]*\r?\n[ \t]*(?=([^\W\d_][^\s]*))")
 _LINE_HYPHEN = re.compile(rf"[{_HYPHENS}][ \t]*\r?\n")
@@ -68,11 +71,8 @@ def running_lines(lines: list[str], title: str) -> list[int]:
     """The numbers of the lines that are page numbers, headers or footers between lines of running text."""
     name, out = _plain(title), []
     filled = [i for i, line in enumerate(lines) if line.strip()]
-    if len(filled) < 3:
+    if len(filled) < 3 or not _is_running_text([lines[i] for i in filled]):
         return []
-    wide = sum(len(lines[i].strip()) >= 25 and not _LIST.match(lines[i]) for i in filled)
-    if wide < 0.4 * len(filled):
-        return []  # menus, tables and lists of numbers aren't running text
     for i in filled:
         line = lines[i].strip()
         if len(line) > 80 or line.startswith("#"):
@@ -82,10 +82,73 @@ def running_lines(lines: list[str], title: str) -> list[int]:
     return out
 
 
-def clean_lines(text: str, title: str) -> tuple[list[str], bool]:
+def _is_running_text(filled: list[str]) -> bool:
+    """Whether filled lines are running text, of any width; menus, tables and lists of numbers aren't."""
+    if sum(len(x.strip()) >= 25 and not _LIST.match(x) for x in filled) >= 0.4 * len(filled):
+        return True
+    plain = [x.strip() for x in filled if not _LIST.match(x) and len(x.split()) >= 2]
+    onward = sum(x[:1].islower() for x in plain)
+    return len(plain) >= 0.6 * len(filled) and onward >= 0.5 * len(plain) and onward >= 2
+
+
+def mask(line: str) -> str:
+    """A line as recurring ones are counted: numbers masked, case and signs aside."""
+    return _plain(re.sub(r"[0-9]+|\b[IVXLC]+\b", " ", line))
+
+
+def inserted_lines(lines: list[str]) -> list[tuple[int, bool]]:
+    """(number, breaks): the short lines between lines of running text that may be headers or footers.
+
+    `breaks` tells that the text before stops within a sentence and goes on in lower case after the line. A
+    line of the sentence itself would begin in lower case, or be filled up to the width of its neighbours.
+    """
+    filled = [i for i, line in enumerate(lines) if line.strip()]
+    if len(filled) < 3 or not _is_running_text([lines[i] for i in filled]):
+        return []
+    out = []
+    for before, i, after in zip(filled, filled[1:], filled[2:]):
+        line, first, last = lines[i].strip(), lines[before].strip(), lines[after].strip()
+        if len(line) > 80 or line[0] in "#|" or line[0].islower() or line[-1] in ",;:" or first[0] in "#|" or last[0] in "#|":
+            continue
+        fits = len(line) + 1 + len(last.split()[0]) <= max(len(first), len(last))
+        if (fits or i - before > 1 or after - i > 1) and not _LIST.match(line) and mask(line):
+            out.append((i, first[-1] not in ".!?:;" and last[0].islower()))
+    return out
+
+
+def _inserted(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+    out: dict[str, list] = {"src_table": [], "row_id": [], "title": [], "h": [], "mask": [], "breaks": []}
+    for k, text in enumerate(texts):
+        lines = re.split(r"\r\n|\n|\r", text)
+        for i, breaks in inserted_lines(lines):
+            for name, value in (
+                ("src_table", rest["src_table"][k]), ("row_id", rest["row_id"][k]), ("title", rest["document_name"][k]), ("h", rest["h"][k]),
+                ("mask", mask(lines[i])), ("breaks", breaks),
+            ):
+                out[name].append(value)
+    return out
+
+
+def header_rows(rows: DataFrame) -> DataFrame:
+    """(src_table, row_id, headers): the masked lines of each row that interrupt the sentences of several texts, of its document or anywhere."""
+    folded = F.xxhash64(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", ""))
+    wrapped = rows.where(F.col("text").rlike(r"[\r\n]")).select("src_table", "row_id", "document_name", folded.alias("h"), "text")
+    found = write_table(map_text(wrapped, "src_table string, row_id long, title string, h long, mask string, breaks boolean", _inserted), "scan-inserted")
+    parts = []
+    for keys, least in ((["mask", "title"], LEAST_IN_DOCUMENT), (["mask"], LEAST_IN_CORPUS)):
+        texts = found.groupBy(*keys, "h").agg(F.count("*").alias("n"), F.max(F.col("breaks").cast("int")).alias("breaks"))
+        known = texts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("breaks").alias("texts")).where(F.col("texts") >= least).drop("texts")
+        parts.append(join_groups(found, known, keys, "n").select("src_table", "row_id", "mask"))
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("src_table", "row_id").agg(F.collect_set("mask").alias("headers"))
+
+
+def clean_lines(text: str, title: str, headers: list[str] | None = None) -> tuple[list[str], bool]:
     """The lines without running lines (and without the blank lines around these), and whether there were any."""
     lines = re.split(r"\r\n|\n|\r", text)
     drop = set(running_lines(lines, title))
+    if headers:
+        drop.update(i for i, _ in inserted_lines(lines) if mask(lines[i]) in headers)
     if not drop:
         return lines, False
     for i in list(drop):
@@ -271,7 +334,7 @@ def _evidence(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
     out: dict[str, list] = {"src_table": [], "row_id": [], "running": [], "words": [], "broken": []}
     forms = _forms.setdefault("telling", _Forms(_telling))
     for k, text in enumerate(texts):
-        lines, running = clean_lines(text, rest["document_name"][k] or "")
+        lines, running = clean_lines(text, rest["document_name"][k] or "", rest["headers"][k])
         whole = "\n".join(lines)
         broken = _pieces(whole) if _LINE_HYPHEN.search(whole) else []
         joined = _BREAK.sub(lambda m: m.group(1), whole) if broken else whole
@@ -296,7 +359,9 @@ def noise(rows: DataFrame) -> DataFrame:
     """
     words = lexicon(rows)
     fixes = corrections(words)
-    seen = write_table(map_text(rows.select("src_table", "row_id", "document_name", "text"), _ROWS, _evidence), "scan-evidence")
+    marked = write_table(header_rows(rows), "scan-headers")
+    headed = rows.select("src_table", "row_id", "document_name", "text").join(marked, ["src_table", "row_id"], "left")
+    seen = write_table(map_text(headed, _ROWS, _evidence), "scan-evidence")
     used = seen.select("src_table", "row_id", F.explode("words").alias("seen"))
     known = fixes.join(words.select(F.col("word").alias("seen"), F.col("n").alias("_n")), "seen")
     misread = join_groups(used, known, ["seen"], "_n").groupBy("src_table", "row_id").agg(F.collect_set(F.struct("seen", "meant")).alias("fixes"))
@@ -313,12 +378,13 @@ def noise(rows: DataFrame) -> DataFrame:
     )
     every = seen.select("src_table", "row_id", "running").join(misread, ["src_table", "row_id"], "left").join(broken, ["src_table", "row_id"], "left")
     noisy = every.where(F.col("running") | F.col("fixes").isNotNull() | F.coalesce("has_break", F.lit(False)))
-    return write_table(noisy.select("src_table", "row_id", "running", "fixes", "has_break", "compounds"), "scan-noise")
+    noisy = noisy.join(marked, ["src_table", "row_id"], "left")
+    return write_table(noisy.select("src_table", "row_id", "running", "fixes", "has_break", "compounds", "headers"), "scan-noise")
 
 
-def repair_text(text: str, title: str, fixes: dict[str, str], compounds: set[str]) -> str:
+def repair_text(text: str, title: str, fixes: dict[str, str], compounds: set[str], headers: list[str] | None = None) -> str:
     """The text without running lines, with broken words joined, misread words corrected and lines joined to paragraphs."""
-    lines, _ = clean_lines(text, title)
+    lines, _ = clean_lines(text, title, headers)
     whole = "\n".join(lines)
 
     def join(match: re.Match[str]) -> str:
@@ -366,13 +432,13 @@ def repair(rows: DataFrame) -> DataFrame:
             "src_table": rest["src_table"],
             "row_id": rest["row_id"],
             "text": [
-                repair_text(t, n or "", {f["seen"]: f["meant"] for f in fixes or []}, set(compounds or []))
-                for t, n, fixes, compounds in zip(texts, rest["document_name"], rest["fixes"], rest["compounds"])
+                repair_text(t, n or "", {f["seen"]: f["meant"] for f in fixes or []}, set(compounds or []), headers)
+                for t, n, fixes, compounds, headers in zip(texts, rest["document_name"], rest["fixes"], rest["compounds"], rest["headers"])
             ],
         }
 
     joined = rows.select("src_table", "row_id", "document_name", "text").join(
-        noise(rows).select("src_table", "row_id", "fixes", "compounds"), ["src_table", "row_id"]
+        noise(rows).select("src_table", "row_id", "fixes", "compounds", "headers"), ["src_table", "row_id"]
     )
     return map_text(joined, "src_table string, row_id long, text string", mend)
 

@@ -73,3 +73,19 @@ def test_copies_of_noisy_text_count_once(spark):
 def test_readings():
     assert S.readings("emp1oyee") == ["empioyee", "employee"] and S.readings("con†ract") == ["contract"]
     assert S.readings("a4b") == S.readings("x2y1z") == S.readings("word") == S.readings("word†") == []
+
+
+def test_headers_by_recurrence(spark):
+    def scanned(i, header):
+        words = prose(3000 + i).rstrip(".").split()
+        return wrapped(words[:18]) + "\n" + header + "\n" + wrapped(words[18:])
+
+    rows = [(i, f"D{i % 2}", scanned(i, f"Northern Railway Stores {i}")) for i in range(4)] + [(10, "D5", scanned(10, "Once Only"))]
+    rows += [(20 + i, "D9", prose(i)) for i in range(5)]
+    narrow = ["the council", "and depot", "Form Nine", "of the", "register is", "kept in", "months", "by it"]
+    rows += [(30 + i, "D7", "\n".join([*narrow[:2], f"Form {i}", *narrow[3:], f"as item{'x' * i}"])) for i in range(3)]
+    frame = spark.createDataFrame([("t", *r) for r in rows], "src_table string, row_id long, document_name string, text string")
+    found = {r["row_id"]: r for r in S.noise(frame).collect()}
+    assert set(found) == {0, 1, 2, 3, 30, 31, 32} and all(r["running"] for r in found.values())
+    fixed = {r["row_id"]: r["text"] for r in S.repair(frame).collect()}
+    assert fixed[0] == prose(3000).rstrip(".") and "Form" not in fixed[30]
