@@ -48,6 +48,7 @@ _COMPOUND = re.compile(r"(?<!\w)[^\W\d_]++(?:-[^\W\d_]++)+")
 _TOKEN = re.compile(r"[^\s,.;:\"“”„«»?–—/\[\]{}<>*#=+|\\_~^%&-]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _CODE = re.compile(r"[A-Z].*\d|\d.*[A-Z]|^[A-Z]{1,4}\d|\d{2,}")
+_ORDINAL = re.compile(r"(?i)^\d+(?:st|nd|rd|th|er|re|ère|ème|[aehoslmgdx])$")
 _INSIDE = re.compile(r"[^\W\d_][015689†ɑƒ]+[^\W\d_]")
 _SPECIAL = set("0156789(†ɑſƒíìıﬁﬂﬀ|!@$")
 #: Running lines: forms of page numbers, and of marks on every page.
@@ -182,8 +183,7 @@ class _Forms(dict):
         if len(self) >= 300_000:
             self.clear()
         inner = word.strip("()'’!$€£")
-        low = inner if _SPECIAL.intersection(inner) else inner.lower()
-        self[word] = form = low if _LETTER.search(low) and self.rule(low) else ""
+        self[word] = form = inner.lower() if _LETTER.search(inner) and self.rule(inner) else ""
         return form
 
 
@@ -192,7 +192,7 @@ _forms: dict[str, _Forms] = {}
 
 def _words_of(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
     """Counts of words (and of hyphenated compounds) in a batch."""
-    forms = _forms.setdefault("all", _Forms(lambda w: 2 < len(w) <= 40))
+    forms = _forms.setdefault("all", _Forms(lambda w: 1 < len(w) <= 40))
     counts: Counter[str] = Counter()
     shares: Counter[str] = Counter()
     for text, title, copies in zip(texts, rest["document_name"], rest["copies"]):
@@ -281,8 +281,17 @@ def _score(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
 
 
 def _telling(word: str) -> bool:
-    """Whether a rare word may be a misreading at all: codes, numbers and short words are not."""
-    return len(word) >= 4 and not _CODE.search(word)
+    """Whether a rare word, as written, may be a misreading at all: codes, numbers, ordinals and short words without digits are not."""
+    digits = [c for c in word if c.isdigit()]
+    if len(word) >= 4 and not _CODE.search(word if digits else word.lower()):
+        return True
+    if not digits or not set(digits) <= set("015689") or _ORDINAL.match(word):
+        return False
+    letters = sum(c.isalpha() for c in word)
+    if len(word) < 4:
+        return word == word.lower() and len(digits) == 1 and digits[0] in "01" and letters == len(word) - 1
+    cased = word[1:] == word[1:].lower() or (word == word.upper() and letters >= 3 and len(digits) == 1)
+    return cased and letters >= max(2, len(digits))
 
 
 _READ_AS = {wrong: sorted({b.lower() for a, b in CONFUSIONS if a == wrong}) for wrong in "015689†ɑƒ"}
@@ -291,7 +300,8 @@ _READ_AS = {wrong: sorted({b.lower() for a, b in CONFUSIONS if a == wrong}) for
 def readings(word: str) -> list[str]:
     """The words that one with digits or daggers between letters may stand for; none if it isn't of that shape."""
     odd = sum(c in _READ_AS for c in word)
-    if not _INSIDE.search(word) or 2 * odd > len(word) or word.count("1") > 6:
+    short = len(word) < 4 and odd == 1
+    if not (short or _INSIDE.search(word)) or 2 * odd > len(word) or word.count("1") > 6:
         return []
     options = [_READ_AS.get(c, [c]) for c in word.lower()]
     return [w for w in map("".join, product(*options)) if not any(c.isdigit() for c in w)]
@@ -322,6 +332,7 @@ def corrections(words: DataFrame) -> DataFrame:
     scored = map_text(pairs, "seen string, meant string, df long, meant_df long, cost double", _score)
     shaped = map_text(words.where(may_be("word")).select(F.col("word").alias("text")), "seen string, meant string, cost double", _readings)
     sure = shaped.join(words.select(F.col("word").alias("meant"), F.col("df").alias("meant_df")), "meant")
+    sure = sure.join(words.select(F.col("word").alias("seen"), "df"), "seen").where((F.length("seen") > 3) | (F.col("meant_df") >= F.col("df") * RATIO)).drop("df")
     likely = scored.where(F.col("cost") <= MOST_COST).select("seen", "meant", "cost", "meant_df").unionByName(sure)
     best = likely.groupBy("seen").agg(
         F.max_by("meant", F.struct(-F.col("cost"), "meant_df", "meant")).alias("meant")
@@ -400,8 +411,7 @@ def repair_text(text: str, title: str, fixes: dict[str, str], compounds: set[str
     def fix(match: re.Match[str]) -> str:
         word = match.group()
         inner = word.strip("()'’!$€£")
-        low = inner if _SPECIAL.intersection(inner) else inner.lower()
-        meant = fixes.get(low)
+        meant = fixes.get(inner.lower()) if _telling(inner) else None
         if not meant:
             return word
         if inner[:1].isupper() and inner[1:] == inner[1:].lower():

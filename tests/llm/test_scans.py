@@ -89,3 +89,15 @@ def test_headers_by_recurrence(spark):
     assert set(found) == {0, 1, 2, 3, 30, 31, 32} and all(r["running"] for r in found.values())
     fixed = {r["row_id"]: r["text"] for r in S.repair(frame).collect()}
     assert fixed[0] == prose(3000).rstrip(".") and "Form" not in fixed[30]
+
+
+def test_capitalised_short_and_doubled_misreads(spark):
+    words = ("F0rm", "Up0n", "Artic1e", "C1ause", "Sh0uld", "M0nday", "Secti0n", "Ru1e", "Zentra1lager", "sha11", "l00k", "0f", "1n", "SECTI0N")
+    assert all(map(S._telling, words))
+    assert not any(map(S._telling, ("A75", "B0L", "I1O0", "10l", "10th", "1st", "1er", "D1012", "2026", "tbe")))
+    plain = "form upon article clause should monday section rule zentrallager shall look of in"
+    rows = [(i, f"{prose(i)} {plain} {i}") for i in range(100)] + [(200 + i, f"{prose(500 + i)} {w} here") for i, w in enumerate(words)] + [(300, prose(600) + " A75 B0L 10th 1st")]
+    frame = spark.createDataFrame([("t", i, "D", t) for i, t in rows], "src_table string, row_id long, document_name string, text string")
+    assert {r["row_id"] for r in S.noise(frame).collect()} == {200 + i for i in range(len(words))}
+    fixed = {r["row_id"]: r["text"] for r in S.repair(frame).collect()}
+    assert fixed[200].endswith(" Form here") and fixed[209].endswith(" shall here") and fixed[211].endswith(" of here") and fixed[213].endswith(" SECTION here")
