@@ -41,7 +41,7 @@ MISS_PROBABILITY = 0.002
 TARGET = 0.999
 TYPICAL = 0.95
 MOST_TREES = 24
-SPARE = 3  # neighbours kept beside K until the exact cosines are known
+CODE_ERROR = 0.01  # cosines of 8-bit codes are off by less
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -130,13 +130,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _search_leaf(ids: np.ndarray, unit: np.ndarray, low: np.ndarray, radius: float, least: float, keep: int, out: list) -> None:
-    """Append (a, b, cosine) of verified neighbours within one leaf; recurse while it is larger than LEAF."""
+def _search_leaf(ids: np.ndarray, unit: np.ndarray, low: np.ndarray, radius: float, least: float, keep: int) -> Iterator[tuple]:
+    """(a, b, cosine) of verified neighbours within each leaf: all that may be among the `keep` best by the coding error."""
     if len(ids) > LEAF:
         d = int(np.argmax(low.var(axis=0)))
         order = np.argsort(low[:, d], kind="stable")
         for part in (order[: len(ids) // 2], order[len(ids) // 2 :]):
-            _search_leaf(ids[part], unit[part], low[part], radius, least, keep, out)
+            yield from _search_leaf(ids[part], unit[part], low[part], radius, least, keep)
         return
     square = (low * low).sum(axis=1)
     projected = square[:, None] + square[None, :] - 2 * (low @ low.T)
@@ -154,9 +154,9 @@ def _search_leaf(ids: np.ndarray, unit: np.ndarray, low: np.ndarray, radius: flo
     order = np.lexsort((ids[b], -cosine, a))
     a, b, cosine = a[order], b[order], cosine[order]
     first = np.searchsorted(a, a, side="left")
-    rank = np.arange(a.size) - first
-    top = rank < keep
-    out.append((ids[a[top]], ids[b[top]], cosine[top]))
+    last = np.minimum(first + keep, np.searchsorted(a, a, side="right")) - 1
+    top = cosine >= cosine[last] - 2 * CODE_ERROR if a.size else np.zeros(0, bool)
+    yield ids[a[top]], ids[b[top]], cosine[top]
 
 
 def find_neighbours(rows: DataFrame, k: int = K, least: float = 0.9, n_rows: int | None = None) -> DataFrame:
@@ -178,7 +178,7 @@ def find_neighbours(rows: DataFrame, k: int = K, least: float = 0.9, n_rows: int
     cells = [fit_cells(fitted_on @ m, levels) for m in maps] if levels else [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * trees
     shared = spark.sparkContext.broadcast(cells)  # at most MOST_TREES * MOST_CELLS nodes
     radius = 2 * (1 - least) * chi_square_quantile(1 - MISS_PROBABILITY, DIMS)
-    rough = least - 0.01  # codes of 8 bits are off by less
+    rough = least - CODE_ERROR
 
     def route(batch: pa.RecordBatch) -> dict[str, object]:
         unit = _unit(_matrix(batch.column("embedding")))
@@ -199,12 +199,8 @@ def find_neighbours(rows: DataFrame, k: int = K, least: float = 0.9, n_rows: int
             ids = np.concatenate([p.column("vec_row").to_numpy() for p in parts])
             codes = np.frombuffer(b"".join(x for p in parts for x in p.column("code").to_pylist()), np.int8)
             unit = _unit(codes.reshape(-1, DIM).astype(np.float32))
-            out: list = []
-            _search_leaf(ids, unit, unit @ maps[cell // MOST_CELLS], radius, rough, k + SPARE, out)
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1)], schema=schema
-                )
+            for a, b, _ in _search_leaf(ids, unit, unit @ maps[cell // MOST_CELLS], radius, rough, k):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         current, held = None, []
         for batch in batches:

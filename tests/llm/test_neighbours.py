@@ -56,3 +56,12 @@ def test_classes_of_equal_vectors(spark):
     found = {(r["vec_a"], r["vec_b"]) for r in N.find_pairs(frame).collect()}
     first = {tuple(sorted((a, b))) for a in range(9) for b in [v for v in range(7) if v != a][:5]}
     assert found == first | {(b, 9) for b in range(5)}
+
+
+def test_dense_cluster_keeps_the_true_nearest(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(128)
+    x = np.concatenate([centre + rng.standard_normal((200, 128)) * 0.003, rng.standard_normal((50, 128))]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), (False,), 0) for i, v in enumerate(x)], SCHEMA)
+    truth = pairs_of(list(range(len(x))), x.astype(np.float64))
+    assert {(r["vec_a"], r["vec_b"]) for r in N.find_pairs(frame).collect()} == truth
