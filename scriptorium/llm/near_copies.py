@@ -1,9 +1,9 @@
-"""Problem 4: rows that share most of their content, found with a min-hash LSH forest.
+"""Problem 4: rows that share most of their content, found with banded min-hash LSH.
 
-Every row gets a signature of TREES * DEPTH min-hash values over its runs of three words. Tree t is
-the trie of the t-th stretch of values; rows that share a prefix of a trie are candidates. The
-prefix is shortened from FULL_DEPTH until a pair at the threshold meets in some tree with at least
-the target probability (`depth_for_recall`). Candidates pass an exact length bound and a sketch of
+Every row gets a signature of TREES * DEPTH min-hash values over its runs of three words. A tree is
+a band, one hash of DEPTH values; rows that share a band are candidates. The depth is fixed by the
+constants: the longest at which a pair at the threshold meets in some band with at least the target
+probability (`depth_for_recall`). No forest of tries with adaptive prefixes is kept. Candidates pass an exact length bound and a sketch of
 the signature, then the exact share of common shingles of the texts decides.
 
 Rows with the same sequence of words form a class, and only one row of a class enters the forest;
