@@ -48,18 +48,19 @@ def copy_keys(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _class_keys(keys: DataFrame) -> DataFrame:
-    """One key per class of copies: the fields' key for lists of fields and what equals one of them in order."""
+    """One key per class of copies: the fields' key for lists of fields and what equals one of them in order.
+
+    Hot keys are joined apart.
+    """
+    own = ["src_table", "k1", "k2"]
     listed = (
-        keys.where(F.col("f1").isNotNull())
-        .groupBy("src_table", "k1", "k2")
-        .agg(F.min(F.struct("f1", "f2")).alias("f"))
-        .select("src_table", "k1", "k2", F.col("f.f1").alias("g1"), F.col("f.f2").alias("g2"))
+        keys.groupBy(*own)
+        .agg(F.min(F.when(F.col("f1").isNotNull(), F.struct("f1", "f2"))).alias("f"), F.count("*").alias("_n"))
+        .where(F.col("f").isNotNull())
     )
-    return keys.join(listed, ["src_table", "k1", "k2"], "left").select(
-        "src_table",
-        "row_id",
-        F.coalesce("g1", "k1").alias("c1"),
-        F.coalesce("g2", "k2").alias("c2"),
+    listed = write_table(listed, "copy-lists")
+    return join_groups(keys, listed, own, "_n", "left").select(
+        "src_table", "row_id", F.coalesce("f.f1", "k1").alias("c1"), F.coalesce("f.f2", "k2").alias("c2")
     )
 
 

@@ -4,7 +4,9 @@ Only sizes matter for packing, and there are at most `capacity` different ones.
 the histogram of sizes, never the documents: sizes in falling order, each group of equal items into
 the open bins with the least sufficient room (best fit), else into new bins of the permitted length
 that costs least for them; at last each bin is downsized to the least permitted length that holds
-its contents. Bins of equal content are ranges of bin numbers, so the plan's length depends on the
+its contents. The permitted lengths are chosen jointly: every set of them that may be opened is packed,
+and the plan with the fewest containers stands, of these the one with the least length after downsizing.
+Bins of equal content are ranges of bin numbers, so the plan's length depends on the
 capacity alone. Documents then look up their bin by size and rank among the documents of that size.
 
 Documents without tokens (null or empty texts) are spread over all bins. A document above the
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,6 +27,7 @@ from scriptorium.llm.frames import map_batches
 from scriptorium.session import write_table
 
 CAPACITY = 2048
+LENGTHS = (256, 512, 1024, 1536, 2048)  # that bins may have; 2 ** (len - 1) sets of them are tried
 #: Ranks are counted within (size, bucket): at most (CAPACITY + 1) * BUCKETS groups, however many documents.
 BUCKETS = 256
 
@@ -40,12 +44,27 @@ class Placement:
     offset: int
 
 
-def pack_histogram(counts: dict[int, int], lengths: tuple[int, ...] = (CAPACITY,)) -> tuple[list[Placement], list[tuple[int, int, int]]]:
-    """Pack counts[size] items of each size into bins of the permitted lengths.
+def pack_jointly(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[Placement], list[tuple[int, int, int]]]:
+    """The best of the plans that open only some of the permitted lengths, the longest always among them.
+
+    Fewest bins come first, then the least sum of their lengths after downsizing to any permitted one.
+    """
+    *short, longest = sorted(lengths)
+    plans = [
+        pack_histogram(counts, (*some, longest), tuple(lengths)) for n in range(len(short) + 1) for some in combinations(short, n)
+    ]
+    return min(plans, key=lambda p: (sum(bins for _, bins, _ in p[1]), sum(bins * length for _, bins, length in p[1])))
+
+
+def pack_histogram(
+    counts: dict[int, int], lengths: tuple[int, ...] = (CAPACITY,), permitted: tuple[int, ...] | None = None
+) -> tuple[list[Placement], list[tuple[int, int, int]]]:
+    """Pack counts[size] items of each size into bins opened with one of `lengths`, at last downsized to a `permitted` one.
 
     Returns the placements and (first_bin, bins, length) for ranges of bins, lengths downsized.
     """
     lengths = tuple(sorted(lengths))
+    permitted = tuple(sorted(permitted or lengths))
     room: dict[int, list[tuple[int, int, int]]] = {}  # remaining room -> (first_bin, bins, length)
     rooms: list[int] = []
     plan: list[Placement] = []
@@ -85,7 +104,7 @@ def pack_histogram(counts: dict[int, int], lengths: tuple[int, ...] = (CAPACITY,
             rank += used
             left -= used
     shrunk = sorted(
-        (first, bins, next(x for x in lengths if x >= length - remaining))
+        (first, bins, next(x for x in permitted if x >= length - remaining))
         for remaining, parts in room.items()
         for first, bins, length in parts
     )
@@ -95,9 +114,9 @@ def pack_histogram(counts: dict[int, int], lengths: tuple[int, ...] = (CAPACITY,
 def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, lengths: tuple[int, ...] | None = None) -> DataFrame:
     """(key, piece, bin_id, bin_length, bin_offset, n_tokens): where each document, or each piece of a cut one, lies.
 
-    `lengths` are the permitted bin lengths, the largest of them the capacity; by default only the capacity.
+    `lengths` are the permitted bin lengths, the largest of them the capacity; by default LENGTHS up to it.
     """
-    lengths = lengths or (capacity,)
+    lengths = lengths or (*(x for x in LENGTHS if x < capacity), capacity)
     spark = sizes.sparkSession
     pieces = write_table(
         sizes.select(F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_n"))
@@ -113,7 +132,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     groups = pieces.groupBy("_size", "_bucket").agg(F.count("*").alias("_c"))
     groups = write_table(groups, "piece-counts")
     counts = {r["_size"]: r["c"] for r in groups.groupBy("_size").agg(F.sum("_c").alias("c")).collect()}  # <= capacity + 1 rows
-    plan, ranges = pack_histogram(counts, lengths)
+    plan, ranges = pack_jointly(counts, lengths)
     n_bins = max([1, *(first + bins for first, bins, _ in ranges)])
     offsets = groups.select(
         "_size",
@@ -152,3 +171,11 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
 
     schema = f"{key} {dict(sizes.dtypes)[key]}, piece int, bin_id long, bin_length int, bin_offset int, n_tokens int"
     return map_batches(ranked, schema, place)
+
+
+def unused(packed: DataFrame) -> DataFrame:
+    """(bin_length, bins, n_tokens, unused): the space left over in the bins of each length."""
+    bins = packed.groupBy("bin_id", "bin_length").agg(F.sum("n_tokens").alias("n"))
+    return bins.groupBy("bin_length").agg(
+        F.count("*").alias("bins"), F.sum("n").alias("n_tokens"), F.sum(F.col("bin_length") - F.col("n")).alias("unused")
+    )

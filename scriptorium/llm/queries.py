@@ -69,6 +69,10 @@ def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes)
 
 
+def p9_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.unused(p9_packed(spark, sf_dir))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled_words(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_repaired": p7_repaired,
         "p8_ids": p8_ids,
         "p9_packed": p9_packed,
+        "p9_unused": p9_unused,
         "p10_found": p10_found,
         "p10_restored": p10_restored,
     }

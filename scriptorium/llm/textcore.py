@@ -95,33 +95,57 @@ def _segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
 def rolling_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit polynomial hashes of each text's letters and digits, case folded.
 
-    The bytes stream through the skip-and-fold table; a kept symbol weighs by its rank among the
-    kept ones, so the canonical string itself is never built.
+    The code points stream through the skip-and-fold table in place: a skipped one weighs nothing, a
+    kept one by its rank among the kept. No string of the kept symbols is ever put together.
     """
     codes, ends = folded(texts)
     starts = np.concatenate(([0], ends[:-1])) if len(texts) else ends
     kept = codes != 0
-    rank = np.cumsum(kept)
-    before = np.concatenate(([0], rank))[starts]
-    at = np.flatnonzero(kept)
-    symbols = mix(codes[at].astype(U64) + U64(0x9E3779B97F4A7C15))
-    lengths = np.concatenate(([0], rank))[ends] - before
-    position = rank[at] - 1 - np.repeat(before, lengths)
+    rank = np.concatenate(([0], np.cumsum(kept)))
+    lengths = rank[ends] - rank[starts]
+    position = np.maximum(rank[1:] - 1 - np.repeat(rank[starts], ends - starts), 0)
+    symbols = mix(codes.astype(U64) + U64(0x9E3779B97F4A7C15)) * kept
     most = int(lengths.max()) if len(lengths) else 0
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
     out = []
     for base in (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1):
         weighted = symbols * _powers(base, most + 1)[position]
-        out.append(mix(_segment_sums(weighted, bounds[:-1], bounds[1:]) + lengths.astype(U64)))
+        out.append(mix(_segment_sums(weighted, starts, ends) + lengths.astype(U64)))
     return out[0], out[1]
 
 
+_STEP = 4096
+
+
+def _kept(text: str, at: int) -> tuple[np.ndarray, int]:
+    """The folded symbols of the next stretch of a text that has any, and where the one after it begins."""
+    while at < len(text):
+        codes, _ = folded([text[at : at + _STEP]])
+        at += _STEP
+        codes = codes[codes != 0]
+        if codes.size:
+            return codes, at
+    return np.zeros(0, np.uint32), at
+
+
 def canonical_equal(a: str, b: str) -> bool:
-    """Whether two texts agree in their letters and digits, case folded: skip and compare from both ends."""
-    fa, _ = folded([a])
-    fb, _ = folded([b])
-    fa, fb = fa[fa != 0], fb[fb != 0]
-    return fa.size == fb.size and bool((fa == fb).all())
+    """Whether two texts agree in their letters and digits, case folded.
+
+    Two pointers run over the texts, each past what the table skips, a stretch at a time; the first
+    difference ends the comparison, and no text is folded as a whole.
+    """
+    at_a = at_b = 0
+    left = right = np.zeros(0, np.uint32)
+    while True:
+        if not left.size:
+            left, at_a = _kept(a, at_a)
+        if not right.size:
+            right, at_b = _kept(b, at_b)
+        n = min(left.size, right.size)
+        if not n:
+            return left.size == right.size
+        if not np.array_equal(left[:n], right[:n]):
+            return False
+        left, right = left[n:], right[n:]
 
 
 _FIELD_BREAK = re.compile(r"[\r\n;|]+")
