@@ -1,37 +1,50 @@
 """Problem 2: template slots left unfilled, filler text, error pages and scripts-required notices.
 
-Records without ordinary prose give their message lines, masked, to a prefix tree of fixed depth
-(number of words, then the first words) whose leaves hold message templates; each template is
-classified once and its verdict goes back to all records with a message of it. Longer records are
-error pages or notices if nearly all of their words belong to messages and what follows these.
+Records are cut into units, their sentences and the parts of their lines. A prefix tree of fixed depth
+(number of words, then the first words, numbers masked) mines templates of the units; a template is
+classified once, by what it covers, and its verdict goes back to all records with a unit of it:
+
+- it is a message if most of its units have the form of one (the lists below are seeds only; units
+  without such a form get the verdict of their template), unless it hardly ever stands without prose;
+- it belongs to messages if most of its units have a form that follows messages, or if it recurs and
+  practically never occurs without a message in the record.
+
+A record is a case if it holds a message and all but MOST_OTHER of its words belong to messages. Labels
+of menus count neither way; rows of tables are prose. No length is set to records, units or windows.
+Only leaves that a seed falls into can give messages, so only records with a unit in one are mined.
 Unresolved slots and passages of filler are looked for in every record on their own, sentence by
-sentence; sentences that explain the slot or mention such things don't count.
+sentence; sentences that explain the slot or mention such things don't count. Brackets around words
+are a slot up to 40 characters, as longer ones are remarks; all other slots may have any length within
+a sentence.
 
-Null, empty and blank texts are no cases. Extra columns are ignored. A message that a third of all
-rows hold is counted once before it is classified, and its verdict is joined back by hot-key
-broadcast.
+Null, empty and blank texts are no cases. Extra columns are ignored. A unit that a third of all rows
+hold is counted once before it is classified, and its verdict is joined back with hot keys apart.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.frames import map_text
+from scriptorium.llm.frames import map_batches, map_text
 from scriptorium.operators.skew import join_groups
 from scriptorium.session import write_table
 
 #: Forms of slots in template languages and forms.
 _SLOT = re.compile(
-    r"\{\{[^{}\n]{1,40}\}\}|\{%[^{}%\n]{1,40}%\}|\{![^{}\n]{1,40}\}|[$#]\{[^{}\n]{1,40}\}"
+    r"\{\{(?:(?![.!?]\s)[^{}\n])+\}\}|\{%[^{}%\n]+%\}|\{![^{}\n]+\}|[$#]\{(?:(?![.!?]\s)[^{}\n])+\}"
     r"|\{[A-Za-z_][\w.]*\}|\{\d{1,2}\}"
-    r"|<%[^%\n]{1,40}%>|<<[^<>\n]{1,40}>>|«[A-Za-z_][\w.]*»|‹[A-Za-z_][\w.]*›"
-    r"|%%[A-Za-z_][\w. ]{0,38}%%|%\([^()\n]{1,40}\)[sd]|(?<![A-Za-z0-9_])__[A-Za-z][\w.]*?__(?![A-Za-z0-9_])"
-    r"|@@[A-Za-z_][\w.]*@@|\[\[[^\[\]\n]{1,40}\]\]|\[object Object\]|\bundefined\b|\bXX/XX(?:/XX(?:XX)?)?\b|\bX{4,}\b"
+    r"|<%[^%\n]+%>|<<(?:(?![.!?]\s)[^<>\n])+>>|«[A-Za-z_][\w.]*»|‹[A-Za-z_][\w.]*›"
+    r"|%%[A-Za-z_][\w. ]*%%|%\((?:(?![.!?]\s)[^()\n])+\)[sd]|(?<![A-Za-z0-9_])__[A-Za-z][\w.]*?__(?![A-Za-z0-9_])"
+    r"|@@[A-Za-z_][\w.]*@@|\[\[(?:(?![.!?]\s)[^\[\]\n])+\]\]|\[object Object\]|\bundefined\b|\bXX/XX(?:/XX(?:XX)?)?\b|\bX{4,}\b"
     r"|(?:DD|MM|TT|JJ|AAAA|YYYY)[./-](?:DD|MM|TT)[./-](?:YYYY|AAAA|JJJJ)"
     r"|[\[<](?=[^\W\d_])(?:[^\W\d_]|[ /’'-]){3,40}\d{0,2}[\]>]"
 )
@@ -84,8 +97,8 @@ _MESSAGES = {
         r"|^(?:diese|cette|esta|este) \w+ (?:benötigt|erfordert|nécessite|requiere|necesita)\b[^.]*\b(?:javascript|scripts?)"
     ),
     "error": re.compile(
-        r"(?i)^(?:http |error |erreur |fehler |status )*(?:4\d\d|5\d\d)\b\s*(?:$|[–:)-]|not found|forbidden|bad|internal|gateway|service|unauthori[sz]ed|error|too many|request|gone|unavailable|time)"
-        r"|^(?:error|erreur|fehler|fatal error|warning:|exception|traceback)\b(?: \d+)?\s*(?::|–|-|interno|interne|$|while|\d)"
+        r"(?i)^(?:http |error |erreur |fehler |status )*(?:4\d\d|5\d\d)\b\s*(?:[–:)-]\s*[^\W\d_]|not found|forbidden|bad|internal|gateway|service|unauthori[sz]ed|error|too many|request|gone|unavailable|time)"
+        r"|^(?:http |error |erreur |fehler |status )+(?:4\d\d|5\d\d)$|^(?:error|erreur|fehler|fatal error|warning:|exception|traceback)\b(?: \d+)?\s*(?::|–|-|interno|interne|$|while|\d)"
         r"|^(?:page|seite|página|document|file|datei|archivo|fichier)\b[^.]{0,25}\b(?:not found|nicht gefunden|no encontrad[oa]|introuvable)"
         r"|^the (?:page|document|file|resource|site|preview|content|server)\b[^.]*\b(?:could not|cannot|can't|failed|not be found|no longer available|unavailable|is down)"
         r"|^this (?:page|document|file|content|site|resource)\b[^.]*\b(?:no longer available|not available|unavailable|could not|cannot be|has been removed|has moved)"
@@ -99,7 +112,7 @@ _MESSAGES = {
     ),
     "filler": re.compile(
         r"(?i)^lorem ipsum|^your text\b|^(?:add|insert|enter|type|place) (?:\w+ ){0,2}(?:text|content|copy|description)\b.{0,12}$"
-        r"|^click (?:here )?to (?:edit|add)\b|\bto be (?:supplied|provided|added|written)\b.{0,12}$|^(?:text|content|description|details?) (?:follows|to follow|goes here|coming soon)\b"
+        r"|^click (?:here )?to (?:edit|add)\b|.*\bto be (?:supplied|provided|added|written)\b.{0,12}$|^(?:text|content|description|details?) (?:follows|to follow|goes here|coming soon)\b"
         r"|^this is (?:a )?(?:placeholder|dummy|sample|filler)\b|^(?:sample|dummy|placeholder|filler|example) (?:text|copy|content|paragraph)\b"
         r"|^blindtext\b|^platzhalter\b|^(?:mustertext|beispieltext)\b|^text folgt\b|^(?:texto|contenido) de (?:prueba|relleno|ejemplo)\b"
         r"|^texte? (?:d['’]exemple|factice|provisoire|de remplissage|à venir|à remplacer)\b|^(?:test ){2,}|^coming soon\b|^(?:tbd|tba|todo|n/a)\W*$"
@@ -112,19 +125,29 @@ _SEPARATOR = re.compile(r"\s+[·›»|•>]\s+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _NUMBER = re.compile(r"\b(?![45]\d\d\b)\d+|(?<=[^\W\d])\d+")  # all but status codes
-MOST_WORDS = 40  # of records judged by their lines; longer ones are judged by is_message_page
+_TABLE_ROW = re.compile(r"^\|.*\|")
 MOST_OTHER = 0.25  # share of words that belong to no message
+FEW_OTHER = 4  # words that may belong to no message whatever their share
+LABEL = 3  # words of a menu's label at most
 DEPTH = 3
 SIMILARITY = 0.6
+LEAF_BITS = 20
+#: Of a template: share of its units with a seed's form; share of its records that aren't mostly prose;
+#: records and share of records with a message that make it a companion of messages.
+SEEDED, LEAST_CORE, COMPANION_RECORDS, COMPANION_SHARE = 0.5, 0.1, 3, 0.9
 
 
 def has_slot(text: str) -> bool:
     """Whether a sentence holds an unresolved slot and doesn't explain it."""
+    breaks: list[re.Match[str]] | None = None
     for match in _SLOT.finditer(text):
-        before = [m.end() for m in _SENTENCE.finditer(text, max(0, match.start() - 400), match.start())]
-        after = _SENTENCE.search(text, match.end())
-        start, end = before[-1] if before else max(0, match.start() - 400), after.start() if after else match.end() + 400
-        if _ABOUT.search(text[start:end]):
+        if breaks is None:
+            breaks = list(_SENTENCE.finditer(text))
+            ends = [m.end() for m in breaks]
+        at = bisect.bisect_right(ends, match.start())
+        start = ends[at - 1] if at else 0
+        end = next((m.start() for m in breaks[at:] if m.start() >= match.end()), len(text))
+        if _ABOUT.search(text, start, end):
             continue
         ahead, behind = text[start : match.start()].split()[-_BESIDE:], text[match.end() : end].split()[:_BESIDE]
         if not _EXPLAINS.search(" ".join(ahead)) and not _EXPLAINS.search(" ".join(behind)):
@@ -145,53 +168,76 @@ def has_filler(text: str) -> bool:
     return False
 
 
-def is_message_page(text: str) -> bool:
-    """Whether a record holds a message, and all but MOST_OTHER of its words belong to messages and what follows them."""
-    lines = [x for x in map(str.strip, text.split("\n")) if x and not _HEADING.match(x) and not _REQUEST.match(x)]
-    sentences = [x.strip() for line in lines for part in _SEPARATOR.split(line) for x in _SENTENCE.split(part)]
-    counted = [(x, len(x.split())) for x in sentences if x]
-    allowed = MOST_OTHER * sum(n for _, n in counted)
-    other, message = 0, False
-    for sentence, n in counted:
-        if _MESSAGES["error"].search(sentence) or _MESSAGES["script"].search(sentence) or _TRACE.search(sentence):
-            message = True
-        elif not _FOLLOWS.search(sentence):
-            other += n
-            if other > allowed:
-                return False
-    return message
-
-
-def message_lines(text: str) -> list[str] | None:
-    """The masked lines of a record that has no ordinary prose, without headings, request marks and menus; else None."""
-    lines, words = [], 0
+def form_of(unit: str) -> str | None:
+    """The kind of message whose form a unit has (`follows` for what messages are followed by), or None."""
+    kind = next((kind for kind, pattern in _MESSAGES.items() if pattern.match(unit)), None)
+    if kind is None and _TRACE.match(unit):
+        return "error"
+    return kind or ("follows" if _FOLLOWS.match(unit) else None)
+
+
+def units_of(text: str) -> Iterator[tuple[str, int, str | None]]:
+    """(masked unit, words, form) of a record; headings, request marks and labels of menus are left out.
+
+    A row of a table is one unit without a form, whatever its cells hold.
+    """
     for line in text.split("\n"):
         line = line.strip()
         if not line or _HEADING.match(line) or _REQUEST.match(line):
             continue
-        kept = []
+        if _TABLE_ROW.match(line):
+            yield "|", max(1, len(_TOKEN.findall(line))), None
+            continue
         for part in _SEPARATOR.split(line):
-            part = part.strip()
-            count = len(part.split())
-            menu = count <= 3 and not part.endswith((".", "!", "…", ":")) and not any(p.search(part) for p in _MESSAGES.values())
-            if not menu:
-                kept.append(part)
-                words += count
-        if words > MOST_WORDS:
-            return None
-        if kept:
-            lines.append(" ".join(kept))
-    return [_NUMBER.sub("0", x) for x in lines] or None
+            for unit in _SENTENCE.split(part):
+                unit = unit.strip()
+                if not unit:
+                    continue
+                size, form = len(unit.split()), form_of(unit)
+                if form or size > LABEL or unit.endswith((".", "!", "…", ":")):
+                    yield _NUMBER.sub("0", unit), size, form
+
+
+def leaf_of(unit: str, depth: int = DEPTH) -> tuple:
+    """The path of a masked unit down the tree: its number of words and its first words, those with digits masked."""
+    words = unit.split()
+    return (len(words), *("*" if any(c.isdigit() for c in w) else w for w in words[:depth]))
+
+
+def _leaf_code(unit: str) -> int:
+    return zlib.crc32("\t".join(map(str, leaf_of(unit))).encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
 def _scan(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
-    direct, lines = [], []
-    for text in texts:
+    out: dict[str, list] = {"src_table": [], "row_id": [], "direct": [], "leaves": [], "seeds": []}
+    for key, row, text in zip(rest["src_table"], rest["row_id"], texts):
         hit = has_slot(text) or has_filler(text)
-        own = None if hit else message_lines(text)
-        direct.append(hit or is_message_page(text))
-        lines.append(own)
-    return {"src_table": rest["src_table"], "row_id": rest["row_id"], "direct": direct, "lines": lines}
+        units = [] if hit else [(_leaf_code(u), form) for u, _, form in units_of(text) if u != "|"]
+        if hit or units:
+            out["src_table"].append(key)
+            out["row_id"].append(row)
+            out["direct"].append(hit)
+            out["leaves"].append(list({leaf for leaf, _ in units}))
+            out["seeds"].append(list({leaf for leaf, form in units if form and form != "follows"}))
+    return out
+
+
+_UNITS = "src_table string, row_id long, unit string, size int, form string, seeded boolean, core boolean"
+
+
+def _units(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+    """Each different unit of each row with its words in all; whether the row holds a seed, and whether forms make up enough of it."""
+    out: dict[str, list] = {"src_table": [], "row_id": [], "unit": [], "size": [], "form": [], "seeded": [], "core": []}
+    for key, row, text in zip(rest["src_table"], rest["row_id"], texts):
+        sizes: dict[tuple[str, str | None], int] = {}
+        for unit, size, form in units_of(text):
+            sizes[unit, form] = sizes.get((unit, form), 0) + size
+        seeded = any(form and form != "follows" for _, form in sizes)
+        core = sum(n for (_, form), n in sizes.items() if form) >= MOST_OTHER * sum(sizes.values())
+        for (unit, form), size in sizes.items():
+            for name, value in zip(out, (key, row, unit, size, form, seeded, core)):
+                out[name].append(value)
+    return out
 
 
 class MessageTree:
@@ -201,80 +247,124 @@ class MessageTree:
         self.depth, self.similarity = depth, similarity
         self.leaves: dict[tuple, list[list[str]]] = {}
 
-    @staticmethod
-    def path(message: str, depth: int = DEPTH) -> tuple:
-        words = message.split()
-        return (len(words), *("*" if any(c.isdigit() for c in w) else w for w in words[:depth]))
-
-    def add(self, message: str) -> list[str]:
-        """The template that the message belongs to, merged with it."""
-        words = message.split()
-        leaf = self.leaves.setdefault(self.path(message, self.depth), [])
-        for template in leaf:
+    def add(self, unit: str) -> tuple[tuple, int]:
+        """The leaf of a unit and the number of the template there that it belongs to, merged with it."""
+        words = unit.split()
+        path = leaf_of(unit, self.depth)
+        leaf = self.leaves.setdefault(path, [])
+        for number, template in enumerate(leaf):
             if sum(a == b for a, b in zip(template, words)) >= self.similarity * len(words):
                 for i, (a, b) in enumerate(zip(template, words)):
                     if a != b:
                         template[i] = "*"
-                return template
+                return path, number
         leaf.append(words)
-        return words
+        return path, len(leaf) - 1
 
 
-def verdict(template: str) -> str | None:
-    """The kind of message a template is, or None for ordinary text."""
-    return next((kind for kind, pattern in _MESSAGES.items() if pattern.search(template)), None)
+_COUNTS = "n long, form string, with_seed long, with_core long"
 
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tree = MessageTree()
-    members: list[tuple[str, int, list[str]]] = []
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units sorted by leaf through the tree; only the templates of the leaf at hand are kept."""
+    tree, current = MessageTree(), None
     for batch in batches:
-        for message, n in zip(batch.column("line").to_pylist(), batch.column("n").to_pylist()):
-            members.append((message, n, tree.add(message)))
-    verdicts: dict[int, str | None] = {}
-    out: dict[str, list] = {"line": [], "n": [], "template": [], "kind": []}
-    for message, n, template in members:
-        if id(template) not in verdicts:
-            # a wildcard may hide the telling word of a template: then its first message decides
-            verdicts[id(template)] = verdict(" ".join(template)) or verdict(message)
-        for name, value in (("line", message), ("n", n), ("template", " ".join(template)), ("kind", verdicts[id(template)])):
-            out[name].append(value)
-    if members:
-        yield pa.RecordBatch.from_pydict(
-            out, schema=pa.schema([("line", pa.string()), ("n", pa.int64()), ("template", pa.string()), ("kind", pa.string())])
-        )
+        names = []
+        for unit, leaf in zip(batch.column("unit").to_pylist(), batch.column("leaf").to_pylist()):
+            if leaf != current:
+                tree, current = MessageTree(), leaf
+            path, number = tree.add(unit)
+            names.append(" ".join(map(str, path)) + f" #{number}")
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "template"])
+
+
+def _with_leaf(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+    return rest | {"unit": texts, "leaf": [_leaf_code(u) for u in texts]}
 
 
 def scan(rows: DataFrame) -> DataFrame:
-    """(src_table, row_id, direct, lines): rows with a slot or filler, or with only message lines; a written table."""
+    """(src_table, row_id, direct, leaves, seeds): whether a row has a slot or filler, else its leaves and those of its seeds; a written table."""
     scanned = map_text(
         rows.select("src_table", "row_id", "text"),
-        "src_table string, row_id long, direct boolean, lines array<string>",
+        "src_table string, row_id long, direct boolean, leaves array<int>, seeds array<int>",
         _scan,
     )
-    return write_table(scanned.where(F.col("direct") | F.col("lines").isNotNull()), "residue-scan")
+    return write_table(scanned, "residue-scan")
+
+
+def mined_rows(scanned: DataFrame) -> DataFrame:
+    """(src_table, row_id) of the rows with a unit in a leaf that a seed falls into.
+
+    The leaves with seeds are marked in a set of 2 ** LEAF_BITS bits, whose size doesn't depend on the
+    data; where two leaves share a bit a row too many is mined, never one too few.
+    """
+    bit = F.col("leaf").bitwiseAND((1 << LEAF_BITS) - 1)
+    hit = scanned.select(F.explode("seeds").alias("leaf")).select(bit.alias("bit")).distinct()
+    marks = np.zeros(1 << LEAF_BITS, bool)
+    marks[[r["bit"] for r in hit.collect()]] = True  # at most 2 ** LEAF_BITS numbers
+    shared = scanned.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def keep(batch: pa.RecordBatch) -> dict[str, object]:
+        marks = np.unpackbits(shared.value).astype(bool)
+        leaves = batch.column("leaves")
+        flat = marks[leaves.flatten().to_numpy(zero_copy_only=False) & ((1 << LEAF_BITS) - 1)]
+        ends = np.cumsum(pc.list_value_length(leaves).to_numpy(zero_copy_only=False))
+        total = np.concatenate(([0], np.cumsum(flat)))
+        kept = np.flatnonzero(total[ends] > total[np.concatenate(([0], ends[:-1]))])
+        return {c: batch.column(c).take(pa.array(kept)) for c in ("src_table", "row_id")}
 
+    return map_batches(scanned.where(~F.col("direct")).select("src_table", "row_id", "leaves"), "src_table string, row_id long", keep)
 
-def templates(scanned: DataFrame) -> DataFrame:
-    """(line, n, template, kind): each different masked message line with its template and verdict."""
-    lines = scanned.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n"))
-    leaf = F.concat_ws(" ", F.size(F.split("line", " ")).cast("string"), F.slice(F.split("line", " "), 1, DEPTH))
-    placed = lines.repartition(F.xxhash64(leaf)).sortWithinPartitions("line")
-    return write_table(placed.mapInArrow(_classify, "line string, n long, template string, kind string"), "message-templates")
+
+def templates(units: DataFrame) -> DataFrame:
+    """(unit, n, form, with_seed, with_core, leaf, template): each different unit with its template; a written table.
+
+    Shuffled and sorted by the leaf itself, so that templates don't depend on the number of partitions.
+    """
+    once = units.where(F.col("unit") != "|").groupBy("unit").agg(
+        F.count("*").alias("n"), F.max("form").alias("form"), F.count_if("seeded").alias("with_seed"), F.count_if("core").alias("with_core")
+    )
+    leaves = map_text(once.withColumnRenamed("unit", "text"), f"unit string, {_COUNTS}, leaf int", _with_leaf)
+    placed = leaves.repartition("leaf").sortWithinPartitions("leaf", "unit")
+    return write_table(placed.mapInArrow(_place, f"unit string, {_COUNTS}, leaf int, template string"), "message-templates")
+
+
+def verdicts(placed: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(template, kind, message, belongs): the verdict on each template, from all units it holds; a written table."""
+    n, form = F.col("n"), F.col("form")
+    covered = placed.groupBy("leaf", "template").agg(
+        F.sum("n").alias("records"), F.max(F.when(form != "follows", form)).alias("kind"),
+        (F.sum(F.when(form != "follows", n).otherwise(0)) >= SEEDED * F.sum("n")).alias("seeded"),
+        (F.sum(F.when(form == "follows", n).otherwise(0)) >= SEEDED * F.sum("n")).alias("follows"),
+        F.sum("with_seed").alias("with_seed"), F.sum("with_core").alias("with_core"),
+    )
+    covered = write_table(covered, "message-covered")
+    message = F.col("seeded") & (F.col("with_core") >= LEAST_CORE * F.col("records"))
+    recurs = ~F.col("seeded") & ~F.col("follows") & (F.col("with_seed") >= COMPANION_RECORDS) & (F.col("with_core") >= COMPANION_SHARE * F.col("records"))
+    doubtful = covered.where(recurs).select("leaf").distinct()
+    # a leaf has at least as many rows as each of its templates, so the share is never overrated
+    everywhere = scanned.select(F.explode("leaves").alias("leaf")).join(doubtful, "leaf", "left_semi").groupBy("leaf").agg(F.count("*").alias("everywhere"))
+    companion = F.coalesce(recurs & (F.col("with_seed") >= COMPANION_SHARE * F.col("everywhere")), F.lit(False))
+    judged = covered.join(everywhere, "leaf", "left").select(
+        "template", F.when(message, F.col("kind")).alias("kind"), message.alias("message"), (message | F.col("follows") | companion).alias("belongs")
+    )
+    return write_table(judged, "message-verdicts")
 
 
 def find_residue(rows: DataFrame) -> DataFrame:
     """(src_table, row_id) of the rows to exclude."""
+    row = ["src_table", "row_id"]
     scanned = scan(rows)
-    known = templates(scanned)
-    lines = scanned.where(~F.col("direct")).select("src_table", "row_id", F.explode("lines").alias("line"))
-    judged = join_groups(lines, known, ["line"], "n").groupBy("src_table", "row_id").agg(
-        F.max(F.col("kind").isNotNull()).alias("hit"),
-        F.sum(F.when(F.col("kind").isNull(), F.size(F.split("line", " "))).otherwise(0)).alias("other_words"),
-        F.sum(F.size(F.split("line", " "))).alias("all_words"),
-    )
-    messages = judged.where(F.col("hit") & ((F.col("other_words") <= 4) | (F.col("other_words") <= MOST_OTHER * F.col("all_words")))).select("src_table", "row_id")
-    return scanned.where("direct").select("src_table", "row_id").unionByName(messages)
+    mined = write_table(mined_rows(scanned), "message-rows")
+    units = write_table(map_text(rows.select(*row, "text").join(mined, row, "left_semi"), _UNITS, _units), "message-units")
+    placed = templates(units)
+    judged = placed.join(verdicts(placed, scanned), "template").select("unit", "n", "message", "belongs")
+    decided = join_groups(units, write_table(judged, "message-judged"), ["unit"], "n", "left").groupBy(*row).agg(
+        F.max("message").alias("hit"), F.sum("size").alias("_all"),
+        F.sum(F.when(F.coalesce("belongs", F.lit(False)), 0).otherwise(F.col("size"))).alias("_other"),
+    )
+    messages = decided.where(F.col("hit") & (F.col("_other") <= F.greatest(F.lit(FEW_OTHER), MOST_OTHER * F.col("_all"))))
+    return scanned.where("direct").select(*row).unionByName(messages.select(*row))
 
 
 def keep_content(rows: DataFrame) -> DataFrame:

@@ -52,10 +52,11 @@ def test_records(spark):
 
 def test_tree_merges_and_keeps_apart():
     tree = R.MessageTree()
-    assert tree.add("page a b c d missing") is tree.add("page a b x d missing")
-    assert tree.add("page a b c d missing")[3] == "*"
-    assert tree.add("site a b c d missing") is not tree.add("page a b c d missing")
-    assert tree.add("page a b") is not tree.add("page a b c d missing")
+    assert tree.add("page a b c d missing") == tree.add("page a b x d missing")
+    assert tree.leaves[R.leaf_of("page a b c d missing")] == [["page", "a", "b", "*", "d", "missing"]]
+    assert tree.add("site a b c d missing") != tree.add("page a b c d missing")
+    assert tree.add("page a b") != tree.add("page a b c d missing")
+    assert R.leaf_of("page 7 b c") == R.leaf_of("page 8 b c")
 
 
 PAGE = (
@@ -79,8 +80,33 @@ def test_ordinary_sentences_are_no_filler():
         assert not R.has_filler(f"{PROSE} {text} {PROSE}"), text
 
 
-def test_long_pages_and_slots_beside_other_words():
-    assert R.message_lines(PAGE) is None and R.is_message_page(PAGE) and R.is_message_page(TRACE)
-    assert not R.is_message_page(f"{PROSE} {PROSE}\n404 Not Found\n{PROSE}")
+SERVER = (
+    "Internal Server Error\nThe server encountered an internal error or misconfiguration and was unable to complete your request. Please contact the server administrator at "
+    "webmaster@example.org to inform them of the time this error occurred, and the actions you performed just before this error. More information about this error "
+    "may be available in the server error log. Additionally, a 500 error was encountered while trying to use an ErrorDocument."
+)
+TABLE = "| Item | Place | Qty | Rate |\n|---|---|---|---|\n| lift gate | Yarnova | 404 | USD 2 |\n| dust filter | Galvik | 500 | USD 7 |\n| spindle | Lundale | 503 | USD 1 |"
+
+
+def _found(spark, texts):
+    rows = [("t", i, x) for i, x in enumerate(texts)]
+    return {r["row_id"] for r in R.find_residue(spark.createDataFrame(rows, "src_table string, row_id long, text string")).collect()}
+
+
+def test_long_pages_tables_and_templates(spark):
+    texts = [PAGE, TRACE, SERVER, TABLE, f"{PROSE} {PROSE}\n404 Not Found\n{PROSE}", "404 Not Found\n" + TABLE, "500"]
+    assert _found(spark, texts) == {0, 1, 2}
+
+
+def test_verdicts_are_propagated(spark):
+    # the form of a seed is hidden in one unit of the template; a companion recurs with messages only
+    odd = [f"Error {i}: request to host {w} was blocked by the outer gateway\nQuote the mark {w} to the desk of the house." for i, w in enumerate(("ab", "cd", "ef", "gh"))]
+    apart = ["The mark of the house is kept by the desk of the town and shown to all."]
+    assert _found(spark, [*odd, *apart, PROSE]) == {0, 1, 2, 3}
+
+
+def test_slots_beside_other_words():
     assert R.has_slot("The variable speed drive of the second pumping unit was sent by road to {{city}} on Monday.")
+    assert R.has_slot(PROSE[:-1] + " and " * 200 + "to {{" + "long_name_" * 9 + "}}.")
     assert not R.has_slot("Here the variable {{city}} names the place.")
+    assert not R.has_slot("[[" + PROSE + " " + PROSE + "]]")
