@@ -1,21 +1,34 @@
-"""Problem 4: rows that share most of their content, found with banded min-hash LSH.
-
-Every row gets a signature of TREES * DEPTH min-hash values over its runs of three words. A tree is
-a band, one hash of DEPTH values; rows that share a band are candidates. The depth is fixed by the
-constants: the longest at which a pair at the threshold meets in some band with at least the target
-probability (`depth_for_recall`). No forest of tries with adaptive prefixes is kept. Candidates pass an exact length bound and a sketch of
-the signature, then the exact share of common shingles of the texts decides.
+"""Problem 4: rows that share most of their content, found with a min-hash LSH forest.
+
+Every row gets TREES labels, each a string of min-hash values over its runs of three words: SHORTEST
+values hashed to a number, then four more levels of four bits each. A label is one key, so that a
+sort of the keys is a trie: rows that share a prefix lie side by side, and the bits two keys agree in
+tell how deep. One sorted walk finds all pairs that share at least SHORTEST levels, with the longest
+prefix they share in any tree. Sketches of the signatures thin the pairs out and tell how similar
+they are; from that the recall at each depth is measured (`depth_reached`), and prefixes are shortened
+from the full depth until it reaches the target. SHORTEST is where a pair at the threshold itself
+meets with the probability LEAST_RECALL, so nothing shorter is ever needed. Pairs that are left are
+verified by the exact share of common shingles.
+
+Nodes of more than WIDE rows are compared in blocks of rows spread over the tasks, by their sketches,
+so that no task holds a node and no unlikely pair is ever written. Nodes of more than DEEP rows are
+split by their further levels first, as the number of comparisons grows with the square: pairs that
+are less similar than about 0.8 can be lost there if they meet in no other node. `deep=None` compares
+these exactly too.
 
 Rows with the same sequence of words form a class, and only one row of a class enters the forest;
-pairs are found between classes and expanded to rows where the result asks for rows. Prefix buckets
-are self-joined on their key, a join that adaptive execution splits when one bucket is large.
+pairs are found between classes and expanded to rows where the result asks for rows.
 
-Null, empty and short texts (under `min_words` words) are in no pair. Extra columns are ignored.
+Null, empty and short texts (under `min_words` words) are in no pair. Extra columns are ignored. There
+may be up to MOST_TABLES values of src_table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +42,11 @@ MIN_WORDS = 30
 SHINGLE = 3
 THRESHOLD = (3, 5)  # the least share of common shingles, as an exact fraction
 TREES = 48
-FULL_DEPTH = 10
-TARGET_RECALL = 0.97
+FULL_DEPTH = 9
+LEAST_RECALL = 0.97  # of pairs at the threshold
+TARGET_RECALL = 0.998  # of all pairs, as measured
+WIDE, BLOCK, DEEP = 1_000, 1_024, 65_536
+MOST_TABLES = 1024
 SKETCH = 32
 #: Of SKETCH compared signature bytes, pairs at the threshold agree in 19 on average; in fewer than 9
 #: with a probability of 1 in 7,000.
@@ -38,7 +54,7 @@ SKETCH_LEAST = 9
 
 _SCHEMA = (
     "src_table string, row_id long, w1 long, w2 long, k1 long, k2 long, f1 long, f2 long, "
-    "n int, prefixes array<int>, sketch binary"
+    "n int, labels array<long>, sketch binary"
 )
 CLASS = ["src_table", "w1", "w2", "f1", "f2"]
 
@@ -51,7 +67,26 @@ def depth_for_recall(threshold: float, trees: int, target: float, deepest: int =
     return 1
 
 
-def _signer(depth: int, shingle: int, min_words: int):
+SHORTEST = depth_for_recall(THRESHOLD[0] / THRESHOLD[1], TREES, LEAST_RECALL)
+
+
+def _labels(values: np.ndarray) -> np.ndarray:
+    """(rows, TREES) labels of 48 bits: a hash of SHORTEST values, then four bits for each further level.
+
+    The further levels of a tree take the values of another one: within a tree all are different functions.
+    """
+    blocks = values.reshape(len(values), TREES, SHORTEST).astype(np.uint64)
+    label = np.zeros((len(values), TREES), np.uint64)
+    for level in range(SHORTEST):
+        label = core.mix(label * core.U64(0x9E3779B97F4A7C15) + blocks[:, :, level] + core.U64(1))
+    label >>= core.U64(32)
+    other = np.roll(blocks, 17, axis=1)
+    for level in range(FULL_DEPTH - SHORTEST):
+        label = label << core.U64(4) | core.mix(other[:, :, level]) & core.U64(15)
+    return label
+
+
+def _signer(more: list[str], shingle: int, min_words: int):
     def sign(rest: dict[str, list], texts: list[str]) -> dict[str, object]:
         word_hashes, n_words = core.words(texts)
         keep = np.flatnonzero(n_words >= min_words)
@@ -59,23 +94,16 @@ def _signer(depth: int, shingle: int, min_words: int):
         w2 = core.sequence_hash(core.mix(word_hashes ^ core.U64(0x5851F42D4C957F2D)), n_words)
         grams, counts = core.shingles(word_hashes, n_words, shingle)
         grams, counts = core.distinct_per_text(grams, counts)
-        values = core.minhash(grams, counts, TREES * depth)[keep]
-        blocks = values.reshape(len(keep), TREES, depth).astype(np.uint64)
-        prefix = np.zeros((len(keep), TREES), np.uint64)
-        for level in range(depth):
-            prefix = core.mix(prefix * core.U64(0x9E3779B97F4A7C15) + blocks[:, :, level] + core.U64(1))
-        prefix = (prefix >> core.U64(32)).astype(np.uint32).view(np.int32)
+        values = core.minhash(grams, counts, TREES * SHORTEST)[keep]
         sketch = (values[:, :SKETCH] & np.uint32(255)).astype(np.uint8)
         k1, k2 = core.rolling_hashes(texts)
         f1, f2, mask = core.field_hashes(texts)
         f1, f2 = np.where(mask, f1, 0), np.where(mask, f2, 0)
         return {
-            "src_table": [rest["src_table"][i] for i in keep],
-            "row_id": [rest["row_id"][i] for i in keep],
             "n": counts[keep].astype(np.int32),
-            "prefixes": list(prefix),
+            "labels": list(_labels(values).view(np.int64)),
             "sketch": [s.tobytes() for s in sketch],
-        } | {
+        } | {c: [rest[c][i] for i in keep] for c in ("src_table", "row_id", *more)} | {
             name: core.signed(np.ascontiguousarray(x))[keep]
             for name, x in (("w1", w1), ("w2", w2), ("k1", k1), ("k2", k2), ("f1", f1), ("f2", f2))
         }
@@ -83,10 +111,11 @@ def _signer(depth: int, shingle: int, min_words: int):
     return sign
 
 
-def signatures(rows: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Hashes, forest prefixes and sketch of each row with enough words, as a written table."""
-    depth = depth_for_recall(THRESHOLD[0] / THRESHOLD[1], TREES, TARGET_RECALL)
-    signed = map_text(rows.select("src_table", "row_id", "text"), _SCHEMA, _signer(depth, shingle, min_words))
+def signatures(rows: DataFrame, more: str | None = None, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
+    """Hashes, labels and sketch of each row with enough words, and its int column `more`, as a written table."""
+    extra = [more] if more else []
+    schema = _SCHEMA + "".join(f", {c} int" for c in extra)
+    signed = map_text(rows.select("src_table", "row_id", *extra, "text"), schema, _signer(extra, shingle, min_words))
     return write_table(signed, "signatures")
 
 
@@ -95,41 +124,148 @@ def classes_of(signed: DataFrame, *more) -> DataFrame:
     return signed.groupBy(*CLASS).agg(F.min("row_id").alias("rep"), F.count("*").alias("n_rows"), *more)
 
 
-def candidate_pairs(reps: DataFrame, order: str | None = None) -> DataFrame:
-    """(src_table, a, b): pairs of rows that share a prefix in some tree, once each.
-
-    reps: (src_table, row_id, prefixes); with `order`, only pairs whose value of that column differs
-    are made, the one with the smaller value first.
+def _walker(ordered: bool, floor: int, wide: int, deep: int | None):
+    """A walk over sorted (key, row, ord): pairs of narrow nodes, members of wide ones."""
+    low = np.int64((1 << 16) - 1)
+
+    def parts(keys: np.ndarray, begin: int, end: int, shift: int) -> Iterator[tuple[int, int]]:
+        if end - begin <= wide or deep is None or end - begin <= deep or shift == 0:
+            yield begin, end
+            return
+        cuts = np.flatnonzero(np.diff(keys[begin:end] >> np.int64(shift - 4))) + begin + 1
+        for x, y in zip([begin, *cuts], [*cuts, end]):
+            yield from parts(keys, x, y, shift - 4)
+
+    def batch_of(code, a, b, depth, node) -> pa.RecordBatch:
+        n = len(a)
+        columns = [
+            pa.array(code.astype(np.int32)), pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b),
+            pa.nulls(n, pa.int32()) if depth is None else pa.array(depth.astype(np.int32)), pa.nulls(n, pa.int64()) if node is None else pa.array(node),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["code", "a", "b", "depth", "node"])
+
+    def process(keys: np.ndarray, rows: np.ndarray, ords: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nodes = keys >> np.int64(16)
+        code = (nodes >> np.int64(32)) & np.int64(MOST_TABLES - 1)
+        starts = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(keys)])))
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            own = starts[sizes == size]
+            if size > wide:
+                for begin in own.tolist():
+                    for x, y in parts(keys, begin, begin + size, 16):
+                        if y - x > 1:
+                            yield batch_of(code[x:y], rows[x:y], None, None, np.full(y - x, keys[x]))
+                continue
+            i, j = np.triu_indices(size, 1)
+            step = max(1, 2_000_000 // len(i))
+            for at in range(0, len(own), step):
+                base = own[at : at + step, None]
+                x, y = (base + i).ravel(), (base + j).ravel()
+                if ordered:
+                    good = (ords[x] != ords[y]) & (np.maximum(ords[x], ords[y]) >= floor)
+                    x, y = x[good], y[good]
+                    swap = ords[x] > ords[y]
+                else:
+                    swap = rows[x] > rows[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                differ = (keys[x] ^ keys[y]) & low
+                depth = SHORTEST + sum((differ < 1 << bits).astype(np.int32) for bits in (12, 8, 4, 0))
+                if x.size:
+                    yield batch_of(code[x], rows[x], rows[y], depth, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(c).to_numpy() for c in ("key", "row_id", "ord")))
+            size = sum(len(h[0]) for h in held)
+            first, last = held[0][0][0] >> np.int64(16), held[-1][0][-1] >> np.int64(16)
+            if size < 200_000 or first == last:
+                continue
+            keys, rows, ords = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(keys >> np.int64(16), last))
+            yield from process(keys[:cut], rows[:cut], ords[:cut])
+            held = [(keys[cut:], rows[cut:], ords[cut:])]
+        if held:
+            yield from process(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def _blocks(ordered: bool, floor: int):
+    """The pairs of two blocks of a wide node whose sketches agree enough."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, ords, block = (table.column(c).to_numpy() for c in ("a", "ord", "own"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(left), 128):
+            some = left[at : at + 128]
+            agree = np.zeros((len(some), len(right)), np.uint8)
+            for k in range(SKETCH):
+                agree += sketches[some, k][:, None] == sketches[right, k][None, :]
+            x, y = np.nonzero(agree >= SKETCH_LEAST)
+            x, y = some[x], right[y]
+            good = ids[x] < ids[y] if i == j else ids[x] != ids[y]
+            if ordered:
+                good &= (ords[x] != ords[y]) & (np.maximum(ords[x], ords[y]) >= floor)
+            out.append(np.stack((x[good], y[good])))
+        x, y = np.concatenate(out, axis=1)
+        swap = ords[x] > ords[y] if ordered else ids[x] > ids[y]
+        a, b = np.where(swap, ids[y], ids[x]), np.where(swap, ids[x], ids[y])
+        code = table.column("code")[0].as_py()
+        return pa.table({"code": pa.array(np.full(len(a), code, np.int32)), "a": a, "b": b, "depth": pa.array(np.full(len(a), SHORTEST, np.int32))})
+
+    return compare
+
+
+def candidate_pairs(reps: DataFrame, order: str | None = None, floor: int = 0, wide: int = WIDE, deep: int | None = DEEP) -> DataFrame:
+    """(src_table, a, b, depth): pairs of rows that share a prefix in some tree, once each, with the longest; a written table.
+
+    reps: (src_table, row_id, labels, sketch); with `order`, an int column, only pairs whose value of it
+    differs and is from `floor` on in one of them are made, the one with the smaller value first.
     """
-    more = [order] if order else []
-    code = F.pmod(F.hash("src_table"), F.lit(1 << 25)).cast("long")
-    names = write_table(reps.select(code.alias("code"), "src_table").distinct(), "table-codes")  # a row a table
-    entries = reps.select("row_id", *more, code.alias("code"), F.posexplode("prefixes").alias("tree", "prefix")).select(
-        # one number orders the tries: table, tree, prefix
-        (F.shiftleft(F.col("code") * 64 + F.col("tree"), 32) + F.col("prefix").cast("long") + (1 << 31)).alias("key"),
-        "row_id",
-        *more,
-    )
-    left = entries.withColumnRenamed("row_id", "a")
-    right = entries.withColumnRenamed("row_id", "b")
-    rule = F.col("a") < F.col("b")
-    if order:
-        left, right = left.withColumnRenamed(order, "_oa"), right.withColumnRenamed(order, "_ob")
-        rule = F.col("_oa") < F.col("_ob")
-    met = left.join(right, "key").where(rule).select(F.shiftright("key", 38).alias("code"), "a", "b").distinct()
-    # a left join, as an inner one would filter one side of the self-join and keep it from sharing its shuffle
-    return met.join(names, "code", "left").select("src_table", "a", "b")
+    names = sorted(r["src_table"] for r in reps.select("src_table").distinct().collect())  # a row a table
+    if len(names) > MOST_TABLES:
+        raise ValueError(f"more than {MOST_TABLES} tables")
+    codes = reps.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "src_table string, code int")
+    code = F.coalesce(*(F.when(F.col("src_table") == n, i) for i, n in enumerate(names)), F.lit(0)).cast("long")
+    ord_ = (F.col(order) if order else F.lit(0)).cast("int").alias("ord")
+    entries = reps.select("row_id", ord_, code.alias("code"), F.posexplode("labels").alias("tree", "label")).select(
+        # one number orders the tries: tree, table, label
+        (F.shiftleft(F.col("tree").cast("long") * MOST_TABLES + F.col("code"), 48) + F.col("label")).alias("key"), "row_id", "ord",
+    )
+    sorted_ = entries.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
+    walked = sorted_.mapInArrow(_walker(bool(order), floor, wide, deep), "code int, a long, b long, depth int, node long")
+    met = write_table(walked.groupBy("code", "a", "b", "node").agg(F.max("depth").alias("depth")), "near-met")
+    pairs = met.where(F.col("b").isNotNull()).select("code", "a", "b", "depth")
+    members = met.where(F.col("node").isNotNull()).select("code", "node", "a")
+    if members.limit(1).count():
+        sizes = members.groupBy("node").agg(F.count("*").alias("_m"))
+        known = join_groups(members, sizes, ["node"], "_m").withColumn("blocks", F.ceil(F.col("_m") / BLOCK).cast("int"))
+        known = known.withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        side = reps.select(code.cast("int").alias("code"), F.col("row_id").alias("a"), ord_, "sketch")
+        spread = known.join(side, ["code", "a"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select("code", "node", "a", "ord", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        blocks = spread.groupBy("code", "node", "i", "j").applyInArrow(_blocks(bool(order), floor), "code int, a long, b long, depth int")
+        pairs = pairs.unionByName(blocks).groupBy("code", "a", "b").agg(F.max("depth").alias("depth"))
+    return pairs.join(F.broadcast(codes), "code").select("src_table", "a", "b", "depth")  # a row a table
 
 
 def _sketch_batch(batch) -> dict[str, object]:
     a = np.frombuffer(b"".join(batch.column("sketch_a").to_pylist()), np.uint8).reshape(-1, SKETCH)
     b = np.frombuffer(b"".join(batch.column("sketch_b").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    keep = np.flatnonzero((a == b).sum(axis=1) >= SKETCH_LEAST)
-    return {c: batch.column(c).take(keep) for c in ("src_table", "a", "b")}
+    agree = (a == b).sum(axis=1).astype(np.int32)
+    keep = np.flatnonzero(agree >= SKETCH_LEAST)
+    return {c: batch.column(c).take(keep) for c in ("src_table", "a", "b", "depth")} | {"agree": agree[keep]}
 
 
 def by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs that can reach the threshold by their numbers of shingles and by their sketches."""
+    """(src_table, a, b, depth, agree) of the pairs that can reach the threshold by their numbers of shingles and by their sketches."""
     num, den = THRESHOLD
     side = reps.select("src_table", "row_id", "n", "sketch")
     both = pairs.join(
@@ -137,10 +273,24 @@ def by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     ).join(side.toDF("src_table", "b", "n_b", "sketch_b"), ["src_table", "b"])
     bounded = both.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     return map_batches(
-        bounded.select("src_table", "a", "b", "sketch_a", "sketch_b"), "src_table string, a long, b long", _sketch_batch
+        bounded.select("src_table", "a", "b", "depth", "sketch_a", "sketch_b"), "src_table string, a long, b long, depth int, agree int", _sketch_batch
     )
 
 
+def depth_reached(counts: dict[tuple[int, int], int], target: float = TARGET_RECALL) -> int:
+    """The longest depth whose measured recall reaches the target, else SHORTEST.
+
+    counts: pairs by (depth, agreeing bytes of SKETCH). Each likely pair stands for as many as its
+    similarity makes the forest miss at SHORTEST, so the whole is estimated from what was met.
+    """
+    likely = {k: n for k, n in counts.items() if k[1] * THRESHOLD[1] >= SKETCH * THRESHOLD[0]}
+    whole = sum(n / (1 - (1 - (agree / SKETCH) ** SHORTEST) ** TREES) for (_, agree), n in likely.items())
+    for depth in range(FULL_DEPTH, SHORTEST, -1):
+        if whole and sum(n for (at, _), n in likely.items() if at >= depth) >= target * whole:
+            return depth
+    return SHORTEST
+
+
 def _verifier(shingle: int):
     def verify(batch) -> dict[str, object]:
         sides = []
@@ -177,13 +327,22 @@ def verify(pairs: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> DataFra
     return counted.where(F.col("common") * den >= F.col("either") * num)
 
 
-def class_links(rows: DataFrame, signed: DataFrame, classes: DataFrame, order: str | None = None) -> DataFrame:
-    """Similar pairs between the representatives of `classes`, exact copies left out; a written table."""
-    reps = signed.join(
-        classes.select("src_table", F.col("rep").alias("row_id"), *([order] if order else [])), ["src_table", "row_id"]
-    )
-    pairs = by_sketch(candidate_pairs(reps, order), signed)
-    return write_table(verify(write_table(pairs, "near-candidates"), rows), "near-links")
+def representatives(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The signed rows that stand for their classes; only the other rows of classes of several are looked up."""
+    several = classes.where("n_rows > 1").select(*CLASS, "rep", "n_rows")
+    others = join_groups(signed.select(*CLASS, "row_id"), several, CLASS, "n_rows").where("row_id <> rep").select("src_table", "row_id")
+    return signed.join(write_table(others, "near-others"), ["src_table", "row_id"], "left_anti")
+
+
+def class_links(rows: DataFrame, reps: DataFrame, order: str | None = None, floor: int = 0) -> DataFrame:
+    """(src_table, a, b, common, either): similar pairs among the signed rows `reps`; a written table.
+
+    rows: (src_table, row_id, text) of at least these rows.
+    """
+    pairs = write_table(by_sketch(candidate_pairs(reps, order, floor), reps), "near-candidates")
+    counts = pairs.groupBy("depth", "agree").agg(F.count("*").alias("c")).collect()  # FULL_DEPTH * SKETCH rows at most
+    depth = depth_reached({(r["depth"], r["agree"]): r["c"] for r in counts})
+    return write_table(verify(pairs.where(F.col("depth") >= depth), rows), "near-links")
 
 
 def _without_copies(links: DataFrame, signed: DataFrame) -> DataFrame:
@@ -205,7 +364,7 @@ def near_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives, and (src_table, rep, row_id) of every row of the linked classes."""
     signed = signatures(rows)
     classes = write_table(classes_of(signed), "near-classes")
-    links = write_table(_without_copies(class_links(rows, signed, classes), signed), "near-pairs")
+    links = write_table(_without_copies(class_links(rows, representatives(signed, classes)), signed), "near-pairs")
     linked = links.select("src_table", F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = classes.join(linked, ["src_table", "rep"])
     members = join_groups(signed.select(*CLASS, "row_id"), wanted, CLASS, "n_rows").select("src_table", "rep", "row_id")
@@ -231,7 +390,7 @@ def groups(rows: DataFrame) -> DataFrame:
     """
     signed = signatures(rows)
     classes = write_table(classes_of(signed), "near-classes")
-    links = write_table(_without_copies(class_links(rows, signed, classes), signed), "near-pairs")
+    links = write_table(_without_copies(class_links(rows, representatives(signed, classes)), signed), "near-pairs")
     connected = write_table(connected_components(links, "src_table", "a", "b"), "near-groups").withColumnRenamed("node", "rep")
     sizes = classes.select("src_table", "rep", "n_rows")
     ends = links.select("src_table", F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(
