@@ -51,6 +51,8 @@ SKETCH = 32
 #: Of SKETCH compared signature bytes, pairs at the threshold agree in 19 on average; in fewer than 9
 #: with a probability of 1 in 7,000.
 SKETCH_LEAST = 9
+#: From this many on a pair counts when recall is measured; pairs at the threshold stay below in 3 of 100.
+SKETCH_LIKELY = 14
 
 _SCHEMA = (
     "src_table string, row_id long, w1 long, w2 long, k1 long, k2 long, f1 long, f2 long, "
@@ -280,10 +282,10 @@ def by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def depth_reached(counts: dict[tuple[int, int], int], target: float = TARGET_RECALL) -> int:
     """The longest depth whose measured recall reaches the target, else SHORTEST.
 
-    counts: pairs by (depth, agreeing bytes of SKETCH). Each likely pair stands for as many as its
+    counts: pairs by (depth, agreeing bytes of SKETCH). Each pair that may be similar stands for as many as its
     similarity makes the forest miss at SHORTEST, so the whole is estimated from what was met.
     """
-    likely = {k: n for k, n in counts.items() if k[1] * THRESHOLD[1] >= SKETCH * THRESHOLD[0]}
+    likely = {k: n for k, n in counts.items() if k[1] >= SKETCH_LIKELY}
     whole = sum(n / (1 - (1 - (agree / SKETCH) ** SHORTEST) ** TREES) for (_, agree), n in likely.items())
     for depth in range(FULL_DEPTH, SHORTEST, -1):
         if whole and sum(n for (at, _), n in likely.items() if at >= depth) >= target * whole:
@@ -327,11 +329,16 @@ def verify(pairs: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> DataFra
     return counted.where(F.col("common") * den >= F.col("either") * num)
 
 
-def representatives(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """The signed rows that stand for their classes; only the other rows of classes of several are looked up."""
+def representatives(signed: DataFrame, classes: DataFrame, more: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the signed rows that stand for their classes, (src_table, row_id, rep) and `more` of all other rows).
+
+    Only rows of classes of several rows are looked up.
+    """
+    extra = [more] if more else []
     several = classes.where("n_rows > 1").select(*CLASS, "rep", "n_rows")
-    others = join_groups(signed.select(*CLASS, "row_id"), several, CLASS, "n_rows").where("row_id <> rep").select("src_table", "row_id")
-    return signed.join(write_table(others, "near-others"), ["src_table", "row_id"], "left_anti")
+    others = join_groups(signed.select(*CLASS, "row_id", *extra), several, CLASS, "n_rows").where("row_id <> rep")
+    others = write_table(others.select("src_table", "row_id", "rep", *extra), "near-others")
+    return signed.join(others.select("src_table", "row_id"), ["src_table", "row_id"], "left_anti"), others
 
 
 def class_links(rows: DataFrame, reps: DataFrame, order: str | None = None, floor: int = 0) -> DataFrame:
@@ -364,7 +371,7 @@ def near_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives, and (src_table, rep, row_id) of every row of the linked classes."""
     signed = signatures(rows)
     classes = write_table(classes_of(signed), "near-classes")
-    links = write_table(_without_copies(class_links(rows, representatives(signed, classes)), signed), "near-pairs")
+    links = write_table(_without_copies(class_links(rows, representatives(signed, classes)[0]), signed), "near-pairs")
     linked = links.select("src_table", F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = classes.join(linked, ["src_table", "rep"])
     members = join_groups(signed.select(*CLASS, "row_id"), wanted, CLASS, "n_rows").select("src_table", "rep", "row_id")
@@ -390,7 +397,7 @@ def groups(rows: DataFrame) -> DataFrame:
     """
     signed = signatures(rows)
     classes = write_table(classes_of(signed), "near-classes")
-    links = write_table(_without_copies(class_links(rows, representatives(signed, classes)), signed), "near-pairs")
+    links = write_table(_without_copies(class_links(rows, representatives(signed, classes)[0]), signed), "near-pairs")
     connected = write_table(connected_components(links, "src_table", "a", "b"), "near-groups").withColumnRenamed("node", "rep")
     sizes = classes.select("src_table", "rep", "n_rows")
     ends = links.select("src_table", F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(
