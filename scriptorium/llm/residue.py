@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.frames import map_batches, map_text
+from scriptorium.llm.frames import likely_rows, map_batches, map_text
 from scriptorium.operators.skew import join_groups
 from scriptorium.session import write_table
 
@@ -112,7 +112,7 @@ _MESSAGES = {
     ),
     "filler": re.compile(
         r"(?i)^lorem ipsum|^your text\b|^(?:add|insert|enter|type|place) (?:\w+ ){0,2}(?:text|content|copy|description)\b.{0,12}$"
-        r"|^click (?:here )?to (?:edit|add)\b|.*\bto be (?:supplied|provided|added|written)\b.{0,12}$|^(?:text|content|description|details?) (?:follows|to follow|goes here|coming soon)\b"
+        r"|^click (?:here )?to (?:edit|add)\b|^(?:text|content|description|details?) (?:follows|to follow|goes here|coming soon)\b"
         r"|^this is (?:a )?(?:placeholder|dummy|sample|filler)\b|^(?:sample|dummy|placeholder|filler|example) (?:text|copy|content|paragraph)\b"
         r"|^blindtext\b|^platzhalter\b|^(?:mustertext|beispieltext)\b|^text folgt\b|^(?:texto|contenido) de (?:prueba|relleno|ejemplo)\b"
         r"|^texte? (?:d['’]exemple|factice|provisoire|de remplissage|à venir|à remplacer)\b|^(?:test ){2,}|^coming soon\b|^(?:tbd|tba|todo|n/a)\W*$"
@@ -168,15 +168,35 @@ def has_filler(text: str) -> bool:
     return False
 
 
-def form_of(unit: str) -> str | None:
+#: First words of all forms of seeds; only units with one of them, or begun by no letter, are matched.
+_OPENERS = frozenset(
+    "please veuillez bitte you por enable activate activer activez aktivieren active activa habilite turn allow javascript script scripts "
+    "cookie cookies your this ihr votre su noscript checking loading diese cette esta este http error erreur fehler status fatal warning "
+    "exception traceback page seite página document file datei archivo fichier the access zugriff accès acceso permission forbidden "
+    "unauthorised unauthorized bad not internal interner service gateway connection an a unexpected unknown server database system something oops "
+    "cannot can could unable failed too session site under le el der servicio dienst request lorem add insert enter type place click text "
+    "texte texto content description detail details sample dummy placeholder filler example blindtext platzhalter mustertext beispieltext "
+    "contenido test coming tbd tba todo n asdf qwerty foo hier replace".split()
+)
+_FIRST = re.compile(r"[^\W\d_]+")
+_TO_BE = re.compile(r"(?i)\bto be (?:supplied|provided|added|written)\b.{0,12}$")
+
+
+def form_of(unit: str, follows: bool = True) -> str | None:
     """The kind of message whose form a unit has (`follows` for what messages are followed by), or None."""
-    kind = next((kind for kind, pattern in _MESSAGES.items() if pattern.match(unit)), None)
-    if kind is None and _TRACE.match(unit):
+    first = _FIRST.match(unit)
+    if first is None or (word := first.group().lower()) in _OPENERS or word.startswith("xx"):
+        for kind, pattern in _MESSAGES.items():
+            if pattern.match(unit):
+                return kind
+    if "o be " in unit.lower() and _TO_BE.search(unit):
+        return "filler"
+    if _TRACE.match(unit):
         return "error"
-    return kind or ("follows" if _FOLLOWS.match(unit) else None)
+    return "follows" if follows and _FOLLOWS.match(unit) else None
 
 
-def units_of(text: str) -> Iterator[tuple[str, int, str | None]]:
+def units_of(text: str, follows: bool = True) -> Iterator[tuple[str, int, str | None]]:
     """(masked unit, words, form) of a record; headings, request marks and labels of menus are left out.
 
     A row of a table is one unit without a form, whatever its cells hold.
@@ -193,7 +213,7 @@ def units_of(text: str) -> Iterator[tuple[str, int, str | None]]:
                 unit = unit.strip()
                 if not unit:
                     continue
-                size, form = len(unit.split()), form_of(unit)
+                size, form = len(unit.split()), form_of(unit, follows)
                 if form or size > LABEL or unit.endswith((".", "!", "…", ":")):
                     yield _NUMBER.sub("0", unit), size, form
 
@@ -212,13 +232,13 @@ def _scan(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
     out: dict[str, list] = {"src_table": [], "row_id": [], "direct": [], "leaves": [], "seeds": []}
     for key, row, text in zip(rest["src_table"], rest["row_id"], texts):
         hit = has_slot(text) or has_filler(text)
-        units = [] if hit else [(_leaf_code(u), form) for u, _, form in units_of(text) if u != "|"]
+        units = [] if hit else [(_leaf_code(u), form) for u, _, form in units_of(text, follows=False) if u != "|"]
         if hit or units:
             out["src_table"].append(key)
             out["row_id"].append(row)
             out["direct"].append(hit)
             out["leaves"].append(list({leaf for leaf, _ in units}))
-            out["seeds"].append(list({leaf for leaf, form in units if form and form != "follows"}))
+            out["seeds"].append(list({leaf for leaf, form in units if form}))
     return out
 
 
@@ -356,7 +376,7 @@ def find_residue(rows: DataFrame) -> DataFrame:
     row = ["src_table", "row_id"]
     scanned = scan(rows)
     mined = write_table(mined_rows(scanned), "message-rows")
-    units = write_table(map_text(rows.select(*row, "text").join(mined, row, "left_semi"), _UNITS, _units), "message-units")
+    units = write_table(map_text(likely_rows(rows.select(*row, "text"), mined, row).join(mined, row, "left_semi"), _UNITS, _units), "message-units")
     placed = templates(units)
     judged = placed.join(verdicts(placed, scanned), "template").select("unit", "n", "message", "belongs")
     decided = join_groups(units, write_table(judged, "message-judged"), ["unit"], "n", "left").groupBy(*row).agg(
