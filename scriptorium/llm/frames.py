@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,28 @@ def map_batches(
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
+
+
+#: Bits of the set that marks wanted rows; its size doesn't depend on the data.
+ROW_BITS = 23
+
+
+def likely_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may occur in `wanted`, without a shuffle: all that do, and some that share a bit with one.
+
+    Makes the join that follows small; where more rows are wanted than there are bits it keeps all.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(1 << ROW_BITS)).cast("int")
+    hit = wanted.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()  # at most 2 ** ROW_BITS numbers
+    marks = np.zeros(1 << ROW_BITS, bool)
+    marks[hit] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            good = marks[batch.column("_bit").to_numpy()]
+            if good.any():
+                yield batch.filter(pa.array(good)).drop_columns(["_bit"])
+
+    return rows.withColumn("_bit", bit).mapInArrow(keep, rows.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import textcore as core
-from scriptorium.llm.frames import map_batches, map_text
+from scriptorium.llm.frames import likely_rows, map_batches, map_text
 from scriptorium.operators.components import connected_components
 from scriptorium.operators.skew import join_groups
 from scriptorium.session import write_table
@@ -314,11 +314,13 @@ def _verifier(shingle: int):
 def verify(pairs: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(src_table, a, b, common, either) of the pairs whose texts share enough distinct shingles.
 
-    The texts are fetched in one join of both sides' keys, then brought together by pair.
+    The rows that may be wanted are picked by a broadcast set of bits, then fetched in one join of both
+    sides' keys and brought together by pair.
     """
     num, den = THRESHOLD
     ends = pairs.select("src_table", "a", "b", F.explode(F.array("a", "b")).alias("row_id"))
-    texts = ends.join(rows.select("src_table", "row_id", "text"), ["src_table", "row_id"])
+    few = likely_rows(rows.select("src_table", "row_id", "text"), ends, ["src_table", "row_id"])
+    texts = ends.join(few, ["src_table", "row_id"])
     both = texts.groupBy("src_table", "a", "b").agg(
         F.max(F.when(F.col("row_id") == F.col("a"), F.col("text"))).alias("text_a"),
         F.max(F.when(F.col("row_id") == F.col("b"), F.col("text"))).alias("text_b"),
@@ -349,7 +351,7 @@ def class_links(rows: DataFrame, reps: DataFrame, order: str | None = None, floo
     pairs = write_table(by_sketch(candidate_pairs(reps, order, floor), reps), "near-candidates")
     counts = pairs.groupBy("depth", "agree").agg(F.count("*").alias("c")).collect()  # FULL_DEPTH * SKETCH rows at most
     depth = depth_reached({(r["depth"], r["agree"]): r["c"] for r in counts})
-    return write_table(verify(pairs.where(F.col("depth") >= depth), rows), "near-links")
+    return write_table(verify(pairs.where(F.col("depth") >= depth).select("src_table", "a", "b"), rows), "near-links")
 
 
 def _without_copies(links: DataFrame, signed: DataFrame) -> DataFrame:
