@@ -3,14 +3,19 @@
 Vectors of length one are projected by several independent Gaussian (2-stable) maps to DIMS
 dimensions. Each projection is indexed by a kd-tree: its upper levels are fitted on a bounded sample
 and route every vector to a cell; within a cell the tree goes on with exact medians down to leaves.
-A squared projected distance divided by the squared true distance follows a chi-square law with DIMS
-degrees of freedom. That gives both tests: a projected neighbour is verified only if its projected
-distance is one that a pair at `least` similarity keeps with probability 1 - MISS_PROBABILITY, and
-projections are added until a pair at `typical` similarity meets in some leaf with the target
-probability. Verified neighbours are merged over the projections, exact cosines decide.
+
+A leaf is searched incrementally: the projected neighbours of each row are verified in rising order
+of their projected distance, a few at first, then twice as many each time. A squared projected
+distance divided by the squared true distance follows a chi-square law with DIMS degrees of freedom,
+so a row stops as soon as its next projected neighbour is farther than one as near as its k-th best
+would be projected with probability 1 - MISS_PROBABILITY; a row without k good neighbours stops where
+that holds for a pair at `least`. Projections are as many as make a pair at `least` itself share a
+leaf with the target probability, whatever the number of rows; none is left out (`trees_needed`).
+Verified neighbours are merged over the projections, exact cosines decide.
 
 A single tree searched across its cells would have to visit most of them: at a cosine of 0.9 the
 chi-square radius in 8 dimensions is 1.9 where the data spread is 1 in each. Hence several trees.
+`exact_neighbours` compares a stated set of queries with all rows in blocks where that is wanted.
 
 Usable rows have an embedding of DIM elements that aren't all zero, without null or non-finite ones,
 and aren't marked as deduplicated; all others, null embeddings among them, are left out. Rows with equal
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.frames import map_batches
+from scriptorium.operators.retrieval import nearest_in_blocks
 from scriptorium.operators.skew import join_groups
 from scriptorium.session import write_table
 
@@ -39,8 +45,8 @@ SAMPLE = 50_000  # rows the upper tree levels are fitted on, at most; every row
 MOST_CELLS = 4096
 MISS_PROBABILITY = 0.002
 TARGET = 0.999
-TYPICAL = 0.95
-MOST_TREES = 24
+LEAST = 0.9
+FIRST = 32  # projected neighbours of a row verified at first
 CODE_ERROR = 0.01  # cosines of 8-bit codes are off by less
 
 
@@ -69,18 +75,16 @@ def projection(tree: int, dim: int = DIM) -> np.ndarray:
     return np.random.default_rng(1000 + tree).standard_normal((dim, DIMS)).astype(np.float32)
 
 
-def trees_needed(n_rows: int, cosine: float = TYPICAL, target: float = TARGET) -> int:
+def trees_needed(n_rows: int, cosine: float = LEAST, target: float = TARGET, leaf: int = LEAF) -> int:
     """How many trees make a pair of this cosine share a leaf in one of them with the target probability.
 
     A median split separates the pair with about E|d| times the density at the median, where d is
     its projected difference.
     """
-    levels = max(0, math.ceil(math.log2(max(1, n_rows / LEAF))))
+    levels = max(0, math.ceil(math.log2(max(1, n_rows / leaf))))
     apart = math.sqrt(2 * (1 - cosine)) * math.sqrt(2 / math.pi) / math.sqrt(2 * math.pi)
     together = (1 - apart) ** levels
-    if together >= target:
-        return 1
-    return min(MOST_TREES, math.ceil(math.log(1 - target) / math.log(1 - together)))
+    return 1 if together >= target else math.ceil(math.log(1 - target) / math.log(1 - together))
 
 
 def fit_cells(points: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,36 +134,71 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _search_leaf(ids: np.ndarray, unit: np.ndarray, low: np.ndarray, radius: float, least: float, keep: int) -> Iterator[tuple]:
+def _cosines(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    parts = [np.einsum("ij,ij->i", unit[a[s : s + 20000]], unit[b[s : s + 20000]]) for s in range(0, a.size, 20000)]
+    return np.concatenate(parts) if parts else np.zeros(0, unit.dtype)
+
+
+def search_incrementally(unit: np.ndarray, low: np.ndarray, quantile: float, least: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine) of the verified neighbours of each row of a leaf, and the stopping test above.
+
+    unit: rows of length one; low: their projections; quantile: of the chi-square law. The smallest
+    projected distances of a row are verified first; with `reach` of them verified the row stops if the
+    next one is beyond what the k-th best so far allows. Rows that go on verify twice as many.
+    """
+    n = len(unit)
+    square = (low * low).sum(axis=1)
+    out: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, n, 512):
+        rows = np.arange(at, min(at + 512, n))
+        far = square[rows, None] + square[None, :] - 2 * (low[rows] @ low.T)
+        far[np.arange(len(rows)), rows] = np.inf
+        radius = np.full(len(rows), 2 * (1 - least) * quantile)  # of a pair at `least`
+        best = np.full((len(rows), keep), -np.inf)
+        active, done, reach = np.arange(len(rows)), 0, min(FIRST, n - 1)
+        while active.size and reach > done:
+            part = far[active]
+            order = np.argpartition(part, reach - 1, axis=1)[:, :reach] if reach < n else np.argsort(part, axis=1)[:, :reach]
+            taken = np.take_along_axis(part, order, axis=1)
+            if done:  # what was verified before is the nearest `done`
+                inner = np.argsort(taken, axis=1, kind="stable")[:, done:]
+                order, taken = np.take_along_axis(order, inner, axis=1), np.take_along_axis(taken, inner, axis=1)
+            i, j = np.nonzero(taken <= radius[active, None])
+            a, b = rows[active[i]], order[i, j]
+            cosine = _cosines(unit, a, b)
+            good = cosine >= least
+            out.append((a[good], b[good], cosine[good]))
+            found = np.full(taken.shape, -np.inf)
+            found[i, j] = cosine
+            top = np.concatenate((best[active], found), axis=1)
+            best[active] = -np.partition(-top, keep - 1, axis=1)[:, :keep]
+            kth = np.maximum(best[active].min(axis=1), least)
+            radius[active] = np.minimum(radius[active], 2 * (1 - kth + CODE_ERROR) * quantile)
+            active = active[taken.max(axis=1) < radius[active]]
+            done, reach = reach, min(2 * reach, n - 1)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _search_leaf(ids: np.ndarray, unit: np.ndarray, low: np.ndarray, quantile: float, least: float, keep: int, leaf: int) -> Iterator[tuple]:
     """(a, b, cosine) of verified neighbours within each leaf: all that may be among the `keep` best by the coding error."""
-    if len(ids) > LEAF:
+    if len(ids) > leaf:
         d = int(np.argmax(low.var(axis=0)))
         order = np.argsort(low[:, d], kind="stable")
         for part in (order[: len(ids) // 2], order[len(ids) // 2 :]):
-            yield from _search_leaf(ids[part], unit[part], low[part], radius, least, keep)
+            yield from _search_leaf(ids[part], unit[part], low[part], quantile, least, keep, leaf)
         return
-    square = (low * low).sum(axis=1)
-    projected = square[:, None] + square[None, :] - 2 * (low @ low.T)
-    np.fill_diagonal(projected, np.inf)
-    a, b = np.nonzero(projected <= radius)
+    a, b, cosine = search_incrementally(unit, low, quantile, least, keep)
     if not a.size:
         return
-    # verify the survivors of the projected test; a full product is cheaper when they are many
-    if a.size > 0.05 * len(ids) ** 2:
-        cosine = (unit @ unit.T)[a, b]
-    else:
-        cosine = np.concatenate([np.einsum("ij,ij->i", unit[a[s : s + 20000]], unit[b[s : s + 20000]]) for s in range(0, a.size, 20000)])
-    good = cosine >= least
-    a, b, cosine = a[good], b[good], cosine[good]
     order = np.lexsort((ids[b], -cosine, a))
     a, b, cosine = a[order], b[order], cosine[order]
     first = np.searchsorted(a, a, side="left")
     last = np.minimum(first + keep, np.searchsorted(a, a, side="right")) - 1
-    top = cosine >= cosine[last] - 2 * CODE_ERROR if a.size else np.zeros(0, bool)
+    top = cosine >= cosine[last] - 2 * CODE_ERROR
     yield ids[a[top]], ids[b[top]], cosine[top]
 
 
-def find_neighbours(rows: DataFrame, k: int = K, least: float = 0.9, n_rows: int | None = None) -> DataFrame:
+def find_neighbours(rows: DataFrame, k: int = K, least: float = LEAST, n_rows: int | None = None, leaf: int = LEAF) -> DataFrame:
     """(a, b, cosine): up to `k` most similar other rows of each row of (vec_row, embedding), from `least` on.
 
     The rows should have different embeddings (see `find_pairs` for classes of equal ones).
@@ -169,15 +208,15 @@ def find_neighbours(rows: DataFrame, k: int = K, least: float = 0.9, n_rows: int
     schema_out = "a long, b long"
     if n_rows < 2:
         return spark.createDataFrame([], "a long, b long, cosine double")
-    trees = trees_needed(n_rows)
-    levels = min(int(math.log2(MOST_CELLS)), max(0, round(math.log2(max(1, n_rows / (4 * LEAF))))))
+    trees = trees_needed(n_rows, least, leaf=leaf)
+    levels = min(int(math.log2(MOST_CELLS)), max(0, round(math.log2(max(1, n_rows / (4 * leaf))))))
     share = min(1.0, SAMPLE / n_rows)
     sample = rows.where(F.pmod(F.xxhash64("vec_row"), F.lit(1 << 20)) < int(share * (1 << 20))).select("embedding")
     fitted_on = _unit(_matrix(sample.limit(2 * SAMPLE).toArrow().column("embedding")))
     maps = [projection(t) for t in range(trees)]
     cells = [fit_cells(fitted_on @ m, levels) for m in maps] if levels else [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * trees
-    shared = spark.sparkContext.broadcast(cells)  # at most MOST_TREES * MOST_CELLS nodes
-    radius = 2 * (1 - least) * chi_square_quantile(1 - MISS_PROBABILITY, DIMS)
+    shared = spark.sparkContext.broadcast(cells)  # MOST_CELLS nodes a tree, 48 kB
+    quantile = chi_square_quantile(1 - MISS_PROBABILITY, DIMS)
     rough = least - CODE_ERROR
 
     def route(batch: pa.RecordBatch) -> dict[str, object]:
@@ -199,7 +238,7 @@ def find_neighbours(rows: DataFrame, k: int = K, least: float = 0.9, n_rows: int
             ids = np.concatenate([p.column("vec_row").to_numpy() for p in parts])
             codes = np.frombuffer(b"".join(x for p in parts for x in p.column("code").to_pylist()), np.int8)
             unit = _unit(codes.reshape(-1, DIM).astype(np.float32))
-            for a, b, _ in _search_leaf(ids, unit, unit @ maps[cell // MOST_CELLS], radius, rough, k):
+            for a, b, _ in _search_leaf(ids, unit, unit @ maps[cell // MOST_CELLS], quantile, rough, k, leaf):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         current, held = None, []
@@ -237,6 +276,17 @@ def find_neighbours(rows: DataFrame, k: int = K, least: float = 0.9, n_rows: int
     return both.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("a", "b", "cosine")
 
 
+def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """(query_id, id, score, rank): the k most similar usable rows of each query (query_id, embedding), by brute force in blocks.
+
+    Costs the product of both numbers of rows: for a stated set of queries, as in measuring recall.
+    """
+    e = F.col("embedding")
+    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = F.transform(e, lambda x: x / norm).alias("embedding")
+    return nearest_in_blocks(usable_rows(vectors).select(F.col("vec_row").alias("id"), unit), queries.select("query_id", unit), k)
+
+
 def equal_classes(usable: DataFrame) -> DataFrame:
     """(vec_row, rep, n): rows by equal embedding, with the class's smallest key and size."""
     hashed = usable.select(
@@ -249,33 +299,35 @@ def equal_classes(usable: DataFrame) -> DataFrame:
     return join_groups(hashed, sizes, ["h1", "h2"], "n").select("vec_row", "rep", "n")
 
 
-def find_pairs(vectors: DataFrame, k: int = K, least: float = 0.9) -> DataFrame:
+def find_pairs(vectors: DataFrame, k: int = K, least: float = LEAST, leaf: int = LEAF) -> DataFrame:
     """(vec_a, vec_b): pairs of usable rows with a cosine of at least `least`, one among the k most similar of the other."""
     usable = usable_rows(vectors)
     classes = write_table(equal_classes(usable), "embedding-classes")
     reps = write_table(
         usable.join(classes.where(F.col("vec_row") == F.col("rep")).select("vec_row"), "vec_row"), "embedding-reps"
     )
-    near = find_neighbours(reps, k, least)
+    near = write_table(find_neighbours(reps, k, least, leaf=leaf), "neighbour-lists")
     # The k + 1 smallest keys of each class are all that any row's list can need of it.
-    leading = _leading(classes, k + 1)
-    own = classes.where(F.col("n") > 1).select(F.col("vec_row").alias("a"), "rep").join(leading, "rep").select(
-        "a", F.explode("first").alias("b"), F.lit(1.0).alias("cosine")
-    ).where("a <> b")
-    many = classes.select(F.col("vec_row").alias("x"), F.col("rep").alias("a"))
-    other = (
-        near.join(many, "a")
-        .join(leading.select(F.col("rep").alias("b"), "first"), "b", "left")
-        .select(F.col("x").alias("a"), F.explode(F.coalesce("first", F.array("b"))).alias("b"), "cosine")
+    leading = write_table(_leading(classes, k + 1), "embedding-leading")
+    several = classes.where(F.col("n") > 1).select(F.col("vec_row").alias("a"), "rep")
+    own = join_groups(several, leading, ["rep"], "n").select("a", F.explode("first").alias("b"), F.lit(1.0).alias("cosine")).where("a <> b")
+    # a class's rows share one list; a class of more than k rows is its own list and needs no other
+    lists = near.join(leading.select(F.col("rep").alias("b"), "first"), "b", "left").select(
+        F.col("a").alias("rep"), "cosine", F.explode(F.coalesce("first", F.array("b"))).alias("b")
     )
+    best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "b")
+    lists = lists.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+    lists = lists.join(classes.where("vec_row = rep").select("rep", "n"), "rep").where((F.col("n") <= k) | (F.col("cosine") > 1 - 1e-9))
+    lists = lists.groupBy("rep", "n").agg(F.collect_list(F.struct("b", "cosine")).alias("others"))
+    other = join_groups(classes.select(F.col("vec_row").alias("a"), "rep"), lists, ["rep"], "n").select("a", F.explode("others").alias("o")).select("a", "o.b", "o.cosine")
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     top = own.unionByName(other).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     return top.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
 
 
 def _leading(classes: DataFrame, count: int) -> DataFrame:
-    """(rep, first): the smallest `count` keys of each class of several rows, found within salts first."""
+    """(rep, first, n): the smallest `count` keys of each class of several rows, found within salts first."""
     several = classes.where(F.col("n") > 1).withColumn("salt", F.pmod(F.xxhash64("vec_row"), F.lit(64)))
     inner = Window.partitionBy("rep", "salt").orderBy("vec_row")
     few = several.withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= count)
-    return few.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("vec_row")), 1, count).alias("first"))
+    return few.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("vec_row")), 1, count).alias("first"), F.max("n").alias("n"))

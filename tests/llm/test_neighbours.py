@@ -25,7 +25,21 @@ def test_quantiles():
 
 
 def test_more_rows_need_more_trees():
-    assert N.trees_needed(500) == 1 < N.trees_needed(100_000) < N.trees_needed(10_000_000) <= N.MOST_TREES
+    assert N.trees_needed(500) == 1 < N.trees_needed(100_000) < N.trees_needed(10_000_000) < N.trees_needed(10**9)
+
+
+def test_search_stops_and_finds():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((700, 128)).astype(np.float32)
+    x[350:] = x[:350] + 0.2 * rng.standard_normal((350, 128))
+    unit = N._unit(x)
+    quantile = N.chi_square_quantile(1 - N.MISS_PROBABILITY, N.DIMS)
+    a, b, cosine = N.search_incrementally(unit, unit @ N.projection(0), quantile, 0.9, 5)
+    met = set(zip(a.tolist(), b.tolist()))
+    assert np.allclose(cosine, (unit[a] * unit[b]).sum(1), atol=1e-5) and len(met) == len(a)
+    assert sum((i, i + 350) in met and (i + 350, i) in met for i in range(350)) >= 345
+    for n in (1, 2, 33):
+        assert len(N.search_incrementally(unit[:n], (unit @ N.projection(0))[:n], quantile, -1.0, 5)[0]) == n * (n - 1)
 
 
 def test_cells_are_balanced():
@@ -45,7 +59,11 @@ def test_recall_against_brute_force(spark):
     truth = pairs_of(list(range(len(x))), x.astype(np.float64))
     found = {(r["vec_a"], r["vec_b"]) for r in N.find_pairs(frame).collect()}
     assert found <= truth and len(found) >= 0.97 * len(truth) > 100
+    leaves = {(r["vec_a"], r["vec_b"]) for r in N.find_pairs(frame, leaf=128).collect()}  # about 32 leaves a tree
+    assert leaves <= truth and len(leaves) >= 0.97 * len(truth)
     assert N.find_pairs(frame.limit(0)).count() == 0
+    asked = frame.where("vec_row % 100 = 0 and vec_row < 9000").selectExpr("vec_row as query_id", "embedding")
+    assert N.exact_neighbours(frame, asked).where("rank = 1 and query_id = id").count() == asked.count()
 
 
 def test_classes_of_equal_vectors(spark):
