@@ -9,7 +9,9 @@
    that arise by deleting up to two characters) joins rare words with frequent ones; a weighted edit
    distance, cheap for shapes that scanners confuse, decides between them, ties by frequency. A text
    counts once, however often it was delivered, or with its copies if only these show the ratio. Words with a digit or a dagger between letters are
-   misread near-certainly: they stand for any word of the corpus that the confusions lead to.
+   misread near-certainly: they stand for any word of the corpus that the confusions lead to. Where
+   several words are nearly as likely, the neighbours decide: the pairs of words (bigrams) that each
+   candidate forms with the words before and after, as often as the corpus has them.
 3. Lines are joined to paragraphs.
 
 Null, empty and blank texts are no cases. Line ends alone aren't noise. The lexicon, the index and
@@ -20,9 +22,11 @@ counts over all rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,9 @@ CHEAP, DEAR = 0.3, 1.0
 MOST_COST = 0.95  # of a correction: up to three confusions, no arbitrary change
 RATIO = 30  # a word is a misreading only if its correction is this many times as frequent
 LEAST_DF = 5
+IN_DOUBT = 0.35  # cost above the least up to which another word may be meant: one more confusion
+CHANNEL = 15.0  # one confusion (CHEAP) more counts as a chance of 1 in 90
+WORD_BITS = 20
 LEAST_IN_DOCUMENT, LEAST_IN_CORPUS = 2, 3  # texts in which a header interrupts a sentence
 _HYPHENS = "‐‑¬\xad-"
 _BREAK = re.compile(rf"([^\W\d_][^\s{_HYPHENS}]*)[{_HYPHENS}][ \t]*\r?\n[ \t]*(?=([^\W\d_][^\s]*))")
@@ -51,15 +58,11 @@ _CODE = re.compile(r"[A-Z].*\d|\d.*[A-Z]|^[A-Z]{1,4}\d|\d{2,}")
 _ORDINAL = re.compile(r"(?i)^\d+(?:st|nd|rd|th|er|re|ère|ème|[aehoslmgdx])$")
 _INSIDE = re.compile(r"[^\W\d_][015689†ɑƒ]+[^\W\d_]")
 _SPECIAL = set("0156789(†ɑſƒíìıﬁﬂﬀ|!@$")
-#: Running lines: forms of page numbers, and of marks on every page.
+#: Forms of page numbers. All other running lines are found by recurrence.
 _PAGE = re.compile(
     r"^(?:\d{1,4}|[-–—\[(~*|]{1,2}\s*\d{1,4}\s*[-–—\])~*|]{1,2}"
     r"|[-–—\[(]?\s*(?:Page|PAGE|Seite|SEITE|Página|PÁGINA|Pagina|Pag|Pág|Folio|FOLIO|Blatt|Feuille|Hoja|[pPS](?=\.))\.?\s*\d{1,4}(?:\s*(?:of|OF|von|de|sur|/)\s*\d{1,4})?\s*[-–—\])]?"
-    r"|(?i:scanned copy|scan|copy|copie|kopie|copia)\s+\d{1,4}\s*/\s*\d{1,4}|\d{1,4}\s*(?:/|of|von|de|sur)\s*\d{1,4})$"
-)
-_STAMP = re.compile(
-    r"^[^a-z]{4,60}\b(?:FOR OFFICIAL USE|NUR FÜR DEN DIENSTGEBRAUCH|FOR INTERNAL USE)(?: ONLY)?\W*$"
-    r"|^(?:STRICTLY )?(?:CONFIDENTIAL|VERTRAULICH|CONFIDENTIEL|CONFIDENCIAL)$"
+    r"|\d{1,4}\s*(?:/|of|von|de|sur)\s*\d{1,4})$"
 )
 _LIST = re.compile(r"^\s*(?:[-*•>#|]|\d+[.)]\s|\(?[a-z]\)\s)")
 
@@ -78,7 +81,7 @@ def running_lines(lines: list[str], title: str) -> list[int]:
         line = lines[i].strip()
         if len(line) > 80 or line.startswith("#"):
             continue  # headings and page marks of the Markdown are no noise
-        if _PAGE.match(line) or _STAMP.match(line) or (name and len(name) > 5 and _plain(line) == name):
+        if _PAGE.match(line) or (name and len(name) > 5 and _plain(line) == name):
             out.append(i)
     return out
 
@@ -98,22 +101,29 @@ def mask(line: str) -> str:
 
 
 def inserted_lines(lines: list[str]) -> list[tuple[int, bool]]:
-    """(number, breaks): the short lines between lines of running text that may be headers or footers.
+    """(number, breaks): the short lines of running text that may be headers or footers.
 
-    `breaks` tells that the text before stops within a sentence and goes on in lower case after the line. A
-    line of the sentence itself would begin in lower case, or be filled up to the width of its neighbours.
+    `breaks` tells that the text before stops within a sentence and goes on in lower case after the line,
+    which therefore is no part of it: a line of the sentence itself would begin in lower case, or be
+    filled up to the width of its neighbours. Lines that break nothing are headers only if they recur
+    where they do.
     """
     filled = [i for i, line in enumerate(lines) if line.strip()]
     if len(filled) < 3 or not _is_running_text([lines[i] for i in filled]):
         return []
     out = []
-    for before, i, after in zip(filled, filled[1:], filled[2:]):
-        line, first, last = lines[i].strip(), lines[before].strip(), lines[after].strip()
-        if len(line) > 80 or line[0] in "#|" or line[0].islower() or line[-1] in ",;:" or first[0] in "#|" or last[0] in "#|":
+    for at, i in enumerate(filled):
+        line = lines[i].strip()
+        if len(line) > 80 or line[0] in "#|" or line[0].islower() or line[-1] in ",;:" or _LIST.match(line) or not mask(line):
             continue
-        fits = len(line) + 1 + len(last.split()[0]) <= max(len(first), len(last))
-        if (fits or i - before > 1 or after - i > 1) and not _LIST.match(line) and mask(line):
-            out.append((i, first[-1] not in ".!?:;" and last[0].islower()))
+        breaks = False
+        if 0 < at < len(filled) - 1:
+            before, after = filled[at - 1], filled[at + 1]
+            first, last = lines[before].strip(), lines[after].strip()
+            fits = len(line) + 1 + len(last.split()[0]) <= max(len(first), len(last))
+            apart = fits or i - before > 1 or after - i > 1
+            breaks = apart and first[0] not in "#|" and last[0] not in "#|" and first[-1] not in ".!?:;" and last[0].islower()
+        out.append((i, breaks))
     return out
 
 
@@ -195,8 +205,8 @@ def _words_of(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
     forms = _forms.setdefault("all", _Forms(lambda w: 1 < len(w) <= 40))
     counts: Counter[str] = Counter()
     shares: Counter[str] = Counter()
-    for text, title, copies in zip(texts, rest["document_name"], rest["copies"]):
-        lines, _ = clean_lines(text, title or "")
+    for text, title, copies, headers in zip(texts, rest["document_name"], rest["copies"], rest["headers"]):
+        lines, _ = clean_lines(text, title or "", headers)
         whole = "\n".join(lines)
         words = set(_COMPOUND.findall(whole)) if "-" in whole else set()
         joined = _BREAK.sub(lambda m: m.group(1), whole) if _LINE_HYPHEN.search(whole) else whole
@@ -218,9 +228,14 @@ def copied_rows(rows: DataFrame) -> DataFrame:
     return join_groups(hashed, sizes, ["h"], "copies").select("src_table", "row_id", "copies")
 
 
-def lexicon(rows: DataFrame) -> DataFrame:
-    """(word, df, n): all words of the corpus in lower case with the numbers of different texts and of rows that hold them; a written table."""
-    weighed = rows.join(copied_rows(rows), ["src_table", "row_id"], "left").select("document_name", "text", "copies")
+def lexicon(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """(word, df, n): all words of the corpus in lower case with the numbers of different texts and of rows that hold them; a written table.
+
+    headers: the result of `header_rows`, as a word may be broken around a running line.
+    """
+    row = ["src_table", "row_id"]
+    headed = rows.join(headers, row, "left") if headers is not None else rows.withColumn("headers", F.lit(None).cast("array<string>"))
+    weighed = headed.join(copied_rows(rows), row, "left").select("document_name", "text", "copies", "headers")
     counted = map_text(weighed, "word string, df double, n long", _words_of)
     return write_table(
         counted.groupBy("word").agg(F.ceil(F.sum("df") - 1e-6).alias("df"), F.sum("n").alias("n")).withColumn("df", F.greatest("df", F.lit(1))), "scan-lexicon"
@@ -236,6 +251,52 @@ def deletes(word: str, most: int = 2) -> set[str]:
     return out
 
 
+def _shapes() -> dict[int, str]:
+    """Each character to the least one that single-character confusions lead to."""
+    least: dict[str, str] = {}
+    pairs = [(a.lower(), b.lower()) for a, b in CONFUSIONS if len(a) == len(b) == 1]
+    for _ in pairs:
+        for a, b in pairs:
+            low = min(least.get(a, a), least.get(b, b))
+            least[a] = least[b] = low
+    return {ord(c): low for c, low in least.items()}
+
+
+_SHAPE = _shapes()
+
+
+def shape_key(word: str) -> str:
+    """The same key for all words that differ by any number of single-character confusions."""
+    return "\t" + word.translate(_SHAPE)
+
+
+def seen_keys(word: str) -> set[str]:
+    """The keys a word as read is looked up by."""
+    return deletes(word) | {shape_key(word)}
+
+
+SHORT = 7  # letters from which on a lexicon word is indexed with two deletions
+_MERGED = tuple(dict.fromkeys(right for wrong, right in CONFUSIONS if len(right) == 2))
+
+
+def lexicon_keys(word: str) -> set[str]:
+    """The keys a word of the lexicon is found by: two deletions, of short words one, or the two letters that are read as one.
+
+    A reading of one letter as two, or of two as one, is met with two deletions on one side and one on
+    the other, several single letters by the shape: short words lose nothing that confusions of either kind
+    lead to, and their keys stay specific.
+    """
+    if len(word) >= SHORT:
+        return deletes(word) | {shape_key(word)}
+    out = deletes(word, 1) | {shape_key(word)}
+    for pair in _MERGED:
+        at = word.find(pair)
+        while at >= 0:
+            out |= deletes(word[:at] + word[at + 2 :], 0)
+            at = word.find(pair, at + 1)
+    return {key for key in out if len(key) > 1}
+
+
 def weighted_distance(seen: str, meant: str) -> float:
     """The least cost of edits that turn `meant` into `seen`; confusions are cheap."""
     n, m = len(seen), len(meant)
@@ -259,13 +320,16 @@ def weighted_distance(seen: str, meant: str) -> float:
     return costs[n][m]
 
 
-def _index(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
-    out: dict[str, list] = {"key": [], "word": [], "df": [], "n": []}
-    for word, df, n in zip(texts, rest["df"], rest["n"]):
-        for key in deletes(word):
-            for name, value in (("key", key), ("word", word), ("df", df), ("n", n)):
-                out[name].append(value)
-    return out
+def _indexer(keys):
+    def index(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+        out: dict[str, list] = {"key": [], "word": [], "df": [], "n": []}
+        for word, df, n in zip(texts, rest["df"], rest["n"]):
+            for key in keys(word):
+                for name, value in (("key", key), ("word", word), ("df", df), ("n", n)):
+                    out[name].append(value)
+        return out
+
+    return index
 
 
 def _misread_cost(seen: str, meant: str) -> float:
@@ -294,6 +358,11 @@ def _telling(word: str) -> bool:
     return cased and letters >= max(2, len(digits))
 
 
+def _only_telling(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+    keep = [i for i, word in enumerate(texts) if _telling(word)]
+    return {"word": [texts[i] for i in keep]} | {c: [rest[c][i] for i in keep] for c in ("df", "n")}
+
+
 _READ_AS = {wrong: sorted({b.lower() for a, b in CONFUSIONS if a == wrong}) for wrong in "015689†ɑƒ"}
 
 
@@ -312,15 +381,15 @@ def _readings(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
     return {"seen": [a for a, _ in pairs], "meant": [b for _, b in pairs], "cost": [CHEAP * sum(c in _READ_AS for c in a) for a, _ in pairs]}
 
 
-def corrections(words: DataFrame) -> DataFrame:
-    """(seen, meant): misread words and the frequent words they stand for; a written table."""
+def corrections(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((seen, meant), (seen, meant, cost, meant_df)): misread words and what they stand for, and all choices where it is in doubt; written tables."""
     frequent = words.where((F.col("n") >= LEAST_DF) & F.col("word").rlike(r"^[\p{L}’'-]{3,}$") & ~F.col("word").rlike("[†ɑſƒﬁﬂﬀı]"))
-    may_be = F.udf(_telling, "boolean")
+    telling = write_table(map_text(words.withColumnRenamed("word", "text"), "word string, df long, n long", _only_telling), "scan-telling")
     top, most = words.agg(F.max("df"), F.max("n")).first()
-    rare = words.where(((F.col("df") * RATIO <= (top or 0)) | (F.col("n") * RATIO <= (most or 0))) & may_be("word"))
+    rare = telling.where((F.col("df") * RATIO <= (top or 0)) | (F.col("n") * RATIO <= (most or 0)))
     index = "key string, word string, df long, n long"
-    left = map_text(rare.select("df", "n", F.col("word").alias("text")), index, _index)
-    right = map_text(frequent.select("df", "n", F.col("word").alias("text")), index, _index)
+    left = map_text(rare.select("df", "n", F.col("word").alias("text")), index, _indexer(seen_keys))
+    right = map_text(frequent.select("df", "n", F.col("word").alias("text")), index, _indexer(lexicon_keys))
     often = (F.col("meant_df") >= F.col("df") * RATIO) | (F.col("meant_n") >= F.col("n") * RATIO)
     pairs = (
         left.toDF("key", "text", "df", "n")
@@ -330,36 +399,100 @@ def corrections(words: DataFrame) -> DataFrame:
         .distinct()
     )
     scored = map_text(pairs, "seen string, meant string, df long, meant_df long, cost double", _score)
-    shaped = map_text(words.where(may_be("word")).select(F.col("word").alias("text")), "seen string, meant string, cost double", _readings)
+    shaped = map_text(telling.select(F.col("word").alias("text")), "seen string, meant string, cost double", _readings)
     sure = shaped.join(words.select(F.col("word").alias("meant"), F.col("df").alias("meant_df")), "meant")
     sure = sure.join(words.select(F.col("word").alias("seen"), "df"), "seen").where((F.length("seen") > 3) | (F.col("meant_df") >= F.col("df") * RATIO)).drop("df")
     likely = scored.where(F.col("cost") <= MOST_COST).select("seen", "meant", "cost", "meant_df").unionByName(sure)
-    best = likely.groupBy("seen").agg(
-        F.max_by("meant", F.struct(-F.col("cost"), "meant_df", "meant")).alias("meant")
-    )
-    return write_table(best, "scan-corrections")
+    likely = write_table(likely.groupBy("seen", "meant").agg(F.min("cost").alias("cost"), F.max("meant_df").alias("meant_df")), "scan-likely")
+    best = likely.groupBy("seen").agg(F.max_by("meant", F.struct(-F.col("cost"), "meant_df", "meant")).alias("meant"), F.min("cost").alias("_least"))
+    near = likely.join(best.select("seen", "_least"), "seen").where(F.col("cost") <= F.col("_least") + IN_DOUBT).drop("_least")
+    several = near.groupBy("seen").agg(F.count("*").alias("_c")).where("_c > 1").select("seen")
+    return write_table(best.select("seen", "meant"), "scan-corrections"), write_table(near.join(several, "seen", "left_semi"), "scan-doubtful")
 
 
-def _evidence(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
-    """For each row its distinct words, its broken words both ways, and whether it has running lines."""
-    out: dict[str, list] = {"src_table": [], "row_id": [], "running": [], "words": [], "broken": []}
-    forms = _forms.setdefault("telling", _Forms(_telling))
-    for k, text in enumerate(texts):
-        lines, running = clean_lines(text, rest["document_name"][k] or "", rest["headers"][k])
-        whole = "\n".join(lines)
-        broken = _pieces(whole) if _LINE_HYPHEN.search(whole) else []
-        joined = _BREAK.sub(lambda m: m.group(1), whole) if broken else whole
-        words = {forms[w] for w in set(_TOKEN.findall(joined))}
-        words.discard("")
-        for name, value in (
-            ("src_table", rest["src_table"][k]), ("row_id", rest["row_id"][k]), ("running", running), ("words", list(words)),
-            ("broken", [{"joined": (a + b).lower(), "compound": f"{a}-{b}".lower()} for a, b in broken]),
-        ):
-            out[name].append(value)
-    return out
+def word_bits(doubtful: DataFrame) -> np.ndarray:
+    """A set of 2 ** WORD_BITS bits that marks the words in doubt and their candidates, whatever their number."""
+    code = F.crc32(F.col("word").cast("binary")).bitwiseAND((1 << WORD_BITS) - 1)
+    words = doubtful.select(F.explode(F.array("seen", "meant")).alias("word")).select(code.cast("int").alias("bit")).distinct()
+    marks = np.zeros(1 << WORD_BITS, bool)
+    marks[words.toArrow().column("bit").to_numpy()] = True  # at most 2 ** WORD_BITS numbers
+    return np.packbits(marks)
+
+
+class _Marked(dict):
+    """Words as written to whether they, as counted, are marked in a set of bits."""
+
+    def __init__(self, bits: np.ndarray, forms: _Forms) -> None:
+        super().__init__()
+        self.bits, self.forms = bits, forms
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= 300_000:
+            self.clear()
+        code = zlib.crc32(self.forms[word].encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
+        self[word] = hit = bool(self.bits[code >> 3] & (128 >> (code & 7)))
+        return hit
 
 
-_ROWS = "src_table string, row_id long, running boolean, words array<string>, broken array<struct<joined: string, compound: string>>"
+def _neighbours(tokens: list[str], different: set[str], marked: _Marked, forms: _Forms) -> list[dict[str, str]]:
+    wanted = {t for t in different if marked[t]}
+    if not wanted:
+        return []
+    ends = [forms[t] for t in tokens]
+    return [
+        {"word": ends[i], "prev": ends[i - 1] if i else "", "next": ends[i + 1] if i + 1 < len(ends) else ""} for i, t in enumerate(tokens) if t in wanted and ends[i]
+    ]
+
+
+def in_context(seen: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """(src_table, row_id, seen, meant): for each row the candidate of a word in doubt that fits its neighbours there.
+
+    seen: rows with `near`, the (word, prev, next) of the marked words. A candidate weighs by its
+    frequency, the chance of its confusions, and of the words before and after given the candidate; where
+    the corpus has none of these pairs, no row comes out.
+    """
+    near = seen.select("src_table", "row_id", F.explode("near").alias("w")).select("src_table", "row_id", "w.word", "w.prev", "w.next")
+    left = near.groupBy(F.col("word").alias("meant"), "prev").agg(F.count("*").alias("before"))
+    right = near.groupBy(F.col("word").alias("meant"), "next").agg(F.count("*").alias("after"))
+    met = near.withColumnRenamed("word", "seen").join(doubtful, "seen").join(left, ["meant", "prev"], "left").join(right, ["meant", "next"], "left")
+    before, after = F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0))
+    weight = F.log((before + 0.1) * (after + 0.1) / (F.col("meant_df") + 1)) - CHANNEL * F.col("cost")
+    scored = met.groupBy("src_table", "row_id", "seen", "meant").agg(F.sum(weight).alias("score"), F.sum(before + after).alias("pairs"))
+    best = scored.groupBy("src_table", "row_id", "seen").agg(F.max_by("meant", F.struct("score", "meant")).alias("meant"), F.sum("pairs").alias("pairs"))
+    return best.where("pairs > 0").drop("pairs")
+
+
+def _evidence(shared):
+    def find(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+        """For each row its distinct words, its broken words both ways, whether it has running lines, and the neighbours of words in doubt."""
+        out: dict[str, list] = {"src_table": [], "row_id": [], "running": [], "words": [], "broken": [], "near": []}
+        forms = _forms.setdefault("telling", _Forms(_telling))
+        every = _forms.setdefault("all", _Forms(lambda w: 1 < len(w) <= 40))
+        marked = _Marked(shared.value, every)
+        for k, text in enumerate(texts):
+            lines, running = clean_lines(text, rest["document_name"][k] or "", rest["headers"][k])
+            whole = "\n".join(lines)
+            broken = _pieces(whole) if _LINE_HYPHEN.search(whole) else []
+            joined = _BREAK.sub(lambda m: m.group(1), whole) if broken else whole
+            tokens = _TOKEN.findall(joined)
+            different = set(tokens)
+            words = {forms[w] for w in different}
+            words.discard("")
+            for name, value in (
+                ("src_table", rest["src_table"][k]), ("row_id", rest["row_id"][k]), ("running", running), ("words", list(words)),
+                ("broken", [{"joined": (a + b).lower(), "compound": f"{a}-{b}".lower()} for a, b in broken]),
+                ("near", _neighbours(tokens, different, marked, every)),
+            ):
+                out[name].append(value)
+        return out
+
+    return find
+
+
+_ROWS = (
+    "src_table string, row_id long, running boolean, words array<string>, broken array<struct<joined: string, compound: string>>, "
+    "near array<struct<word: string, prev: string, next: string>>"
+)
 
 
 def noise(rows: DataFrame) -> DataFrame:
@@ -368,14 +501,18 @@ def noise(rows: DataFrame) -> DataFrame:
     rows: (src_table, row_id, document_name, text). fixes: the misread words of the row with their
     corrections; broken: the words broken at line ends, joined or as the compound they are.
     """
-    words = lexicon(rows)
-    fixes = corrections(words)
     marked = write_table(header_rows(rows), "scan-headers")
+    words = lexicon(rows, marked)
+    fixes, doubtful = corrections(words)
     headed = rows.select("src_table", "row_id", "document_name", "text").join(marked, ["src_table", "row_id"], "left")
-    seen = write_table(map_text(headed, _ROWS, _evidence), "scan-evidence")
+    shared = rows.sparkSession.sparkContext.broadcast(word_bits(doubtful))  # 2 ** WORD_BITS bits
+    seen = write_table(map_text(headed, _ROWS, _evidence(shared)), "scan-evidence")
     used = seen.select("src_table", "row_id", F.explode("words").alias("seen"))
     known = fixes.join(words.select(F.col("word").alias("seen"), F.col("n").alias("_n")), "seen")
-    misread = join_groups(used, known, ["seen"], "_n").groupBy("src_table", "row_id").agg(F.collect_set(F.struct("seen", "meant")).alias("fixes"))
+    fitting = in_context(seen, doubtful).withColumnRenamed("meant", "_fits")
+    misread = join_groups(used, known, ["seen"], "_n").join(fitting, ["src_table", "row_id", "seen"], "left")
+    chosen = F.struct("seen", F.coalesce("_fits", "meant").alias("meant"))
+    misread = misread.groupBy("src_table", "row_id").agg(F.collect_set(chosen).alias("fixes"))
     parts = seen.select("src_table", "row_id", F.explode("broken").alias("b")).select("src_table", "row_id", "b.joined", "b.compound")
     df = words.select("word", "df")
     counts = parts.groupBy("joined", "compound").agg(F.count("*").alias("_n"))

@@ -26,7 +26,9 @@ def test_distance():
 
 def test_running_lines():
     lines = [prose(1), "Page 94 of 134", prose(2), "", "[93]", "", prose(3), "LEGAL BRANCH — FOR OFFICIAL USE", prose(4), "Rules Vol II      6", prose(5)]
-    assert S.running_lines(lines, "Rules_Vol_II") == [1, 4, 7, 9]
+    assert S.running_lines(lines, "Rules_Vol_II") == [1, 4, 9]
+    kept, running = S.clean_lines("\n".join(lines), "Rules_Vol_II", [S.mask(lines[7])])  # a stamp is known by its recurrence
+    assert running and [x for x in kept if x] == [lines[i] for i in (0, 2, 6, 8, 10)]
     assert S.running_lines(["## Page 3", prose(1), prose(2), prose(3)], "x") == []
     assert S.running_lines(["5", "6", "7"], "x") == []
     assert S.running_lines([prose(1), "page 1 of 71.", prose(2), prose(3)], "x") == []
@@ -101,3 +103,20 @@ def test_capitalised_short_and_doubled_misreads(spark):
     assert {r["row_id"] for r in S.noise(frame).collect()} == {200 + i for i in range(len(words))}
     fixed = {r["row_id"]: r["text"] for r in S.repair(frame).collect()}
     assert fixed[200].endswith(" Form here") and fixed[209].endswith(" shall here") and fixed[211].endswith(" of here") and fixed[213].endswith(" SECTION here")
+
+
+def test_neighbours_decide_between_words(spark):
+    rng = random.Random(4)
+    texts = [f"On day {rng.randrange(99)} the outer pumps fail under load and are set aside." for _ in range(40)]
+    texts += [f"In year {rng.randrange(99)} all rents fall towards winter and are set anew." for _ in range(60)]
+    texts += ["As before the outer pumps fa1l under load again.", "As before all rents fa1l towards winter again.", "As before they fa1l."]
+    rows = [("t", i, "d", x) for i, x in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "src_table string, row_id long, document_name string, text string")
+    fixes = {r["row_id"]: {f["seen"]: f["meant"] for f in r["fixes"]} for r in S.noise(frame).collect()}
+    assert fixes == {100: {"fa1l": "fail"}, 101: {"fa1l": "fall"}, 102: {"fa1l": "fall"}}
+
+
+def test_short_words_keep_their_confusions():
+    for seen, meant in (("tirne", "time"), ("gatber", "gather"), ("nodem", "nodern"), ("modem", "modern"), ("sbips", "ships"), ("vvorks", "works"), ("cliet", "diet"), ("sha11", "shall"), ("c0ci", "coci")):
+        assert S.seen_keys(seen) & S.lexicon_keys(meant), (seen, meant)
+    assert len(S.lexicon_keys("depots")) < len(S.deletes("depots")) / 2
