@@ -5,7 +5,8 @@
    taken as clean, the others are aligned with it word by word.
 2. Each aligned pair votes for the transformation (true encoding, encoding it was read with) that
    turns the clean word into the garbled one; where neither looks garbled, for either direction, as a
-   garbled variant may be the frequent one. Voted transformations are learned.
+   garbled variant may be the frequent one. Voted transformations are learned. Where none of the listed
+   ones turns one into the other, the characters that face each other teach a map of their own.
 3. Learned transformations are applied to the words of all documents. Where the true encoding is
    UTF-8 the byte pattern itself is proof, also of transformations not learned; where it is a
    single-byte encoding the restored word has to be a known word of the corpus and the found one has
@@ -32,6 +33,8 @@ from scriptorium.operators.skew import join_groups
 from scriptorium.session import write_table
 
 LOST = "�"
+ALIGNED = -2  # in place of a transformation: learned from aligned characters
+LEAST_WORDS, LEAST_SHARE = 3, 0.8  # words that a character map must restore, and their share of all it applies to
 #: Fixed values: (true encoding, encoding it was read with) that are considered.
 TRANSFORMATIONS = (
     ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp850"),
@@ -76,18 +79,28 @@ def garble(text: str, true: str, read: str) -> str | None:
     return "".join(chars[b] for b in data)
 
 
-#: Blocks of the characters that UTF-8 sequences may stand for. C1 controls are among them, as
-#: a text garbled twice passes through them; Greek, Cyrillic, Armenian and the rarer Latin are not, as pairs of
-#: ordinary letters and quotation marks would read as these.
+#: Blocks of the characters that a single UTF-8 sequence may stand for. C1 controls are among
+#: them, as a text garbled twice passes through them.
 _BLOCKS = (
     (0x80, 0x17F), (0x192, 0x192), (0x2C6, 0x2DD), (0x900, 0x97F), (0x2000, 0x22FF), (0x2500, 0x27BF),
     (0xFB00, 0xFB06), (0xFE0F, 0xFE0F), (0xFFFD, 0xFFFD), (0x1F000, 0x1FAFF),
 )
+#: Scripts whose letters are believed only two or more in a row, as a pair of ordinary letters
+#: and quotation marks reads as one of them now and then: further Latin, Greek, Cyrillic, Armenian, Hebrew,
+#: Arabic, scripts of India and beyond, Hangul, kana and ideographs.
+_SCRIPTS = (
+    (0x180, 0x24F), (0x370, 0x3FF), (0x400, 0x52F), (0x530, 0x58F), (0x590, 0x5FF), (0x600, 0x77F), (0x980, 0xDFF), (0xE00, 0x10FF),
+    (0x1100, 0x1CFF), (0x1E00, 0x1FFF), (0x3000, 0x9FFF), (0xAC00, 0xD7AF), (0xFF00, 0xFFEF),
+)
 
 
-def _plausible(ch: str) -> bool:
-    """Whether a character may be what a UTF-8 sequence stands for."""
-    return any(low <= ord(ch) <= high for low, high in _BLOCKS)
+@lru_cache(100_000)
+def _plausible(ch: str) -> int | None:
+    """0 for a character that a UTF-8 sequence may stand for on its own, a script's number for one that needs company, else None."""
+    code = ord(ch)
+    if any(low <= code <= high for low, high in _BLOCKS):
+        return 0
+    return next((k for k, (low, high) in enumerate(_SCRIPTS, 1) if low <= code <= high), None)
 
 
 def _restore_run(run: str, read: str) -> str | None:
@@ -97,16 +110,24 @@ def _restore_run(run: str, read: str) -> str | None:
         parts = re.split("([" + re.escape("".join({c for c in run if c not in own})) + "])", run)
         done = [_restore_run(p, read) if p and all(c in own for c in p) else None for p in parts]
         return "".join(d or p for d, p in zip(done, parts)) if any(done) else None
-    data, out, at, hit = bytes(own[c] for c in run), [], 0, False
+    data = bytes(own[c] for c in run)
+    found: list[tuple[int, int, str, int]] = []
     for match in _SEQUENCE.finditer(data):
         try:
             ch = match.group().decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if _plausible(ch):
-            out.append(run[at : match.start()] + ch)
-            at, hit = match.end(), True
-    return "".join(out) + run[at:] if hit else None
+        script = _plausible(ch)
+        if script is not None:
+            found.append((match.start(), match.end(), ch, script))
+    out, at = [], 0
+    for k, (start, end, ch, script) in enumerate(found):
+        before = k > 0 and found[k - 1][1] == start and found[k - 1][3] == script
+        after = k + 1 < len(found) and found[k + 1][0] == end and found[k + 1][3] == script
+        if script == 0 or before or after:
+            out.append(run[at:start] + ch)
+            at = end
+    return "".join(out) + run[at:] if out else None
 
 
 def restore_utf8(word: str, read: str) -> str | None:
@@ -174,9 +195,61 @@ def _votes(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
             if how >= 0 or LOST in x:
                 for name, value in (("word", x), ("clean", y), ("how", how), ("n", n)):
                     out[name].append(value)
+            elif aligned(x, y):
+                # no listed transformation: either may be the garbled one
+                for name, values in (("word", (x, y)), ("clean", (y, x)), ("how", (ALIGNED, ALIGNED)), ("n", (n, n))):
+                    out[name] += values
     return out
 
 
+def aligned(found: str, clean: str) -> list[tuple[str, str]]:
+    """The runs of non-ASCII characters of two words that face each other between the same ASCII characters; [] if they don't."""
+    if _RUN.split(found) != _RUN.split(clean):
+        return []
+    return [(a, b) for a, b in zip(_RUN.findall(found), _RUN.findall(clean)) if a != b]
+
+
+def _alignments(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+    rows = [(run, meant, word) for word, clean in zip(texts, rest["clean"]) for run, meant in set(aligned(word, clean))]
+    return {"run": [r[0] for r in rows], "meant": [r[1] for r in rows], "word": [r[2] for r in rows]}
+
+
+def _runs_of(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+    rows = [(word, run) for word in texts for run in set(_RUN.findall(word))]
+    return {"word": [r[0] for r in rows], "run": [r[1] for r in rows]}
+
+
+def _apply_maps(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
+    out = []
+    for word, maps in zip(texts, rest["maps"]):
+        known = {m["run"]: m["meant"] for m in maps}
+        out.append(_RUN.sub(lambda m, known=known: known.get(m.group(), m.group()), word))
+    return {"word": texts, "restored": out, "runs": [[m["run"] for m in maps] for maps in rest["maps"]]}
+
+
+def learned_maps(votes: DataFrame, counted: DataFrame) -> DataFrame:
+    """(word, restored): words restored by character maps that alignments teach, whatever encodings caused them.
+
+    A run of characters is mapped to the one that faces it in most aligned words, LEAST_WORDS at least.
+    The map holds if it leads nearly all words of the corpus with that run to words that more texts
+    have: accents that merely differ between words or spellings don't pass that.
+    """
+    pairs = votes.where(F.col("how") == ALIGNED).select(F.col("word").alias("text"), "clean").distinct()
+    facing = map_text(pairs, "run string, meant string, word string", _alignments).distinct()
+    support = facing.groupBy("run", "meant").agg(F.count("*").alias("words")).where(F.col("words") >= LEAST_WORDS)
+    maps = write_table(support.groupBy("run").agg(F.max_by("meant", F.struct("words", "meant")).alias("meant")), "character-maps")
+    runs = map_text(counted.select(F.col("word").alias("text")), "word string, run string", _runs_of)
+    mapped = runs.join(maps, "run").groupBy("word").agg(F.collect_list(F.struct("run", "meant")).alias("maps"))
+    tried = map_text(mapped.withColumnRenamed("word", "text"), "word string, restored string, runs array<string>", _apply_maps)
+    texts = counted.select("word", "texts")
+    tried = tried.join(texts, "word").join(texts.toDF("restored", "known_texts"), "restored", "left")
+    tried = write_table(tried.withColumn("good", F.coalesce(F.col("known_texts") > F.col("texts"), F.lit(False))), "mapped-words")
+    judged = tried.select(F.explode("runs").alias("run"), "good").groupBy("run").agg(F.count_if("good").alias("right"), F.count("*").alias("all"))
+    wrong = judged.where((F.col("right") < LEAST_WORDS) | (F.col("right") < LEAST_SHARE * F.col("all"))).select("run")
+    bad = tried.select("word", F.explode("runs").alias("run")).join(wrong, "run").select("word").distinct()
+    return tried.where("good").join(bad, "word", "left_anti").select("word", "restored")
+
+
 def _turns(clean: str, found: str, true: str, read: str) -> bool:
     once = garble(clean, true, read)
     return once is not None and (once == found or garble(once, true, read) == found)
@@ -321,7 +394,9 @@ def word_map(documents: DataFrame, words: DataFrame) -> DataFrame:
         "restorations",
     )
     known = counted.select(F.col("word").alias("restored"), F.col("df").alias("known"), F.col("texts").alias("known_texts"))
-    single = found.where(F.col("proof") == "lexicon")
+    taught = learned_maps(votes, counted).select("word", "restored", F.lit("lexicon").alias("proof"), F.lit(ALIGNED).alias("how"), F.lit(0).cast("long").alias("df"))
+    taught = taught.drop("df").join(counted.select("word", "df"), "word").select(*found.columns)
+    single = found.where(F.col("proof") == "lexicon").unionByName(taught)
     weighed = single.join(known, "restored").join(counted.select("word", "texts"), "word").where(F.col("known") >= 2)
     more = F.struct("known_texts", "known") > F.struct("texts", "df")
     # more documents with fewer different texts count only if the opposite isn't possible
@@ -336,18 +411,13 @@ def word_map(documents: DataFrame, words: DataFrame) -> DataFrame:
     sure = found.where(F.col("proof") != "lexicon").groupBy("word").agg(F.min(F.struct("restored", "how")).alias("r"))
     lost_words = counted.where(F.col("word").contains(LOST)).select("word")
     voted = votes.where(F.col("word").contains(LOST) & F.col("word").rlike("[A-Za-z]")).select("word", "clean", (F.col("n") * 1000).alias("n"))
-    bare = F.regexp_replace("word", r"[^\x00-\x7f]", "")
-    shape = F.regexp_replace("clean", r"[^\x00-\x7f]", LOST)
-    fitting = (
-        lost_words.withColumn("bare", bare)
-        .join(
-            counted.where(~F.col("word").contains(LOST) & (F.col("df") >= 2) & F.col("word").rlike("[A-Za-z]"))
-            .join(found.select("word").distinct(), "word", "left_anti")
-            .select(bare.alias("bare"), F.col("word").alias("clean"), F.col("df").alias("n")),
-            "bare",
-        )
-        .where(shape == F.col("word"))
-        .select("word", "clean", "n")
+    shape = F.regexp_replace("word", r"[^\x00-\x7f]", LOST)
+    fitting = lost_words.join(
+        counted.where(~F.col("word").contains(LOST) & (F.col("df") >= 2) & F.col("word").rlike("[A-Za-z]"))
+        .join(found.select("word").distinct(), "word", "left_anti")
+        .select(shape.alias("shape"), F.col("word").alias("clean"), F.col("df").alias("n"))
+        .withColumnRenamed("shape", "word"),
+        "word",
     )
     best = voted.unionByName(fitting).groupBy("word").agg(F.max_by("clean", F.struct("n", "clean")).alias("restored"))
     lost = lost_words.join(best, "word", "left").select("word", F.struct("restored", F.lit(-1).alias("how")).alias("r"))

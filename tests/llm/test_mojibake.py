@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from scriptorium.llm import mojibake as M
@@ -58,3 +60,34 @@ def test_copies_of_a_garbled_document(spark):
     assert found == {*range(100, 190), 300}
     restored = {r["doc_id"]: r["text"] for r in M.restore(frame).collect()}
     assert restored[100] == german.format(9) and restored[300] == "Das Übergabeprotokoll für Zürich liegt bei."
+
+
+@pytest.mark.parametrize("text", ["Привет мир", "日本語の文", "καλημέρα σας", "שלום עולם", "مرحبا بكم", "한국어 글자", "সাধারণ কথা"])
+@pytest.mark.parametrize("read", ["latin-1", "cp1252", "mac_roman", "cp437"])
+def test_all_scripts(text, read):
+    for word in text.split():
+        garbled = M.garble(word, "utf-8", read)
+        assert M.restore_utf8(garbled, read) == word
+        assert M.restore_utf8(word, read) is None
+        if len(word) > 2:
+            assert M._unlearned(garbled, [read]) == (True, word)
+
+
+def test_ordinary_words_of_other_scripts_stay():
+    reads = [read for true, read in M.TRANSFORMATIONS if true == "utf-8"]
+    for word in ("Привет", "отчёт", "«Север»", "№5", "ГОСТ", "καλημέρα", "日本語", "données—", "„Größe“", "naïve…", "Œuvre", "Ωμέγα", "États", "àÀâÂ", "ÎÏ“"):
+        assert not any(M._unlearned(word, [read])[0] for read in reads), word
+
+
+def test_maps_outside_the_list_are_learned(spark):
+    odd = str.maketrans({"é": "¤", "ü": "¦", "ñ": "¬", "à": "Þ"})
+    words = ["société", "général", "régime", "années", "über", "für", "münchen", "señor", "mañana", "español", "déjà", "voilà", "holà", "début", "müssen", "prünen", "niñera", "année", "écran"]
+    rng = random.Random(3)
+    clean = [" ".join(f"the {w} number stood in list" for w in rng.sample(words, 12)) + f" {i}." for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(clean)]
+    rows += [(100 + i, clean[i].translate(odd)) for i in range(6)]  # near-twins of clean records
+    rows += [(200, "Another " + " and another ".join(words).translate(odd)), (201, "one note more on société and mañana"), (300, None), (301, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    restored = {r["doc_id"]: r["text"] for r in M.restore(frame).collect()}
+    assert set(restored) == {*range(100, 106), 200}
+    assert restored[200] == "Another " + " and another ".join(words) and all(restored[100 + i] == clean[i] for i in range(6))
