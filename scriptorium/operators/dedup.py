@@ -9,6 +9,7 @@ from scriptorium.functions import text as T
 from scriptorium.functions.predicates import is_usable_vector
 from scriptorium.functions.vector import hash_embedding
 from scriptorium.operators.skew import join_groups
+from scriptorium.session import write_table
 
 #: The order in which rows of equal content count as seen.
 ORDER = ("document_name", "page_number", "chunk_row")
@@ -28,34 +29,34 @@ def _first(order: tuple[str, ...]) -> Column:
 def flag_duplicates(chunks: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
     """(chunk_row, content_hash, is_duplicate): every row but the first of its content is a duplicate.
 
-    The first row is found by a pre-aggregated minimum and joined back with hot hashes apart, so no
-    content gathers in one task, as it would in a window.
+    The texts are read and hashed once. Only contents of several rows are joined back, hot hashes apart,
+    so no content gathers in one task, as it would in a window.
     """
-    hashed = with_hash(chunks).withColumn("_at", _first(order))
-    firsts = hashed.groupBy("content_hash").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    return join_groups(hashed.select("chunk_row", "content_hash", "_at"), firsts, ["content_hash"], "_n").select(
-        "chunk_row", "content_hash", (F.col("_at") != F.col("_first")).alias("is_duplicate")
+    hashed = write_table(with_hash(chunks).select("chunk_row", "content_hash", _first(order).alias("_at")), "hashes")
+    firsts = hashed.groupBy("content_hash").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    return join_groups(hashed, write_table(firsts, "first-rows"), ["content_hash"], "_n", "left").select(
+        "chunk_row", "content_hash", F.coalesce(F.col("_at") != F.col("_first"), F.lit(False)).alias("is_duplicate")
     )
 
 
-def running_sources(chunks: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """(chunk_row, content_hash, sources): for each row the sorted, `; `-joined sources seen up to it.
+def sources_so_far(hashed: DataFrame) -> DataFrame:
+    """(chunk_row, content_hash, sources) of rows (chunk_row, content_hash, source, _at), each with the sources seen up to it.
 
-    Only a source's first row changes the set, so the window runs over different (content, source)
-    pairs; rows then look up the last pair that began before or with them.
+    Of a content the different sources with their first places are all that is gathered, and only
+    where there are several; a row picks those before it.
     """
-    hashed = with_hash(chunks).withColumn("_at", _first(order))
-    pairs = hashed.groupBy("content_hash", "source").agg(F.min("_at").alias("_from"))
-    seen = Window.partitionBy("content_hash").orderBy("_from")
-    steps = pairs.select(
-        "content_hash",
-        "_from",
-        F.array_join(F.array_sort(F.collect_list("source").over(seen.rowsBetween(Window.unboundedPreceding, 0))), "; ").alias("sources"),
-        F.lead("_from").over(seen).alias("_to"),
+    pairs = hashed.groupBy("content_hash", "source").agg(F.min("_at").alias("_from"), F.count("*").alias("_c"))
+    several = pairs.groupBy("content_hash").agg(F.sum("_c").alias("_n"), F.array_sort(F.collect_list(F.struct("source", "_from"))).alias("_all")).where(F.size("_all") > 1)
+    seen = F.transform(F.filter("_all", lambda x: x["_from"] <= F.col("_at")), lambda x: x["source"])
+    return join_groups(hashed, write_table(several, "content-sources"), ["content_hash"], "_n", "left").select(
+        "chunk_row", "content_hash", F.coalesce(F.array_join(seen, "; "), F.col("source")).alias("sources")
     )
-    return hashed.select("chunk_row", "content_hash", "_at").join(steps, "content_hash").where(
-        (F.col("_at") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
-    ).select("chunk_row", "content_hash", "sources")
+
+
+def running_sources(chunks: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """(chunk_row, content_hash, sources): for each row the sorted, `; `-joined sources seen up to it."""
+    hashed = with_hash(chunks).select("chunk_row", "content_hash", "source", _first(order).alias("_at"))
+    return sources_so_far(write_table(hashed, "hashes"))
 
 
 def roll_up_sources(chunks: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -96,8 +97,11 @@ def registry(vectors: DataFrame) -> DataFrame:
 def against_registry(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """(chunk_row, content_hash, known): whether a chunk's content is in the vector store already."""
     hashed = chunks.select("chunk_row", T.content_hash(F.col("content")).alias("content_hash"))
-    known = registry(vectors).select("content_hash", F.lit(True).alias("known"))
-    return hashed.join(known, "content_hash", "left").select("chunk_row", "content_hash", F.coalesce("known", F.lit(False)).alias("known"))
+    usable = vectors.where(is_usable_vector(F.col("id"), F.col("text"), F.col("embedding")))
+    known = usable.select(F.col("id").alias("content_hash")).distinct()
+    counts = hashed.groupBy("content_hash").agg(F.count("*").alias("_n")).join(known, "content_hash", "left_semi")
+    met = join_groups(hashed, write_table(counts, "known-contents"), ["content_hash"], "_n", "left")
+    return met.select("chunk_row", "content_hash", F.col("_n").isNotNull().alias("known"))
 
 
 def embed_once(chunks: DataFrame) -> DataFrame:

@@ -36,34 +36,54 @@ def safe_checksum(checksum: Column, filename: Column) -> Column:
     return F.when(T.is_blank(checksum), F.concat(F.lit("unknown_"), T.text_of(filename))).otherwise(checksum)
 
 
+SCHEMA = (
+    "id long, filename string, checksum string, total_pages int, processed_pages int, total_chunks int, embedded_chunks int, job_status string, "
+    "status string, pipeline_run_id string, execution_time_ms long, error_message string, failure_reason string, started_at timestamp_ntz, "
+    "completed_at timestamp_ntz, processed_at timestamp_ntz"
+)
+_COLUMNS = [c.split(" ") for c in SCHEMA.split(", ")]
+
+
+def full(jobs: DataFrame) -> DataFrame:
+    """Jobs with all columns of the ledger, in its order and types; missing ones are null, others are left out."""
+    return jobs.select(*((F.col(c) if c in jobs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in _COLUMNS))
+
+
 def upsert(ledger: DataFrame, updates: DataFrame, seq: str = "id") -> DataFrame:
-    """The ledger with updates applied: the last attempt of each checksum by `seq`, with errors carried on.
+    """The ledger with updates applied, in the ledger's own schema: one row a checksum, the last attempt by `seq`.
 
-    An attempt without an error keeps the error before it; a completed one has none. Attempts of one
+    What an attempt leaves null of its chunks, times and duration stays as it was, the start is the first
+    one's. An attempt without an error keeps the error before it; a completed one has none. The result can
+    be updated again: upsert(upsert(l, a), b) is upsert(l, a and b) for later attempts b. Attempts of one
     checksum are reduced by aggregates, not gathered.
     """
-    rows = ledger.unionByName(updates)
+    rows = full(ledger).unionByName(full(updates))
     rows = rows.withColumn("checksum", safe_checksum(F.col("checksum"), F.col("filename"))).withColumn("_state", state_of(rows))
     error = F.coalesce(F.col("error_message"), F.col("failure_reason"))
     done = F.when(F.col("_state") == "COMPLETED", F.col(seq))
+    carried = ("total_chunks", "embedded_chunks", "execution_time_ms", "completed_at")
     last = rows.groupBy("checksum").agg(
-        F.max_by(F.struct("id", "filename", "total_pages", "processed_pages", "pipeline_run_id", "_state", "completed_at", "processed_at"), seq).alias("l"),
+        F.max_by(F.struct("id", "filename", "total_pages", "processed_pages", "pipeline_run_id", "_state", "processed_at"), seq).alias("l"),
         F.max_by(F.when(error.isNotNull(), F.struct(F.col(seq).alias("at"), error.alias("text"))), F.when(error.isNotNull(), F.col(seq))).alias("e"),
         F.max(done).alias("done_at"),
+        F.min_by("started_at", F.when(F.col("started_at").isNotNull(), F.col(seq))).alias("started_at"),
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in carried),
     )
     completed = F.col("l._state") == "COMPLETED"
     message = F.when(~F.coalesce(completed, F.lit(False)) & (F.col("done_at").isNull() | (F.col("e.at") > F.col("done_at"))), F.col("e.text"))
-    return last.select(
-        "checksum", "l.id", "l.filename", "l.total_pages",
+    merged = last.select(
+        "l.id", "l.filename", "checksum", "l.total_pages",
         F.when(completed, F.col("l.total_pages")).otherwise(F.col("l.processed_pages")).alias("processed_pages"),
-        "l.pipeline_run_id", F.col("l._state").alias("job_status"), status_text(F.col("l._state")).alias("status"),
-        message.alias("error_message"), message.alias("failure_reason"),
+        "total_chunks", "embedded_chunks", F.col("l._state").alias("job_status"), status_text(F.col("l._state")).alias("status"),
+        "l.pipeline_run_id", "execution_time_ms", message.alias("error_message"), message.alias("failure_reason"),
+        "started_at", "completed_at", "l.processed_at",
     )
+    return full(merged)
 
 
 def mark_completed(ledger: DataFrame, run_id: str) -> DataFrame:
-    """The ledger after a run: its validated jobs are completed, without errors."""
-    hit = (F.col("pipeline_run_id") == run_id) & (state_of(ledger) == "VALIDATED")
+    """The ledger after a run: its validated jobs are completed, without errors; all others, also those of no run, stay as they are."""
+    hit = F.coalesce((F.col("pipeline_run_id") == run_id) & (state_of(ledger) == "VALIDATED"), F.lit(False))
     return ledger.withColumns(
         {
             "job_status": F.when(hit, "COMPLETED").otherwise(F.col("job_status")),
@@ -78,7 +98,7 @@ def mark_completed(ledger: DataFrame, run_id: str) -> DataFrame:
 
 def mark_failed(ledger: DataFrame, checksum: str, message: str) -> DataFrame:
     """The ledger with a checksum's job failed."""
-    hit = F.col("checksum") == checksum
+    hit = F.coalesce(F.col("checksum") == checksum, F.lit(False))
     return ledger.withColumns(
         {
             "job_status": F.when(hit, "FAILED").otherwise(F.col("job_status")),

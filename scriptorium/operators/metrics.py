@@ -15,17 +15,10 @@ def latest_samples(log: DataFrame, n: int = RESERVOIR) -> DataFrame:
     return log.where(F.col("latency_ms").isNotNull()).orderBy(F.col("ts").desc_nulls_last(), F.desc("request_id")).limit(n)
 
 
-def percentiles(log: DataFrame, n: int | None = RESERVOIR) -> DataFrame:
-    """(samples, p50, p95, p99) of latencies by nearest rank, over the last n rows or all; 0 without any."""
-    rows = latest_samples(log, n) if n else log.where(F.col("latency_ms").isNotNull())
-    exprs = [F.expr(f"coalesce(percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ms), 0D)").alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return rows.agg(F.count("*").alias("samples"), *exprs)
-
+def _ranked(log: DataFrame) -> DataFrame:
+    """(latency_ms, upto, n): each different latency with the number of samples up to it, and of all samples.
 
-def load_percentiles(log: DataFrame) -> DataFrame:
-    """(p50, p95, p99) by the load test's rule, the value at index floor(n * p), from counts of equal latencies.
-
-    Ranks come from running counts over different values; no sorted list is collected.
+    Running counts within logarithmic bins; no sorted list is collected, no task holds all values.
     """
     values = log.where(F.col("latency_ms").isNotNull()).groupBy("latency_ms").agg(F.count("*").alias("c"))
     bins = values.withColumn("bin", F.floor(F.log2(F.greatest(F.abs("latency_ms"), F.lit(1e-6))) * 64) * F.signum("latency_ms"))
@@ -34,9 +27,22 @@ def load_percentiles(log: DataFrame) -> DataFrame:
     starts = starts.withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0))).select("bin", "start")
     inside = Window.partitionBy("bin").orderBy("latency_ms")
     ranked = bins.join(starts, "bin").withColumn("upto", F.col("start") + F.sum("c").over(inside))
-    total = values.agg(F.sum("c").alias("n"))
-    with_n = ranked.join(F.broadcast(total))  # one row
-    return with_n.agg(
+    return ranked.join(F.broadcast(values.agg(F.sum("c").alias("n"))))  # one row
+
+
+def percentiles(log: DataFrame, n: int | None = RESERVOIR) -> DataFrame:
+    """(samples, p50, p95, p99) of latencies by nearest rank, over the last n rows or all; 0 without any."""
+    ranked = _ranked(latest_samples(log, n) if n else log)
+    exprs = [
+        F.coalesce(F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p), F.col("latency_ms"))), F.lit(0.0)).alias(name)
+        for name, p in (("p50", F.lit("0.50").cast("decimal(3,2)")), ("p95", F.lit("0.95").cast("decimal(3,2)")), ("p99", F.lit("0.99").cast("decimal(3,2)")))
+    ]
+    return ranked.agg(F.coalesce(F.max("n"), F.lit(0)).alias("samples"), *exprs)
+
+
+def load_percentiles(log: DataFrame) -> DataFrame:
+    """(p50, p95, p99) by the load test's rule, the value at index floor(n * p), from counts of equal latencies."""
+    return _ranked(log).agg(
         *(
             F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("latency_ms"))).alias(name)
             for name, p in (("p50", 0.50), ("p95", 0.95), ("p99", 0.99))

@@ -69,7 +69,7 @@ def definition(line: str) -> tuple[str, str] | None:
     first, _, rest = _split_once(line)
     term = re.sub(r"[*#_`~⮚✓➢❖■➔()]+", "", first)
     term = re.sub(r"^\s*\d+(\.\d+)*[:.)-]\s*", "", term, flags=re.ASCII).strip(T.TRIMMED)
-    meaning = re.sub(r"^[:–-]\s*", "", rest).strip(T.TRIMMED)
+    meaning = re.sub(r"^[:–-]\s*", "", rest, flags=re.ASCII).strip(T.TRIMMED)
     sized = len(re.sub("[^a-zA-Z0-9]", "", term)) >= 2 and len(term) <= 50 and len(meaning) >= 12
     return (term, meaning) if sized and "," not in term and len(re.split(r"\s+", term, flags=re.ASCII)) <= 5 else None
 

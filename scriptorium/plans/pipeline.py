@@ -9,6 +9,9 @@ from scriptorium.functions import predicates as P
 from scriptorium.functions import text as T
 from scriptorium.functions.vector import hash_embedding
 from scriptorium.operators import chunking, dedup, ledger, metrics, relevance, retrieval, structure, synthesis
+from scriptorium.operators.skew import join_groups
+from scriptorium.session import write_table
+from scriptorium.sources import readers
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -21,18 +24,43 @@ def chunk(documents: DataFrame) -> DataFrame:
     return chunking.chunk_documents(documents)
 
 
-def vectorize(chunks: DataFrame) -> DataFrame:
-    """Chunks (with chunk_row) to vector rows: content hash, embedding of each different content, sources so far."""
-    hashed = dedup.with_hash(chunks)
-    flags = dedup.flag_duplicates(chunks).select("chunk_row", "is_duplicate")
-    sources = dedup.running_sources(chunks).select("chunk_row", "sources")
-    rows = hashed.join(flags, "chunk_row").join(sources, "chunk_row").join(dedup.embed_once(chunks), "content_hash")
-    return rows.select(
-        F.col("chunk_row").alias("vec_row"), F.col("content_hash").alias("id"), "document_name", "page_number", "heading",
-        T.text_of(F.col("content")).alias("text"), "embedding",
-        F.struct(
-            F.col("document_name").alias("document"), F.col("page_number").alias("page"), "heading", "sources", F.col("is_duplicate").alias("deduplicated")
-        ).alias("metadata"),
+def vectorize(chunks: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Chunks (with chunk_row) to vector rows: content hash, embedding of each different content, sources so far.
+
+    stored: the vector rows of earlier runs. A content that is stored already is a duplicate from its
+    first row on, takes the embedding over, and its sources begin with the stored ones. Texts are hashed
+    once; only first rows of new contents are embedded, all others look their embedding up.
+    """
+    order = dedup._first(dedup.ORDER)
+    rows = write_table(
+        dedup.with_hash(chunks).select(
+            "chunk_row", "content_hash", "source", order.alias("_at"), "document_name", "page_number", "heading", T.text_of(F.col("content")).alias("text")
+        ),
+        "hashed-chunks",
+    )
+    facts = rows.groupBy("content_hash").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    if stored is not None:
+        usable = stored.where(P.is_usable_vector(F.col("id"), F.col("text"), F.col("embedding")))
+        known = usable.groupBy(F.col("id").alias("content_hash")).agg(F.min_by("embedding", F.struct("vec_row")).alias("_stored"))
+        known = known.join(dedup.registry(stored).select("content_hash", F.col("sources").alias("_listed")), "content_hash")
+        facts = facts.join(known, "content_hash", "left")
+    else:
+        facts = facts.select("*", F.lit(None).cast("array<float>").alias("_stored"), F.lit(None).cast("string").alias("_listed"))
+    facts = write_table(facts.where("_n > 1 or _stored is not null"), "content-facts")
+    judged = join_groups(rows, facts, ["content_hash"], "_n", "left")
+    fresh = F.coalesce((F.col("_at") == F.col("_first")) & F.col("_stored").isNull(), F.lit(True))
+    new = judged.where(fresh).withColumn("embedding", hash_embedding(F.col("text")))
+    new = write_table(new.withColumn("deduplicated", F.lit(False)), "new-vectors")
+    again = judged.where(~fresh).drop("_n")
+    first = new.where("_n > 1").select("content_hash", F.col("_n"), F.col("embedding").alias("_new"))
+    again = join_groups(again, first, ["content_hash"], "_n", "left").withColumn("embedding", F.coalesce("_stored", "_new")).drop("_new")
+    both = new.unionByName(again.withColumn("deduplicated", F.lit(True)))
+    sources = dedup.sources_so_far(rows).select("chunk_row", F.col("sources").alias("_seen"))
+    listed = F.array_join(F.array_sort(F.array_union(F.split("_listed", "; "), F.split("_seen", "; "))), "; ")
+    out = both.join(sources, "chunk_row").withColumn("sources", F.coalesce(listed, F.col("_seen")))
+    return out.select(
+        F.col("chunk_row").alias("vec_row"), F.col("content_hash").alias("id"), "document_name", "page_number", "heading", "text", "embedding",
+        F.struct(F.col("document_name").alias("document"), F.col("page_number").alias("page"), "heading", "sources", "deduplicated").alias("metadata"),
     )
 
 
@@ -54,17 +82,43 @@ def corpus_of_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
-def ingest(pages: DataFrame, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pages to (staged documents, chunks, vectors) as one lazy plan; documents of completed jobs are left out.
+def ingest(
+    pages: DataFrame, done: DataFrame | None = None, stored: DataFrame | None = None, staged: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages to (staged documents, chunks, vectors).
 
-    done: a ledger with the document's name as its file name. Resuming is ingesting with the ledger.
+    done: a ledger; documents whose checksum (a column of the pages) a completed job has are left out,
+    whatever their name, if their staged output is still among `staged` (document_name) where that is
+    given. Resuming is ingesting with the ledger. stored: the vector rows of earlier runs, see `vectorize`.
     """
     if done is not None:
-        finished = done.where(ledger.is_completed(done)).select(T.base_name(F.col("filename")).alias("document_name")).distinct()
-        pages = pages.join(finished, "document_name", "left_anti")
+        if "checksum" not in pages.columns:
+            raise ValueError("pages need a checksum to be matched with the ledger")
+        finished = done.where(ledger.is_completed(done)).select("checksum", T.base_name(F.col("filename")).alias("_name"))
+        if staged is not None:
+            finished = finished.join(staged.select(F.col("document_name").alias("_name")).distinct(), "_name", "left_semi")
+        pages = pages.join(finished.select("checksum").distinct(), "checksum", "left_anti")
     documents = parse(pages)
     chunks = chunk(documents).withColumn("chunk_row", F.xxhash64("chunk_id"))
-    return documents, chunks, vectorize(chunks)
+    return documents, chunks, vectorize(chunks, stored)
+
+
+def ingest_stream(spark: SparkSession, folder: str, extract, sink, checkpoint: str, done=None, stored=None):
+    """A running query over a landing folder: each micro-batch of files is parsed, chunked and embedded, then given to `sink`.
+
+    extract: bytes to page texts; sink(documents, chunks, vectors, batch number); done and stored: calls
+    that give the ledger and the vector rows so far, asked once a batch.
+    """
+
+    def one(files: DataFrame, number: int) -> None:
+        files = files.withColumn("checksum", T.file_checksum(F.col("content")))
+        pages, _ = readers.read_pages(files, extract)
+        name = T.base_name(F.element_at(F.split("path", "/"), -1))
+        pages = pages.join(files.select(name.alias("document_name"), "checksum"), "document_name")
+        sink(*ingest(pages, done() if done else None, stored() if stored else None), number)
+
+    stream = readers.landing_stream(spark, folder)
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def search(corpus: DataFrame, query: str, k: int = 5) -> DataFrame:
@@ -114,7 +168,3 @@ def query_metrics(log: DataFrame) -> DataFrame:
 def run_report(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(discovered, processed, failed, pages, ..., files, chunks, indexed, deduplicated) of a run."""
     return ledger.parse_summary(jobs).join(dedup.summarise(chunks))
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(corpus_of_chunks(spark.read.parquet(f"{sf_dir}/rag_chunks.parquet")), "medical certificate of the insurer")

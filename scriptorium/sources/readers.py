@@ -66,9 +66,11 @@ def read_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> tuple
 
 
 def read_staged(spark: SparkSession, folder: str) -> DataFrame:
-    """(document_name, text): the Markdown files of a folder."""
+    """(document_name, text): the Markdown files of a folder, as `writers.write_markdown` leaves them."""
     files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(folder)
-    return files.select(T.base_name(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("document_name"), F.col("value").alias("text"))
+    # the path is encoded as a URI, and names in it by the writer
+    name = F.url_decode(F.replace(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)), F.lit("+"), F.lit("%2B")))
+    return files.select(T.base_name(name).alias("document_name"), F.col("value").alias("text"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

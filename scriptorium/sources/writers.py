@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators import ledger as L
 
 
-def write_markdown(documents: DataFrame, path: str) -> None:
-    """Staged documents as text, one folder a document."""
-    documents.select("document_name", F.col("text").alias("value")).write.mode("overwrite").partitionBy("document_name").text(path)
+def file_name_of(document: str) -> str:
+    """The file name of a staged document: what isn't safe in a name is percent-encoded, a leading dot or underscore too."""
+    name = quote(document, safe=" ()")
+    return (f"%{ord(name[0]):02X}" + name[1:] if name[0] in "._ " else name) + ".md"
+
+
+def write_markdown(documents: DataFrame, path: str) -> int:
+    """Staged documents as one Markdown file each, named by the document; the number of files.
+
+    The executors write the files themselves, to whatever file system the path names; a task that is
+    tried again writes the same files again. Documents without a name or a text are left out, of
+    several with one name any one stands.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+        files.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column("document_name").to_pylist(), batch.column("text").to_pylist()):
+                with files.open_output_stream(f"{base}/{file_name_of(name)}") as out:
+                    out.write(text.encode("utf-8", "replace"))
+            yield pa.RecordBatch.from_pydict({"files": [batch.num_rows]})
+
+    named = documents.select("document_name", "text").where("document_name <> '' and text <> ''")
+    return named.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

@@ -15,22 +15,38 @@ from scriptorium.operators import guards as G
 from scriptorium.operators.chunking import chunk_documents
 
 
-def _stepped(machine: Callable[[], object], out: str, convert: Callable):
+#: A key's state goes when nothing came for it this long; longer than any time to live or refill.
+IDLE_MS = 24 * 3_600_000
+
+
+def _stepped(machine: Callable[[], object], out: str, convert: Callable, idle_ms: int):
+    names = ["request_id", "key", "flag", out]
+
     def run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
         current = pickle.loads(state.get[0]) if state.exists else machine()  # noqa: S301 - written by this operator
-        for frame in frames:
-            rows = []
-            for ms, request, value in frame.sort_values(["ms", "request_id"])[["ms", "request_id", "value"]].itertuples(index=False):
-                flag, extra = current.step(int(ms), None if pd.isna(value) else value)
-                rows.append((int(request), key[0], bool(flag), convert(extra)))
-            yield pd.DataFrame(rows, columns=["request_id", "key", "flag", out])
+        # a key's events of one micro-batch come in several frames; they are put in order as a whole
+        events = pd.concat([frame[["ms", "request_id", "value"]] for frame in frames]).sort_values(["ms", "request_id"])
+        rows = []
+        for ms, request, value in events.itertuples(index=False):
+            flag, extra = current.step(int(ms), None if pd.isna(value) else value)
+            rows.append((int(request), key[0], bool(flag), convert(extra)))
         state.update((pickle.dumps(current),))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
-def stream_fold(events: DataFrame, key, machine: Callable[[], object], value, out: str, out_type: str) -> DataFrame:
-    """`operators.guards.fold` over a stream: one state a key; each micro-batch is put in order of time."""
+def stream_fold(events: DataFrame, key, machine: Callable[[], object], value, out: str, out_type: str, idle_ms: int = IDLE_MS) -> DataFrame:
+    """`operators.guards.fold` over a stream: one state a key; each micro-batch of a key is put in order of time as a whole.
+
+    A key's events of one micro-batch are held at once, so its size is bounded by the trigger. States of
+    keys that are idle for `idle_ms` of processing time are dropped.
+    """
     named = events.where(F.col("ts").isNotNull()).select(
         F.when(T.is_blank(key), "anonymous").otherwise(key).alias("key"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
@@ -39,8 +55,9 @@ def stream_fold(events: DataFrame, key, machine: Callable[[], object], value, ou
     )
     convert = str if out_type == "string" else float
     return named.groupBy("key").applyInPandasWithState(
-        _stepped(machine, out, convert), f"request_id long, key string, flag boolean, {out} {out_type}", "state binary", "append", GroupStateTimeout.NoTimeout
-    )
+        _stepped(machine, out, convert, idle_ms), f"request_id long, key string, flag boolean, {out} {out_type}", "state binary", "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
+    )
 
 
 def token_bucket(events: DataFrame) -> DataFrame:
