@@ -7,6 +7,7 @@ synthesis; these are tested against plain versions on small fixtures.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from scriptorium.functions import vector as V
 from scriptorium.operators import chunking, dedup, guards, ledger, metrics, relevance, retrieval, structure, synthesis
 from scriptorium.plans import pipeline
 from scriptorium.plans.oracle import PHRASE, SECOND, oracle_sql
-from scriptorium.session import table
+from scriptorium.session import table, table_path
+from scriptorium.sources import readers, writers
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -82,7 +84,8 @@ def term_histogram(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def embed_once(spark: SparkSession, d: str) -> DataFrame:
     embedded = dedup.embed_once(_chunks(spark, d))
-    return embedded.select("content_hash", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("buckets"))
+    weights = embedded.select("content_hash", F.posexplode("embedding").alias("bucket", "x")).where("x <> 0")
+    return weights.select("content_hash", "bucket", F.round(F.col("x").cast("double"), 3).alias("weight"))
 
 
 @_query
@@ -139,11 +142,19 @@ def table_islands(spark: SparkSession, d: str) -> DataFrame:
     return structure.tables(structure.classify_lines(_chunks(spark, d), "chunk_row", "content"), "chunk_row")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of several pages: the passages between blank lines."""
+    pieces = F.posexplode(F.split(T.text_of(F.col("text")), "\n\n")).alias("at", "page_text")
+    named = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_name"), pieces)
+    return named.select("document_name", (F.col("at") + 1).alias("page_number"), "page_text")
+
+
 def _staged(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    return documents.select(
-        name.alias("document_name"), F.concat(structure.preamble(name, F.lit(1)), F.lit("## Page 1\n\n"), T.text_of(F.col("text"))).alias("text")
+    """The same pages as staged texts, their lines as they are."""
+    name, pieces = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.split(T.text_of(F.col("text")), "\n\n")
+    marked = F.transform(pieces, lambda x, i: F.concat(F.lit("## Page "), (i + 1).cast("string"), F.lit("\n\n"), x))
+    return table(spark, d, "documents").select(
+        name.alias("document_name"), F.concat(structure.preamble(name, F.size(pieces)), F.array_join(marked, "\n\n")).alias("text")
     )
 
 
@@ -155,10 +166,50 @@ def page_heading_carry(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def staged_markdown(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "documents").select(
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_name"), F.lit(1).alias("page_number"), F.col("text").alias("page_text")
-    )
-    return pipeline.parse(pages)
+    return pipeline.parse(_pages(spark, d))
+
+
+@_query
+def markdown_files(spark: SparkSession, d: str) -> DataFrame:
+    """Written as files and read back."""
+    folder = table_path(spark, "staged")
+    writers.write_markdown(_staged(spark, d), folder)
+    return readers.read_staged(spark, folder)
+
+
+@_query
+def file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """The staged files as a source of files: names, lengths, checksums, how they would be read."""
+    folder = table_path(spark, "staged")
+    writers.write_markdown(_staged(spark, d), folder)
+    plans = readers.inspect_files(spark, folder, "md").select("path", "megabytes", "strategy")
+    return readers.scan_files(spark, folder, "MD").join(plans, "path").select("file_name", "length", "checksum", "megabytes", "strategy")
+
+
+@_query
+def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written as JSON lines and read back."""
+    path = table_path(spark, "chunk-lines")
+    writers.write_chunks(_chunks(spark, d), path)
+    return readers.read_chunks(spark, path, "*.json")[0].groupBy("chunk_id", "document_name", "page_number", "heading", "content", "character_count").agg(F.count("*").alias("n"))
+
+
+@_query
+def vector_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as JSON lines and read back, and the number of lines of the store."""
+    path = table_path(spark, "vector-lines")
+    writers.write_vectors(table(spark, d, "vector_documents"), path)
+    back = readers.read_vectors(spark, path, "*.json")
+    return back.groupBy("id").agg(
+        F.count("*").alias("n"), F.sum(F.size("embedding")).cast("long").alias("numbers"), F.count_if("metadata.deduplicated").alias("duplicates"),
+        F.max("metadata.sources").alias("sources"), F.lit(readers.count_lines(spark, path, "*.json")).cast("long").alias("lines"),
+    )
+
+
+@_query
+def index_batches(spark: SparkSession, d: str) -> DataFrame:
+    """What an index that takes every batch is sent."""
+    return writers.add_to_index(table(spark, d, "vector_documents").select("id", "embedding"), lambda rows: None)
 
 
 @_query
@@ -173,7 +224,19 @@ def chunk_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def vector_rows(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.vectorize(_chunks(spark, d)).select("vec_row", "id", "metadata.sources", "metadata.deduplicated", F.size("embedding").alias("dimensions"))
+    rows = pipeline.vectorize(_chunks(spark, d))
+    used = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.select("vec_row", "id", "metadata.sources", "metadata.deduplicated", F.size("embedding").alias("dimensions"), F.round(used, 3).alias("squares"))
+
+
+@_query
+def vector_rows_again(spark: SparkSession, d: str) -> DataFrame:
+    """The runs from 7 on against the vectors of all others."""
+    runs = table(spark, d, "pipeline_runs").select("pipeline_run_id", "run_no")
+    chunks = _chunks(spark, d).join(F.broadcast(runs), "pipeline_run_id", "left")  # a row a run
+    late = F.coalesce(F.col("run_no") >= 7, F.lit(False))
+    stored = pipeline.vectorize(chunks.where(~late))
+    return pipeline.vectorize(chunks.where(late), stored).select("vec_row", "id", "metadata.sources", "metadata.deduplicated", F.size("embedding").alias("dimensions"))
 
 
 @_query
@@ -241,7 +304,7 @@ def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def citations(spark: SparkSession, d: str) -> DataFrame:
     found = pipeline.relevant(pipeline.corpus_of_chunks(_chunks(spark, d)), PHRASE, 5)
-    return relevance.citations(found).select("rank", "document", "page", "heading", "preview")
+    return relevance.citations(found).select("rank", "document", "page", "heading", F.round("score", 5).alias("score"), "preview", "context")
 
 
 @_query
@@ -281,8 +344,23 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def ledger_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The jobs of early runs merged to a ledger, the others then merged into that."""
+    runs = table(spark, d, "pipeline_runs").select("pipeline_run_id", "run_no")
+    jobs = _jobs(spark, d).join(F.broadcast(runs), "pipeline_run_id", "left")  # a row a run
+    late = F.coalesce(F.col("run_no") >= 10, F.lit(False))
+    return ledger.upsert(ledger.upsert(jobs.limit(0), jobs.where(~late)), jobs.where(late))
+
+
+@_query
+def ledger_saved(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger saved, read back, a run completed and saved again."""
     jobs = _jobs(spark, d)
-    return ledger.upsert(jobs.limit(0), jobs)
+    first, second = table_path(spark, "ledger"), table_path(spark, "ledger")
+    writers.save_ledger(jobs.limit(0), jobs, first)
+    saved = readers.read_ledger(spark, first)
+    run = saved.where(ledger.state_of(saved) == "VALIDATED").agg(F.min("pipeline_run_id")).first()[0]
+    writers.save_ledger(saved.limit(0), ledger.mark_completed(saved, run or ""), second)
+    return readers.read_ledger(spark, second).select("checksum", "id", "job_status", "status", "processed_pages", "embedded_chunks", "error_message", "pipeline_run_id")
 
 
 def _split_jobs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -319,6 +397,19 @@ def last_attempts(spark: SparkSession, d: str) -> DataFrame:
     return ledger.last_attempts(_jobs(spark, d)).select("id", "filename")
 
 
+@_query
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.run_report(_jobs(spark, d), _chunks(spark, d))
+
+
+@_query
+def run_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The jobs of each run, by the operator for one."""
+    runs = [r[0] for r in table(spark, d, "pipeline_runs").select("pipeline_run_id").collect()]  # a row a run
+    parts = [ledger.of_run(_jobs(spark, d), r).select("pipeline_run_id", "id") for r in sorted(runs)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @_query
 def parse_summary(spark: SparkSession, d: str) -> DataFrame:
     return ledger.parse_summary(_jobs(spark, d))
@@ -328,6 +419,17 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "query_log")
 
 
+@_query
+def query_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.query_metrics(_log(spark, d))
+
+
+@_query
+def memory_states(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    return part.select("p_partkey", guards.memory_state(F.col("p_size").cast("double"), F.lit(50.0)).alias("state"))
+
+
 @_query
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return metrics.percentiles(_log(spark, d))

@@ -6,7 +6,6 @@ import re
 
 from scriptorium.functions import text as T
 from scriptorium.functions.predicates import ASKS_FOR_CODE, ASKS_FOR_RESUME, CODE_MARKS, INDEX_MARKS, NOTICE_MARKS
-from scriptorium.functions.vector import embed
 from scriptorium.operators.synthesis import NOISE_PARTS, NOISE_PARTS_ANY_CASE, NOISE_STARTS, NOISE_STARTS_ANY_CASE, OUTLINE_PREFIXES
 
 PHRASE = "medical certificate of the insurer"
@@ -74,22 +73,45 @@ histogram AS (
 )"""
 
 
+_BUCKET = "(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 128)::INT"
+
+
+def query_vector(query: str, name: str) -> str:
+    """A CTE with the embedding of a literal query: (bucket, w)."""
+    tokens = ", ".join(_q(t) for t in re.split("[^a-z0-9]+", query.lower()) if t)
+    return f"""{name} AS (SELECT bucket, n / sqrt(sum(n * n) OVER ()) AS w FROM (SELECT {_BUCKET} AS bucket, count(*)::DOUBLE AS n
+  FROM (SELECT {_HASH} AS h FROM (SELECT unnest([{tokens}]) AS t)) GROUP BY 1))"""
+
+
 def scored(query: str, name: str) -> str:
     """CTEs that score all chunks once for a query."""
-    weights = [(i, float(w)) for i, w in enumerate(embed(query)) if w]
-    value = "CASE bucket " + " ".join(f"WHEN {i} THEN {w!r}" for i, w in weights) + " ELSE 0 END"
     return f"""
-{name}_v AS (SELECT chunk_row, sum(n * ({value})) / sqrt(sum(n * n)) AS v FROM histogram GROUP BY chunk_row),
+{query_vector(query, name + "_q")},
+{name}_v AS (SELECT chunk_row, sum(n * coalesce(w, 0)) / sqrt(sum(n * n)) AS v FROM histogram LEFT JOIN {name}_q USING (bucket) GROUP BY chunk_row),
 {name} AS (
-  SELECT {content_hash("content")} AS id, chunk_row AS row_key, document_name, page_number, heading, coalesce(content, '') AS content,
+  SELECT {content_hash("content")} AS id, chunk_row AS row_key, document_name, page_number, heading, coalesce(content, '') AS content, [{source()}] AS listed,
     {lexical(query)} AS l, {rules()} AS m, {hybrid("coalesce(v, 0)", lexical(query), rules())} AS score
   FROM rag_chunks LEFT JOIN {name}_v USING (chunk_row)
 )"""
 
 
-def searched(query: str, k: int) -> str:
-    """CTEs down to `shown`: the k results of a search."""
-    return f"""WITH {_BUCKETS}, {scored(query, "s")},
+def stored(query: str, name: str) -> str:
+    """CTEs that score all stored vectors once for a query."""
+    listed = f"CASE WHEN {blank('metadata.sources')} THEN [{source()}] ELSE list_filter(string_split_regex(metadata.sources, ';\\s*'), lambda x: {trim('x')} <> '') END"
+    dot = "CASE WHEN len(embedding) = 128 THEN d ELSE 0 END"
+    return f"""{query_vector(query, name + "_q")},
+{name}_e AS (SELECT vec_row, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS bucket FROM vector_documents WHERE embedding IS NOT NULL),
+{name}_v AS (SELECT vec_row, sum(x::DOUBLE * w) AS d FROM {name}_e JOIN {name}_q USING (bucket) GROUP BY vec_row),
+{name} AS (
+  SELECT id, vec_row AS row_key, document_name, page_number, heading, coalesce(text, '') AS content, {listed} AS listed,
+    {lexical(query, "text")} AS l, {rules("text")} AS m, {hybrid(f"coalesce({dot}, 0)", lexical(query, "text"), rules("text"))} AS score
+  FROM vector_documents LEFT JOIN {name}_v USING (vec_row) WHERE embedding IS NOT NULL
+)"""
+
+
+def searched(query: str, k: int, rows: str | None = None) -> str:
+    """CTEs down to `shown`: the k results of a search, of the chunks or of other scored `rows`."""
+    return f"""WITH {rows or f"{_BUCKETS}, {scored(query, 's')}"},
 top AS (SELECT * FROM s ORDER BY score DESC, id, row_key LIMIT {4 * k}),
 one AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, row_key) = 1),
 again AS (SELECT * EXCLUDE (score), {hybrid("score", "l", "m")} AS score FROM one),
@@ -183,12 +205,19 @@ _KIND = """CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '[ \\t\\n\
   WHEN length(line) BETWEEN 5 AND 80 AND NOT regexp_matches(line, '[.,;]$') AND ((upper(line) = line AND regexp_matches(line, '[A-Z]'))
     OR starts_with(line, 'Order') OR starts_with(line, 'Chapter') OR starts_with(line, 'Section') OR starts_with(line, 'कार्यालय')) THEN 'heading'
   ELSE 'paragraph' END"""
+_MARKDOWN = """CASE kind
+            WHEN 'legal' THEN '### ' || regexp_replace(line, '^(\\d+(\\.\\d+)+)\\s+(.+)$', '\\1 \\3')
+            WHEN 'numbered' THEN regexp_replace(line, '^(\\d+\\.)\\s+(.+)$', '\\1 \\2')
+            WHEN 'bullet' THEN '- ' || regexp_replace(line, '^[•\\-*–—]\\s+(.+)$', '\\1')
+            WHEN 'heading' THEN '### ' || line ELSE line END"""
 _LINES = f"""WITH split AS (SELECT chunk_row, string_split_regex(coalesce(content, ''), '\\r?\\n') AS parts FROM rag_chunks),
 numbered AS (SELECT chunk_row, unnest(generate_series(0, len(parts) - 1))::INT AS line_no, unnest(parts) AS raw FROM split),
 lines AS (SELECT chunk_row, line_no, {trim("raw")} AS line FROM numbered),
 kinds AS (SELECT *, {_KIND} AS kind FROM lines)"""
-_STAGED = """staged AS (SELECT 'doc_' || doc_id AS document_name, '# Document: doc_' || doc_id || chr(10) || '> Source: doc_' || doc_id || chr(10)
-  || '> Total Pages: 1' || chr(10) || chr(10) || '## Page 1' || chr(10) || chr(10) || coalesce(text, '') AS text FROM documents)"""
+_PIECES = "string_split(coalesce(text, ''), chr(10) || chr(10))"
+_PREAMBLE = """'# Document: doc_' || doc_id || chr(10) || '> Source: doc_' || doc_id || chr(10) || '> Total Pages: ' || {n} || chr(10) || chr(10)"""
+_STAGED = f"""staged AS (SELECT 'doc_' || doc_id AS document_name, {_PREAMBLE.format(n=f"len({_PIECES})")}
+  || array_to_string(list_transform({_PIECES}, lambda x, i: '## Page ' || i || chr(10) || chr(10) || x), chr(10) || chr(10)) AS text FROM documents)"""
 
 _WHITE = r"[\t-\r\x1c-\x1f \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]"
 
@@ -283,6 +312,69 @@ kept AS (SELECT chunk_row, row_number() OVER (PARTITION BY chunk_row ORDER BY i)
 SELECT * FROM kept WHERE sentence_no < 3"""
 
 
+def _markdown() -> str:
+    """Staged Markdown: lines by kind, runs of table lines as pipe tables, pages, documents."""
+    nl, gap = "chr(10)", "[ \\t\\n\\x0B\\f\\r]{3,}"
+
+    def cell(x: str) -> str:
+        return trim(f"replace({x}, '|', '\\|')")
+
+    def row(cells: str, rest: str) -> str:
+        return f"'|' || array_to_string(list_transform(range(1, width + 1), lambda k: ' ' || (CASE WHEN k <= len({cells}) THEN {cell(f'{cells}[k]')} ELSE {rest} END) || ' |'), '')"
+
+    return f"""WITH pages AS (SELECT doc_id, unnest(generate_series(1, len(p))) AS page, unnest(p) AS txt, len(p) AS n_pages FROM (SELECT doc_id, {_PIECES} AS p FROM documents)),
+numbered AS (SELECT doc_id, page, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS raw FROM (SELECT doc_id, page, string_split_regex(txt, '\\r?\\n') AS parts FROM pages)),
+lines AS (SELECT doc_id, page, i, {trim("raw")} AS line FROM numbered),
+kinds AS (SELECT *, {_KIND} AS kind FROM lines),
+islands AS (SELECT *, sum((kind <> 'table')::INT) OVER (PARTITION BY doc_id, page ORDER BY i) AS island FROM kinds),
+grids AS (SELECT doc_id, page, min(i) AS i, list(string_split_regex(line, '{gap}') ORDER BY i) AS rows, max(len(string_split_regex(line, '{gap}')))::BIGINT AS width
+  FROM islands WHERE kind = 'table' GROUP BY doc_id, page, island),
+items AS (SELECT doc_id, page, i, {_MARKDOWN} AS md FROM kinds WHERE kind <> 'table'
+  UNION ALL SELECT doc_id, page, i, {row("rows[1]", "'Col ' || k")} || {nl} || '|' || repeat('---|', width)
+    || array_to_string(list_transform(rows[2:], lambda r: {nl} || {row("r", "''")}), '') || {nl} FROM grids),
+whole AS (SELECT doc_id, page, string_agg(md, {nl} ORDER BY i) || {nl} AS md FROM items GROUP BY doc_id, page),
+shown AS (SELECT doc_id, page, n_pages, CASE WHEN regexp_matches(txt, '[^\\s\\x0B\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{3000}}]') THEN md ELSE '*(blank page)*' || {nl} END AS md
+  FROM pages JOIN whole USING (doc_id, page))
+SELECT 'doc_' || doc_id AS document_name, {_PREAMBLE.format(n="max(n_pages)")} || string_agg('## Page ' || page || {nl} || {nl} || md, {nl} ORDER BY page) AS text
+FROM shown GROUP BY doc_id"""
+
+
+def _paragraphs() -> str:
+    bullet = "(starts_with(line, '- ') OR starts_with(line, '• ') OR starts_with(line, '* '))"
+    return f"""WITH split AS (SELECT chunk_row, string_split_regex(regexp_replace(coalesce(content, ''), '[⮚✓➢❖■➔]+', chr(10) || '- ', 'g'), '\\r?\\n') AS p FROM rag_chunks),
+lines AS (SELECT chunk_row, unnest(generate_series(1, len(p))) AS i, {trim("unnest(p)")} AS line FROM split),
+seen AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY chunk_row ORDER BY i), '') AS before FROM lines),
+begun AS (SELECT *, ({bullet} OR before = '') AS begins FROM seen WHERE line <> ''),
+grouped AS (SELECT *, sum(begins::INT) OVER (PARTITION BY chunk_row ORDER BY i) AS g FROM begun),
+joined AS (SELECT chunk_row, g, string_agg((CASE WHEN begins THEN '' WHEN ends_with(before, '-') THEN '' ELSE ' ' END) || line, '' ORDER BY i) AS p FROM grouped GROUP BY 1, 2)
+SELECT chunk_row, (g - 1)::INT AS paragraph_no, {trim("p")} AS paragraph FROM joined"""
+
+
+def _definitions() -> str:
+    bare = "regexp_replace(regexp_replace(regexp_extract(line, '^([^:–-]*)', 1), '[*#_`~⮚✓➢❖■➔()]+', '', 'g'), '^\\s*\\d+(\\.\\d+)*[:.)-]\\s*', '')"
+    meaning = "regexp_replace(regexp_extract(line, '(?s)^[^:–-]*[:–-](.*)$', 1), '^[:–-]\\s*', '')"
+    return f"""WITH lines AS (SELECT chunk_row, unnest(generate_series(1, len(p))) AS i, {trim("unnest(p)")} AS line
+  FROM (SELECT chunk_row, string_split(coalesce(content, ''), chr(10)) AS p FROM rag_chunks)),
+told AS (SELECT chunk_row, i, {trim(bare)} AS term, {trim(meaning)} AS definition FROM lines
+  WHERE NOT starts_with(line, 'http') AND (contains(line, ':') OR contains(line, ' - ') OR contains(line, ' – '))),
+good AS (SELECT * FROM told WHERE length(regexp_replace(term, '[^a-zA-Z0-9]', '', 'g')) >= 2 AND length(term) <= 50 AND length(definition) >= 12
+  AND NOT contains(term, ',') AND len(string_split_regex(term, '{_SPACE}+')) <= 5)
+SELECT chunk_row, term, definition FROM good QUALIFY row_number() OVER (PARTITION BY chunk_row, term ORDER BY length(definition) DESC, i) = 1"""
+
+
+def _merged(checksum: str) -> str:
+    """CTEs down to `ledger`: all attempts merged, one row a checksum."""
+    carried = ", ".join(f"arg_max({c}, id) FILTER ({c} IS NOT NULL) AS {c}" for c in ("total_chunks", "embedded_chunks", "execution_time_ms", "completed_at"))
+    return f"""WITH r AS (SELECT *, {checksum} AS c, {state()} AS st, coalesce(error_message, failure_reason) AS err FROM document_jobs),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY c ORDER BY id DESC) = 1),
+x AS (SELECT c, max(id) FILTER (st = 'COMPLETED') AS done_at, max(id) FILTER (err IS NOT NULL) AS err_at, arg_max(err, id) FILTER (err IS NOT NULL) AS err,
+  arg_min(started_at, id) FILTER (started_at IS NOT NULL) AS started_at, {carried} FROM r GROUP BY c),
+ledger AS (SELECT l.id, l.filename, c AS checksum, l.total_pages, CASE WHEN st = 'COMPLETED' THEN l.total_pages ELSE l.processed_pages END AS processed_pages,
+  x.total_chunks, x.embedded_chunks, st AS job_status, CASE WHEN st = 'COMPLETED' THEN 'SUCCESS' ELSE st END AS status, l.pipeline_run_id, x.execution_time_ms,
+  CASE WHEN NOT coalesce(st = 'COMPLETED', false) AND (x.done_at IS NULL OR x.err_at > x.done_at) THEN x.err END AS error_message,
+  x.started_at, x.completed_at, l.processed_at FROM l JOIN x USING (c))"""
+
+
 def oracle_sql() -> dict[str, str]:
     h = content_hash("content")
     form = f"regexp_replace(regexp_replace(lower({trim('coalesce(query_text, chr(32))')}), '[^a-z \\t\\n\\x0B\\f\\r]', '', 'g'), '{_SPACE}+', ' ', 'g')"
@@ -310,8 +402,8 @@ def oracle_sql() -> dict[str, str]:
         "registry_join": f"""SELECT chunk_row, {h} AS content_hash, {h} IN (SELECT id FROM vector_documents
             WHERE embedding IS NOT NULL AND NOT {blank("id")} AND NOT {blank("text")}) AS known FROM rag_chunks""",
         "term_histogram": f"WITH {_BUCKETS} SELECT chunk_row, bucket, n FROM histogram",
-        "embed_once": f"""WITH {_BUCKETS}, per AS (SELECT chunk_row, count(*) AS buckets FROM histogram GROUP BY chunk_row)
-            SELECT {h} AS content_hash, min(coalesce(buckets, 0)) AS buckets FROM rag_chunks LEFT JOIN per USING (chunk_row) GROUP BY 1""",
+        "embed_once": f"""WITH {_BUCKETS}, weights AS (SELECT chunk_row, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY chunk_row)) AS x FROM histogram)
+            SELECT DISTINCT {h} AS content_hash, bucket, round(x, 3) AS weight FROM weights JOIN rag_chunks USING (chunk_row)""",
         "cosine_topk": """WITH p AS (SELECT embedding AS probe FROM embeddings WHERE vec_id = 0),
             s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], probe::DOUBLE[]), 6) AS cosine FROM embeddings, p)
             SELECT vec_id, cosine, round(greatest(0, least(1, 1 - (2 - 2 * cosine) / 2)), 6) AS score FROM s ORDER BY cosine DESC, vec_id LIMIT 10""",
@@ -326,11 +418,7 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT q.vec_row AS query_id, v.vec_row AS id, round(list_dot_product(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_row % 100 = 0)
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, round(score, 5) AS score
             FROM s QUALIFY rank <= 5""",
-        "line_classes": f"""{_LINES} SELECT chunk_row, line_no, line, kind, CASE kind
-            WHEN 'legal' THEN '### ' || regexp_replace(line, '^(\\d+(\\.\\d+)+)\\s+(.+)$', '\\1 \\3')
-            WHEN 'numbered' THEN regexp_replace(line, '^(\\d+\\.)\\s+(.+)$', '\\1 \\2')
-            WHEN 'bullet' THEN '- ' || regexp_replace(line, '^[•\\-*–—]\\s+(.+)$', '\\1')
-            WHEN 'heading' THEN '### ' || line ELSE line END AS markdown FROM kinds""",
+        "line_classes": f"{_LINES} SELECT chunk_row, line_no, line, kind, {_MARKDOWN} AS markdown FROM kinds",
         "table_islands": f"""{_LINES}, islands AS (SELECT *, sum((kind <> 'table')::INT) OVER (PARTITION BY chunk_row ORDER BY line_no) AS island FROM kinds)
             SELECT chunk_row, min(line_no) AS first_line, count(*) AS n_rows, max(len(string_split_regex(line, '[ \\t\\n\\x0B\\f\\r]{{3,}}')))::INT AS n_cols
             FROM islands WHERE kind = 'table' GROUP BY chunk_row, island""",
@@ -343,9 +431,32 @@ def oracle_sql() -> dict[str, str]:
             FROM known WINDOW w AS (PARTITION BY document_name ORDER BY line_no ROWS UNBOUNDED PRECEDING)""",
         "chunk_fold": f"{_chunked()} SELECT * FROM chunks",
         "chunk_summary": f"{_chunked()} SELECT count(DISTINCT document_name) AS files, count(*) AS chunks FROM chunks",
-        "vector_rows": f"""WITH r AS (SELECT chunk_row AS vec_row, {h} AS id, {source()} AS s, row_number() OVER w AS k,
+        "vector_rows": f"""WITH r AS (SELECT chunk_row AS vec_row, {h} AS id, {source()} AS s, row_number() OVER w AS k, regexp_matches(lower(coalesce(content, '')), '[a-z0-9]') AS told,
             array_to_string(list_sort(list_distinct(list({source()}) OVER w)), '; ') AS sources FROM rag_chunks WINDOW w AS (PARTITION BY {h} ORDER BY {_FIRST}))
-            SELECT vec_row, id, sources, k > 1 AS deduplicated, 128 AS dimensions FROM r""",
+            SELECT vec_row, id, sources, k > 1 AS deduplicated, 128 AS dimensions, told::INT::DOUBLE AS squares FROM r""",
+        "vector_rows_again": f"""WITH c AS (SELECT chunk_row, {h} AS h, {source()} AS s, {blank("content")} AS empty, coalesce(run_no >= 7, false) AS late, {_FIRST.replace("chunk_row", "chunk_row AS c3").replace("coalesce(document_name, '')", "coalesce(document_name, '') AS c1").replace("coalesce(page_number, 0)", "coalesce(page_number, 0) AS c2")}
+            FROM rag_chunks LEFT JOIN pipeline_runs USING (pipeline_run_id)),
+            old AS (SELECT h, list(DISTINCT s) AS listed FROM c WHERE NOT late AND NOT empty GROUP BY h),
+            r AS (SELECT chunk_row, h, row_number() OVER w AS k, list(s) OVER w AS seen FROM c WHERE late WINDOW w AS (PARTITION BY h ORDER BY c1, c2, c3))
+            SELECT chunk_row AS vec_row, h AS id, array_to_string(list_sort(list_distinct(list_concat(coalesce(listed, []), seen))), '; ') AS sources,
+            (k > 1 OR listed IS NOT NULL) AS deduplicated, 128 AS dimensions FROM r LEFT JOIN old USING (h)""",
+        "stored_search": f"""{searched(PHRASE, 5, stored(PHRASE, "s"))} SELECT rank, id, document_name, array_to_string(listed, '; ') AS sources, round(score, 5) AS score FROM shown""",
+        "staged_markdown": _markdown(),
+        "markdown_files": f"WITH {_STAGED} SELECT document_name, text FROM staged",
+        "file_inventory": f"""WITH {_STAGED} SELECT document_name || '.md' AS file_name, strlen(text)::BIGINT AS length, sha256(text) AS checksum,
+            round(strlen(text) / (1024.0 * 1024.0), 1)::DOUBLE AS megabytes, CASE WHEN strlen(text) > 50000000 THEN 'PAGE_BATCH_STREAMING' ELSE 'STANDARD_STREAMING' END AS strategy FROM staged""",
+        "chunk_lines": """SELECT coalesce(chunk_id, '') AS chunk_id, coalesce(document_name, '') AS document_name, coalesce(page_number, 0) AS page_number, coalesce(heading, '') AS heading,
+            coalesce(content, '') AS content, coalesce(character_count, 0) AS character_count, count(*) AS n FROM rag_chunks GROUP BY 1, 2, 3, 4, 5, 6""",
+        "vector_lines": """SELECT id, count(*) AS n, sum(len(embedding))::BIGINT AS numbers, count(*) FILTER (metadata.deduplicated) AS duplicates, max(metadata.sources) AS sources,
+            (SELECT count(*) FROM vector_documents) AS lines FROM vector_documents WHERE embedding IS NOT NULL GROUP BY id""",
+        "index_batches": "SELECT count(*) AS sent, 0::BIGINT AS failed FROM vector_documents",
+        "paragraphs": _paragraphs(),
+        "term_definitions": _definitions(),
+        "query_metrics": f"""WITH s AS (SELECT latency_ms FROM query_log WHERE latency_ms IS NOT NULL ORDER BY ts DESC NULLS LAST, request_id DESC LIMIT 2048)
+            SELECT (SELECT count(*) FROM query_log) AS requests, (SELECT count(*) FROM query_log WHERE {outcome} = 'SUCCESS') AS succeeded, count(*) AS samples, {quantiles},
+            (SELECT round(coalesce(avg(first_token_ms), 0), 2) FROM query_log) AS mean_first_token_ms FROM s""",
+        "memory_states": "SELECT p_partkey, CASE WHEN p_size / 50.0 < 0.75 THEN 'NORMAL' WHEN p_size / 50.0 < 0.90 THEN 'WARNING' ELSE 'CRITICAL' END AS state FROM part",
+        "run_jobs": "SELECT pipeline_run_id, id FROM document_jobs JOIN pipeline_runs USING (pipeline_run_id)",
         "clean_content": f"SELECT chunk_row, {clean('content')} AS clean FROM rag_chunks",
         "strip_outline": f"SELECT chunk_row, {strip('content')} AS stripped FROM rag_chunks",
         "salient_sentences": _salient(),
@@ -364,19 +475,26 @@ def oracle_sql() -> dict[str, str]:
         "previews": f"""SELECT chunk_row, {preview("content", 250, True)} AS preview, {preview("content", 180, False)} AS summary,
             regexp_replace(document_name, '\\.[^.]*$', '') AS base_name FROM rag_chunks""",
         "relevance_filter": f"{_relevant()} SELECT rank, id, round(score, 5) AS score FROM final",
-        "citations": f"{_relevant()} SELECT rank, document_name AS document, page_number AS page, heading, {preview('clean', 250, True)} AS preview FROM final",
+        "citations": f"""{_relevant()} SELECT rank, document_name AS document, page_number AS page, heading, round(score, 5) AS score, {preview('clean', 250, True)} AS preview,
+            '[' || rank || '] Document: ' || document_name || ' | Page: ' || page_number || ' | Section: ' || heading || chr(10) || clean || chr(10) || chr(10) AS context FROM final""",
         "token_stream": """WITH w AS (SELECT request_id, string_split(coalesce(query_text, ''), ' ') AS p FROM query_log),
             u AS (SELECT request_id, unnest(generate_series(0, len(p) - 1)) AS i, unnest(p) AS word FROM w)
             SELECT request_id, ceil(i / 3)::INT AS group_no, string_agg(word, ' ' ORDER BY i) || ' ' AS token FROM u GROUP BY 1, 2""",
         "browse_vectors": f"""SELECT vec_row, id, document_name, page_number, heading, {preview("text", 180, False)} AS preview, 128 AS dimensions
             FROM vector_documents ORDER BY vec_row LIMIT 50""",
         "store_status": "SELECT count(*) AS vectors, count(DISTINCT id) AS contents, count(DISTINCT document_name) AS documents FROM vector_documents",
-        "ledger_upsert": f"""WITH r AS (SELECT *, {checksum} AS c, {state()} AS st, coalesce(error_message, failure_reason) AS err FROM document_jobs),
-            l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY c ORDER BY id DESC) = 1),
-            x AS (SELECT c, max(id) FILTER (st = 'COMPLETED') AS done_at, max(id) FILTER (err IS NOT NULL) AS err_at, arg_max(err, id) FILTER (err IS NOT NULL) AS err FROM r GROUP BY c),
-            m AS (SELECT l.*, CASE WHEN NOT coalesce(l.st = 'COMPLETED', false) AND (x.done_at IS NULL OR x.err_at > x.done_at) THEN x.err END AS message FROM l JOIN x USING (c))
-            SELECT c AS checksum, id, filename, total_pages, CASE WHEN st = 'COMPLETED' THEN total_pages ELSE processed_pages END AS processed_pages, pipeline_run_id,
-            st AS job_status, CASE WHEN st = 'COMPLETED' THEN 'SUCCESS' ELSE st END AS status, message AS error_message, message AS failure_reason FROM m""",
+        "ledger_upsert": f"""{_merged(checksum)} SELECT id, filename, checksum, total_pages, processed_pages, total_chunks, embedded_chunks, job_status, status, pipeline_run_id,
+            execution_time_ms, error_message, error_message AS failure_reason, started_at, completed_at, processed_at FROM ledger""",
+        "ledger_saved": f"""{_merged(checksum)}, hit AS (SELECT min(pipeline_run_id) AS run FROM ledger WHERE job_status = 'VALIDATED'),
+            j AS (SELECT l.*, coalesce(pipeline_run_id = run AND job_status = 'VALIDATED', false) AS done FROM ledger l, hit)
+            SELECT checksum, id, CASE WHEN done THEN 'COMPLETED' ELSE job_status END AS job_status, CASE WHEN done THEN 'SUCCESS' ELSE status END AS status,
+            CASE WHEN done THEN total_pages ELSE processed_pages END AS processed_pages, CASE WHEN done THEN total_chunks ELSE embedded_chunks END AS embedded_chunks,
+            CASE WHEN NOT done THEN error_message END AS error_message, pipeline_run_id FROM j""",
+        "run_report": f"""WITH j AS (SELECT *, {state()} AS st FROM document_jobs),
+            a AS (SELECT count(*) AS discovered, count(*) FILTER (coalesce(st <> 'FAILED', true)) AS processed, count(*) FILTER (st = 'FAILED') AS failed,
+              coalesce(sum(processed_pages), 0)::BIGINT AS pages, greatest(1, coalesce(max(execution_time_ms), 0))::BIGINT AS elapsed_ms FROM j)
+            SELECT a.*, round(pages * 1000.0 / elapsed_ms, 2)::DOUBLE AS pages_per_second, c.* FROM a, (SELECT count(DISTINCT document_name) AS files, count(*) AS chunks,
+            count(DISTINCT {h}) AS indexed, count(*) - count(DISTINCT {h}) AS deduplicated FROM rag_chunks) c""",
         "skip_set": f"""WITH j AS (SELECT d.*, run_no FROM document_jobs d JOIN pipeline_runs USING (pipeline_run_id)),
             done AS (SELECT checksum FROM j WHERE run_no < 10 AND {completed()} AND checksum IS NOT NULL)
             SELECT id, CASE WHEN coalesce(checksum IN (SELECT checksum FROM done), false) THEN 'skip' ELSE 'work' END AS what FROM j WHERE run_no >= 10""",

@@ -67,15 +67,15 @@ def read_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> tuple
 
 def read_staged(spark: SparkSession, folder: str) -> DataFrame:
     """(document_name, text): the Markdown files of a folder, as `writers.write_markdown` leaves them."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     # the path is encoded as a URI, and names in it by the writer
     name = F.url_decode(F.replace(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)), F.lit("+"), F.lit("%2B")))
     return files.select(T.base_name(name).alias("document_name"), F.col("value").alias("text"))
 
 
-def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_chunks(spark: SparkSession, path: str, files: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """(chunks, rejects) of JSON lines; missing fields are empty or 0, malformed lines are kept apart."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path).where(~T.is_blank(F.col("value")))
+    lines = spark.read.option("pathGlobFilter", files).text(path).where(~T.is_blank(F.col("value")))
     parsed = F.from_json("value", CHUNKS + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     rows = lines.select(parsed.alias("r"), "value").select("r.*", "value")
     good = rows.where("_bad is null").select(
@@ -85,17 +85,17 @@ def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, rows.where("_bad is not null").select(F.col("value").alias("line"))
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+def read_vectors(spark: SparkSession, path: str, files: str = "*.jsonl") -> DataFrame:
     """Vector rows of JSON lines; rows without an embedding are left out."""
-    rows = spark.read.schema(VECTORS).option("pathGlobFilter", "*.jsonl").json(path)
+    rows = spark.read.schema(VECTORS).option("pathGlobFilter", files).json(path)
     return rows.where("embedding is not null").select(
         "id", F.col("documentName").alias("document_name"), F.col("pageNumber").alias("page_number"), "heading", "text", "embedding", "metadata"
     )
 
 
-def count_lines(spark: SparkSession, path: str) -> int:
+def count_lines(spark: SparkSession, path: str, files: str = "*.jsonl") -> int:
     """All lines of the vector files, blank ones and duplicates included."""
-    return spark.read.option("pathGlobFilter", "*.jsonl").text(path).count()
+    return spark.read.option("pathGlobFilter", files).text(path).count()
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

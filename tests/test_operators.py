@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -221,3 +222,82 @@ def test_stream_equals_batch(spark, tmp_path):
     out.awaitTermination(120)
     got = {r["request_id"]: r["flag"] for r in spark.table("buckets").collect()}
     assert got == {r["request_id"]: r["allowed"] for r in guards.token_bucket(log).collect()}
+
+
+def test_ledger_is_updated_twice(spark):
+    old = [job(1, "a.pdf", "s1", "FAILED", error="broken"), job(2, "b.pdf", " ", "VALIDATED", run="r2")]
+    a = [job(4, "a2.pdf", "s1", "VALIDATED")]
+    b = [job(6, "a2.pdf", "s1", "FAILED", error="again"), job(7, "c.pdf", "s3", None, "success")]
+    old, a, b = (spark.createDataFrame(x, JOBS) for x in (old, a, b))
+    twice, once = ledger.upsert(ledger.upsert(old, a), b), ledger.upsert(old, a.unionByName(b))
+    assert twice.columns == [c for c, _ in ledger._COLUMNS] and twice.schema == ledger.upsert(twice, b.limit(0)).schema
+    assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
+    assert {r["checksum"]: r["error_message"] for r in twice.collect()} == {"s1": "again", "unknown_b.pdf": None, "s3": None}
+
+
+def test_marks_leave_other_jobs_alone(spark):
+    rows = spark.createDataFrame([job(1, "a.pdf", "s1", "FAILED", error="broken", run=None), job(2, "b.pdf", None, None, run="r2")], JOBS)
+    for marked in (ledger.mark_completed(rows, "r2"), ledger.mark_failed(rows, "s9", "x")):
+        kept = {r["id"]: r for r in marked.collect()}
+        assert kept[1]["error_message"] == "broken" and kept[2]["job_status"] is None
+
+
+def test_ledger_saved_twice(spark, tmp_path):
+    jobs = spark.createDataFrame([job(1, "a.pdf", "s1", "VALIDATED", run="r1")], JOBS)
+    writers.save_ledger(jobs.limit(0), jobs, str(tmp_path / "one"))
+    writers.save_ledger(readers.read_ledger(spark, str(tmp_path / "one")), jobs.withColumn("id", F.lit(5).cast("long")), str(tmp_path / "two"))
+    assert readers.read_ledger(spark, str(tmp_path / "two")).first()["id"] == 5
+
+
+def test_markdown_round_trip(spark, tmp_path):
+    names = ["Order 7 (final)", "a/b", "_hidden", ".dot", "50% + 1.md", "x.y.z", "ü ñ", "?*"]
+    rows = [(n, f"# {n}\n\nline\r\n\n## Page 2\n") for n in names] + [(None, "x"), ("", "x"), ("empty", ""), ("null", None)]
+    documents = spark.createDataFrame(rows, "document_name string, text string")
+    assert writers.write_markdown(documents, str(tmp_path / "md")) == len(names)
+    back = {r["document_name"]: r["text"] for r in readers.read_staged(spark, str(tmp_path / "md")).collect()}
+    assert back == dict(rows[: len(names)])
+
+
+def test_ingest_against_stored_rows(spark):
+    pages = spark.createDataFrame(
+        [("A", 1, "The first clause of the order.", "c1"), ("B", 1, "The first clause of the order.", "c2"), ("C", 1, "Another clause.", "c3")],
+        "document_name string, page_number int, page_text string, checksum string",
+    )
+    _, _, first = pipeline.ingest(pages.where("document_name = 'A'"))
+    assert first.count() == 2  # the preamble and the page
+    first = first.where("text like '%first clause%'")
+    chunks = spark.createDataFrame(
+        [(11, "B", 1, "h", first.first()["text"] + " "), (12, "C", 1, "h", "new text"), (13, "D", 1, "h", "New  text"), (14, "E", 1, None, None)],
+        "chunk_row long, document_name string, page_number int, heading string, content string",
+    )
+    rows = {r["vec_row"]: r for r in pipeline.vectorize(chunks, first).collect()}
+    assert {k: r["metadata"]["deduplicated"] for k, r in rows.items()} == {11: True, 12: False, 13: True, 14: False}
+    assert rows[11]["metadata"]["sources"] == "A:p1; B:p1" and rows[13]["metadata"]["sources"] == "C:p1; D:p1"
+    assert rows[11]["embedding"] == first.first()["embedding"] and rows[13]["embedding"] == rows[12]["embedding"]
+    done = spark.createDataFrame([job(1, "other.pdf", "c1", "COMPLETED"), job(2, "B.pdf", "c2", "FAILED"), job(3, "C.pdf", "c3", "COMPLETED")], JOBS)
+    assert {r["document_name"] for r in pipeline.ingest(pages, done)[0].collect()} == {"B"}  # by checksum, whatever the name
+    staged = spark.createDataFrame([("other",)], "document_name string")
+    assert {r["document_name"] for r in pipeline.ingest(pages, done, staged=staged)[0].collect()} == {"B", "C"}  # C's output is gone
+    with pytest.raises(ValueError):
+        pipeline.ingest(pages.drop("checksum"), done)
+
+
+def test_landing_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"ORDER OF THE DAY\none\fpage two of it")
+    (tmp_path / "in" / "bad.pdf").write_bytes(b"")
+    got = []
+    query = pipeline.ingest_stream(
+        spark, str(tmp_path / "in"), lambda b: b.decode().split("\f"), lambda d, c, v, n: got.append((d.count(), v.count())), str(tmp_path / "cp")
+    )
+    query.awaitTermination(120)
+    assert got == [(1, 3)]  # the preamble and two pages
+
+
+def test_workspace_is_deleted(spark):
+    from scriptorium.session import workspace, write_table
+
+    with workspace(spark) as path:
+        kept = write_table(spark.range(5).toDF("n"), "numbers")
+        assert kept.count() == 5 and os.path.isdir(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
