@@ -4,12 +4,11 @@ Vectors of length one are projected by several independent Gaussian (2-stable) m
 dimensions. Each projection is indexed by a kd-tree: its upper levels are fitted on a bounded sample
 and route every vector to a cell; within a cell the tree goes on with exact medians down to leaves.
 
-A leaf is searched incrementally: the projected neighbours of each row are verified in rising order
-of their projected distance, a few at first, then twice as many each time. A squared projected
-distance divided by the squared true distance follows a chi-square law with DIMS degrees of freedom,
-so a row stops as soon as its next projected neighbour is farther than one as near as its k-th best
-would be projected with probability 1 - MISS_PROBABILITY; a row without k good neighbours stops where
-that holds for a pair at `least`. Projections are as many as make a pair at `least` itself share a
+A leaf is searched incrementally: of each row the FIRST projected neighbours are verified, then those
+that follow, until the stopping test holds. A squared projected distance divided by the squared true
+distance follows a chi-square law with DIMS degrees of freedom, so a row stops where its next projected
+neighbour is farther than one as near as its k-th best would be projected with probability
+1 - MISS_PROBABILITY; a row without k good neighbours stops where that holds for a pair at `least`. Projections are as many as make a pair at `least` itself share a
 leaf with the target probability, whatever the number of rows; none is left out (`trees_needed`).
 Verified neighbours are merged over the projections, exact cosines decide.
 
@@ -40,11 +39,11 @@ from scriptorium.session import write_table
 DIM = 128
 DIMS = 8
 K = 5
-LEAF = 2048
+LEAF = 1024
 SAMPLE = 50_000  # rows the upper tree levels are fitted on, at most; every row is indexed
 MOST_CELLS = 4096
 MISS_PROBABILITY = 0.002
-TARGET = 0.999
+TARGET = 0.99  # for a pair at LEAST itself; more similar ones meet more surely
 LEAST = 0.9
 FIRST = 32  # projected neighbours of a row verified at first
 CODE_ERROR = 0.01  # cosines of 8-bit codes are off by less
@@ -134,48 +133,41 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cosines(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    parts = [np.einsum("ij,ij->i", unit[a[s : s + 20000]], unit[b[s : s + 20000]]) for s in range(0, a.size, 20000)]
+def _cosines(unit: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of unit[rows[i]] and unit[j]; one matrix product where the pairs are many."""
+    if i.size > 0.05 * len(rows) * len(unit):
+        return (unit[rows] @ unit.T)[i, j]
+    parts = [np.einsum("ij,ij->i", unit[rows[i[s : s + 20000]]], unit[j[s : s + 20000]]) for s in range(0, i.size, 20000)]
     return np.concatenate(parts) if parts else np.zeros(0, unit.dtype)
 
 
 def search_incrementally(unit: np.ndarray, low: np.ndarray, quantile: float, least: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, cosine) of the verified neighbours of each row of a leaf, and the stopping test above.
 
-    unit: rows of length one; low: their projections; quantile: of the chi-square law. The smallest
-    projected distances of a row are verified first; with `reach` of them verified the row stops if the
-    next one is beyond what the k-th best so far allows. Rows that go on verify twice as many.
+    unit: rows of length one; low: their projections; quantile: of the chi-square law. Of each row the
+    FIRST nearest by projected distance are verified; where the next one may still be as near as the
+    k-th best so far, so are all those for which that holds, and no others.
     """
     n = len(unit)
     square = (low * low).sum(axis=1)
+    limit = 2 * (1 - least) * quantile  # of a pair at `least`
     out: list[tuple[np.ndarray, ...]] = []
     for at in range(0, n, 512):
         rows = np.arange(at, min(at + 512, n))
         far = square[rows, None] + square[None, :] - 2 * (low[rows] @ low.T)
         far[np.arange(len(rows)), rows] = np.inf
-        radius = np.full(len(rows), 2 * (1 - least) * quantile)  # of a pair at `least`
-        best = np.full((len(rows), keep), -np.inf)
-        active, done, reach = np.arange(len(rows)), 0, min(FIRST, n - 1)
-        while active.size and reach > done:
-            part = far[active]
-            order = np.argpartition(part, reach - 1, axis=1)[:, :reach] if reach < n else np.argsort(part, axis=1)[:, :reach]
-            taken = np.take_along_axis(part, order, axis=1)
-            if done:  # what was verified before is the nearest `done`
-                inner = np.argsort(taken, axis=1, kind="stable")[:, done:]
-                order, taken = np.take_along_axis(order, inner, axis=1), np.take_along_axis(taken, inner, axis=1)
-            i, j = np.nonzero(taken <= radius[active, None])
-            a, b = rows[active[i]], order[i, j]
-            cosine = _cosines(unit, a, b)
-            good = cosine >= least
-            out.append((a[good], b[good], cosine[good]))
-            found = np.full(taken.shape, -np.inf)
-            found[i, j] = cosine
-            top = np.concatenate((best[active], found), axis=1)
-            best[active] = -np.partition(-top, keep - 1, axis=1)[:, :keep]
-            kth = np.maximum(best[active].min(axis=1), least)
-            radius[active] = np.minimum(radius[active], 2 * (1 - kth + CODE_ERROR) * quantile)
-            active = active[taken.max(axis=1) < radius[active]]
-            done, reach = reach, min(2 * reach, n - 1)
+        near = far <= limit
+        more = np.flatnonzero(near.sum(axis=1) > FIRST)  # all others verify what is near and are done
+        if more.size:
+            order = np.argpartition(far[more], FIRST - 1, axis=1)[:, :FIRST]
+            cosine = _cosines(unit, rows, np.repeat(more, FIRST), order.ravel()).reshape(order.shape)
+            kth = np.maximum(np.partition(cosine, FIRST - keep, axis=1)[:, FIRST - keep], least)
+            near[more] = far[more] <= np.minimum(limit, 2 * (1 - kth + CODE_ERROR) * quantile)[:, None]
+            near[more[:, None], order] = True
+        i, j = np.nonzero(near)
+        cosine = _cosines(unit, rows, i, j)
+        good = cosine >= least
+        out.append((rows[i[good]], j[good], cosine[good]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
