@@ -15,8 +15,10 @@ CODE_MARKS = (
     "reader.", "uuid.", "len(", "range(", ".append(", "elif ", "else:", "==", "!=", "lambda ", "self.", "status_log",
     "chunk_path",
 )
+#: Words by which a query asks for code or for a curriculum vitae.
 ASKS_FOR_CODE = ("code", "script", "python", "function", "implement", "program")
 ASKS_FOR_RESUME = ("resume", "candidate", "experience", "intern", "profile", "developer", "cv", "education", "skills")
+#: Marks of index pages, of notices, of a staged preamble.
 INDEX_MARKS = ("s no. chapter title page", "chapter title page no", "### index")
 NOTICE_MARKS = ("public service commission", "assistant professor")
 PREAMBLE = r"(?is)^#\s*Document:.*>\s*Source:.*>\s*Total Pages:.*$"
@@ -55,6 +57,7 @@ def is_resume(document: Column, text: Column, query: Column, names: tuple[str, .
     """A curriculum vitae, unless the query asks for one. `names`: further document names that are one."""
     wanted = any_of(F.lower(T.text_of(query)), ASKS_FOR_RESUME + names)
     doc, low = F.lower(T.text_of(document)), F.lower(T.text_of(text))
+    # fixed values: marks of a curriculum vitae, in its name and in its text
     by_name = any_of(doc, ("resume", "cv") + names)
     by_text = (
         any_of(low, ("b.tech", "curriculum vitae", "full-stack web development intern"))

@@ -16,6 +16,7 @@ STOP_WORDS = (
     "what", "is", "the", "a", "an", "and", "or", "how", "to", "in", "on", "for",
     "with", "about", "tell", "me", "give", "can", "you", "does", "do", "explain",
 )
+#: Small talk, without its punctuation.
 GREETINGS = ("hi", "hello", "hey", "hola", "namaste", "greetings", "good morning", "good evening", "good afternoon")
 PLEASANTRIES = ("thanks", "thank you", "thx", "appreciate it", "great", "ok", "okay", "cool", "bye", "goodbye")
 ABOUT_ME = ("who are you", "what can you do", "help")

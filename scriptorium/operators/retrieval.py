@@ -114,8 +114,12 @@ def nearest_in_blocks(corpus: DataFrame, queries: DataFrame, k: int = 5, block:
         parts = []
         for at in range(0, len(ids), 256):
             s = np.round(q[at : at + 256] @ e.T, 9)  # equal vectors must tie
-            keep = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-            parts.append((np.repeat(ids[at : at + 256], keep.shape[1]), keys[keep].ravel(), np.take_along_axis(s, keep, 1).ravel()))
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else np.full(len(s), -np.inf)
+            i, j = np.nonzero(s >= least[:, None])  # the k best and what ties with the last of them
+            order = np.lexsort((keys[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            parts.append((ids[at + i[best]], keys[j[best]], s[i[best], j[best]]))
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=schema)
 
     local = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(match, "query_id long, id long, score double")

@@ -17,7 +17,7 @@ from scriptorium.functions import text as T
 from scriptorium.functions import vector as V
 from scriptorium.operators import chunking, dedup, guards, ledger, metrics, relevance, retrieval, structure, synthesis
 from scriptorium.plans import pipeline
-from scriptorium.plans.oracle import PHRASE, SECOND, oracle_sql
+from scriptorium.plans.oracle import NOTHING, PHRASE, SECOND, oracle_sql
 from scriptorium.session import table, table_path
 from scriptorium.sources import readers, writers
 
@@ -307,6 +307,25 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return relevance.citations(found).select("rank", "document", "page", "heading", F.round("score", 5).alias("score"), "preview", "context")
 
 
+@_query
+def relevance_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A query that nothing answers: the first content row comes out whatever its score."""
+    found = pipeline.relevant(pipeline.corpus_of_chunks(_chunks(spark, d)), NOTHING, 5)
+    return found.select("rank", "id", F.round("score", 5).alias("score"))
+
+
+@_query
+def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.prompts(pipeline.relevant(pipeline.corpus_of_chunks(_chunks(spark, d)), PHRASE, 5))
+
+
+@_query
+def client_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Queries and clients in the place of forwarded and real addresses."""
+    log = table(spark, d, "query_log")
+    return log.select("request_id", T.client_address(F.col("query_text"), F.col("client_key"), F.col("outcome")).alias("address"))
+
+
 @_query
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     return synthesis.answers(pipeline.relevant(pipeline.corpus_of_chunks(_chunks(spark, d)), PHRASE, 5))

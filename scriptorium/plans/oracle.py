@@ -9,6 +9,7 @@ from scriptorium.functions.predicates import ASKS_FOR_CODE, ASKS_FOR_RESUME, COD
 from scriptorium.operators.synthesis import NOISE_PARTS, NOISE_PARTS_ANY_CASE, NOISE_STARTS, NOISE_STARTS_ANY_CASE, OUTLINE_PREFIXES
 
 PHRASE = "medical certificate of the insurer"
+NOTHING = "zyx wvu"  # words that no text holds
 SECOND = "grievance panel earned leave price schedule"
 _SPACE = r"[ \t\n\x0B\f\r]"
 _CHARS = "concat(" + ", ".join(f"chr({i})" for i in range(1, 33)) + ")"
@@ -184,13 +185,13 @@ def completed() -> str:
     return f"(coalesce({state()} = 'COMPLETED', false) OR coalesce(upper({trim('status')}) = 'SUCCESS', false))"
 
 
-def _relevant() -> str:
+def _relevant(phrase: str = PHRASE) -> str:
     text = "clean"
     return (
-        searched(PHRASE, 15)
+        searched(phrase, 15)
         + f""",
 cleaned AS (SELECT *, {clean("content")} AS clean FROM shown),
-content_rows AS (SELECT * FROM cleaned WHERE NOT ({boilerplate("content")} OR {blank(text)} OR {cover(text)} OR {resume(text, PHRASE)} OR {code_dump(text, PHRASE)})),
+content_rows AS (SELECT * FROM cleaned WHERE NOT ({boilerplate("content")} OR {blank(text)} OR {cover(text)} OR {resume(text, phrase)} OR {code_dump(text, phrase)})),
 judged AS (SELECT *, max(score) FILTER (score >= 0.25) OVER () AS strongest, min(rank) OVER () AS earliest FROM content_rows),
 kept AS (SELECT * FROM judged WHERE (score >= 0.25 AND score >= CASE WHEN strongest >= 0.65 THEN greatest(0.40, strongest * 0.70) ELSE 0.25 END)
   OR (strongest IS NULL AND rank = earliest)),
@@ -477,6 +478,13 @@ def oracle_sql() -> dict[str, str]:
         "relevance_filter": f"{_relevant()} SELECT rank, id, round(score, 5) AS score FROM final",
         "citations": f"""{_relevant()} SELECT rank, document_name AS document, page_number AS page, heading, round(score, 5) AS score, {preview('clean', 250, True)} AS preview,
             '[' || rank || '] Document: ' || document_name || ' | Page: ' || page_number || ' | Section: ' || heading || chr(10) || clean || chr(10) || chr(10) AS context FROM final""",
+        "relevance_fallback": f"{_relevant(NOTHING)} SELECT rank, id, round(score, 5) AS score FROM final",
+        "answer_prompts": f"""{_relevant()}, told AS (SELECT string_agg('[' || rank || '] Document: ' || document_name || ' | Page: ' || page_number || ' | Section: ' || heading
+            || chr(10) || clean || chr(10) || chr(10), '' ORDER BY rank) AS c FROM final)
+            SELECT 0 AS query_id, {_q(PHRASE)} AS query, 'Answer the question from the context alone. If the context has no answer, say so.' || chr(10) || chr(10) || 'CONTEXT:' || chr(10)
+            || c || chr(10) || 'QUESTION:' || chr(10) || {_q(PHRASE)} || chr(10) || chr(10) || 'ANSWER:' || chr(10) AS prompt FROM told""",
+        "client_addresses": f"""SELECT request_id, CASE WHEN NOT {blank("string_split(query_text, ',')[1]")} THEN {trim("string_split(query_text, ',')[1]")}
+            WHEN NOT {blank("client_key")} THEN {trim("client_key")} ELSE outcome END AS address FROM query_log""",
         "token_stream": """WITH w AS (SELECT request_id, string_split(coalesce(query_text, ''), ' ') AS p FROM query_log),
             u AS (SELECT request_id, unnest(generate_series(0, len(p) - 1)) AS i, unnest(p) AS word FROM w)
             SELECT request_id, ceil(i / 3)::INT AS group_no, string_agg(word, ' ' ORDER BY i) || ' ' AS token FROM u GROUP BY 1, 2""",

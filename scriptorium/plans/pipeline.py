@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,8 +135,36 @@ def relevant(corpus: DataFrame, query: str, k: int = 5, query_id: int = 0) -> Da
     return relevance.cut(relevance.filter_results(found, relevance.ASK_THRESHOLD), k)
 
 
-def ask(corpus: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """(query, answer, citations, total_context_chunks): small talk at once, else the extractive answer with citations."""
+NO_CONTEXT = "No relevant document context found in the vector index for your query. Please ingest documents first."
+
+
+def prompts(results: DataFrame) -> DataFrame:
+    """(query_id, query, prompt): the prompt of a language model for each query's filtered results."""
+    lines = relevance.citations(results).select("query_id", "rank", "context").join(results.select("query_id", "rank", "query"), ["query_id", "rank"])
+    whole = lines.groupBy("query_id", "query").agg(F.array_sort(F.collect_list(F.struct("rank", "context"))).alias("c"))
+    return whole.select("query_id", "query", T.prompt(F.array_join(F.transform("c", lambda x: x["context"]), ""), F.col("query")).alias("prompt"))
+
+
+def answered_by(results: DataFrame, model: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """(query_id, told): what a language model answers to the prompts; null where it fails or is silent."""
+
+    @F.pandas_udf("string")
+    def run(asked: pd.Series) -> pd.Series:
+        try:
+            told = model(asked.tolist())
+        except Exception:  # noqa: BLE001 - whatever the model raises, the extractive answer takes its place
+            told = [None] * len(asked)
+        return pd.Series([t if t and t.strip() else None for t in told], dtype=object)
+
+    return prompts(results).select("query_id", run("prompt").alias("told"))
+
+
+def ask(corpus: DataFrame, query: str, k: int = 5, model: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+    """(query, answer, citations, total_context_chunks): small talk at once, else an answer with citations.
+
+    model: a language model, from prompts to answers, that the executors call; without one, or where it
+    fails, the answer is extracted from the results.
+    """
     spark = corpus.sparkSession
     one = spark.range(1).select(T.normalise_query(F.lit(query)).alias("query"))
     talk = one.where(P.is_conversational(F.col("query"))).select("query", T.small_talk_reply(F.col("query")).alias("answer"))
@@ -142,12 +173,14 @@ def ask(corpus: DataFrame, query: str, k: int = 5) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "document", "page", "heading", "score", "preview"))).alias("citations")
     )
     answered = synthesis.answers(results).join(cited, "query_id")
+    if model is not None:
+        answered = answered.join(answered_by(results, model), "query_id", "left").withColumn("answer", F.coalesce("told", "answer"))
     return (
         one.join(talk.select(F.col("query").alias("_q"), F.col("answer").alias("_talk")), F.col("query") == F.col("_q"), "left")
         .join(answered.select("answer", "citations").limit(1), F.lit(True), "left")
         .select(
             "query",
-            F.coalesce("_talk", "answer", F.lit("No relevant document context found in the vector index for your query. Please ingest documents first.")).alias("answer"),
+            F.coalesce("_talk", "answer", F.lit(NO_CONTEXT)).alias("answer"),
             F.when(F.col("_talk").isNull(), F.col("citations")).alias("citations"),
             F.when(F.col("_talk").isNull() & F.col("citations").isNotNull(), F.size("citations")).otherwise(0).alias("total_context_chunks"),
         )

@@ -301,3 +301,15 @@ def test_workspace_is_deleted(spark):
         kept = write_table(spark.range(5).toDF("n"), "numbers")
         assert kept.count() == 5 and os.path.isdir(path.removeprefix("file://"))
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_ask_with_a_model(spark, chunks):
+    corpus = pipeline.corpus_of_chunks(chunks)
+    told = pipeline.ask(corpus, "shared clause", 2, lambda asked: ["Told: " + p.split("QUESTION:\n")[1].split("\n")[0] for p in asked]).first()
+    assert told["answer"] == "Told: shared clause" and told["citations"]
+
+    def broken(asked):
+        raise OSError
+
+    for model in (broken, lambda asked: [" "] * len(asked)):
+        assert pipeline.ask(corpus, "shared clause", 2, model).first()["answer"] == pipeline.ask(corpus, "shared clause", 2).first()["answer"]
