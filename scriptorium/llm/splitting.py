@@ -34,6 +34,7 @@ _STRENGTHS = (
     (2, re.compile(r"\s+")),
     (1, re.compile(r"[^\w\s]")),
 )
+_HIGH = re.compile("[\u0300-\U0010ffff]")  # all combining marks are among these
 
 
 def strengths(text: str) -> np.ndarray:
@@ -42,9 +43,11 @@ def strengths(text: str) -> np.ndarray:
     for value, pattern in reversed(_STRENGTHS):
         for match in pattern.finditer(text):
             out[match.end()] = max(out[match.end()], value)
-    for i, ch in enumerate(text):
-        if ch > "˿" and (unicodedata.combining(ch) or unicodedata.category(ch) in ("Mn", "Mc", "Me") or ch == "‍"):
-            out[i] = -1
+    if not text.isascii():
+        for match in _HIGH.finditer(text):
+            ch = match.group()
+            if unicodedata.combining(ch) or unicodedata.category(ch) in ("Mn", "Mc", "Me") or ch == "\u200d":
+                out[match.start()] = -1
     return out
 
 
