@@ -71,6 +71,17 @@ def test_histogram_packing(counts, lengths):
         assert len(half) <= 1  # best fit leaves at most one bin half empty
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
+def test_lengths_are_chosen_jointly(counts):
+    def cost(plan):
+        return sum(bins for _, bins, _ in plan[1]), sum(bins * length for _, bins, length in plan[1])
+
+    best = P.pack_jointly(counts, (8, 24, 64))
+    assert all(cost(best) <= cost(P.pack_histogram(counts, some, (8, 24, 64))) for some in ((64,), (8, 64), (24, 64), (8, 24, 64)))
+    assert all(x >= fill for fill, x in ((f, next(n for first, bins, n in best[1] if first <= b < first + bins)) for b, f in bins_of(best[0]).items()))
+
+
 def test_pack(spark):
     rng = random.Random(2)
     sizes = [(i, rng.choice([0, 1, 700, 700, 700, 1024, 2048, rng.randrange(1, 2500)])) for i in range(600)] + [(600, 7000), (601, None), (602, 2048)]
@@ -90,7 +101,7 @@ def test_pack(spark):
         for r in own:
             assert r["bin_offset"] == at
             at += r["n_tokens"]
-        assert at <= own[0]["bin_length"] == 2048
+        assert own[0]["bin_length"] == min(x for x in P.LENGTHS if x >= at)  # downsized to its contents
     bound = sum(n or 0 for _, n in sizes) / 2048
     assert len(by_bin) <= 1.15 * bound + 1
     assert P.pack(frame.limit(0)).count() == 0
