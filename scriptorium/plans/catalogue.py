@@ -19,7 +19,7 @@ from scriptorium.operators import chunking, dedup, guards, ledger, metrics, rele
 from scriptorium.plans import pipeline
 from scriptorium.plans.oracle import NOTHING, PHRASE, SECOND, oracle_sql
 from scriptorium.session import table, table_path
-from scriptorium.sources import readers, writers
+from scriptorium.sources import index, readers, writers
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -81,6 +81,12 @@ def term_histogram(spark: SparkSession, d: str) -> DataFrame:
     return counts.where(F.col("n") > 0).select("chunk_row", "bucket", F.col("n").cast("long").alias("n"))
 
 
+@_query
+def resync_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = index.resync_rows(table(spark, d, "vector_documents"))
+    return rows.groupBy("id", "document_name", "page_number", "metadata.sources").agg(F.count("*").alias("n"), F.sum(F.size("embedding")).cast("long").alias("numbers"))
+
+
 @_query
 def embed_once(spark: SparkSession, d: str) -> DataFrame:
     embedded = dedup.embed_once(_chunks(spark, d))

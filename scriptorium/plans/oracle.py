@@ -451,6 +451,8 @@ def oracle_sql() -> dict[str, str]:
         "vector_lines": """SELECT id, count(*) AS n, sum(len(embedding))::BIGINT AS numbers, count(*) FILTER (metadata.deduplicated) AS duplicates, max(metadata.sources) AS sources,
             (SELECT count(*) FROM vector_documents) AS lines FROM vector_documents WHERE embedding IS NOT NULL GROUP BY id""",
         "index_batches": "SELECT count(*) AS sent, 0::BIGINT AS failed FROM vector_documents",
+        "resync_rows": f"""SELECT id, document_name, page_number, {source()} AS sources, count(*) AS n, sum(len(embedding))::BIGINT AS numbers FROM vector_documents
+            WHERE embedding IS NOT NULL AND NOT {blank("id")} AND NOT {blank("text")} GROUP BY 1, 2, 3, 4""",
         "paragraphs": _paragraphs(),
         "term_definitions": _definitions(),
         "query_metrics": f"""WITH s AS (SELECT latency_ms FROM query_log WHERE latency_ms IS NOT NULL ORDER BY ts DESC NULLS LAST, request_id DESC LIMIT 2048)

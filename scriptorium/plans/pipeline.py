@@ -14,7 +14,7 @@ from scriptorium.functions.vector import hash_embedding
 from scriptorium.operators import chunking, dedup, ledger, metrics, relevance, retrieval, structure, synthesis
 from scriptorium.operators.skew import join_groups
 from scriptorium.session import write_table
-from scriptorium.sources import readers
+from scriptorium.sources import index, readers
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -124,8 +124,10 @@ def ingest_stream(spark: SparkSession, folder: str, extract, sink, checkpoint: s
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def search(corpus: DataFrame, query: str, k: int = 5) -> DataFrame:
-    return retrieval.search(corpus, query, k)
+def search(corpus: DataFrame, query: str, k: int = 5, ask_index: Callable[[list[float], int], list[dict]] | None = None) -> DataFrame:
+    """Hybrid search; ask_index: an external index whose candidates come first, see `sources.index.candidates`."""
+    found = index.candidates(corpus.sparkSession, ask_index, query, retrieval.OVER_FETCH * max(1, k)) if ask_index else None
+    return retrieval.search(corpus, query, k, found)
 
 
 def relevant(corpus: DataFrame, query: str, k: int = 5, query_id: int = 0) -> DataFrame:

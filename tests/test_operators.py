@@ -313,3 +313,24 @@ def test_ask_with_a_model(spark, chunks):
 
     for model in (broken, lambda asked: [" "] * len(asked)):
         assert pipeline.ask(corpus, "shared clause", 2, model).first()["answer"] == pipeline.ask(corpus, "shared clause", 2).first()["answer"]
+
+
+def test_external_index(spark, chunks):
+    from scriptorium.sources import index
+
+    corpus = pipeline.corpus_of_chunks(chunks)
+    plain = pipeline.search(corpus, "shared clause", 2).select("row_key", "score").collect()
+
+    def broken(vector, k):
+        raise OSError
+
+    for ask in (broken, lambda vector, k: [], lambda vector, k: None):
+        assert pipeline.search(corpus, "shared clause", 2, ask).select("row_key", "score").collect() == plain
+    answer = [{"id": "x", "text": "shared clause of the index", "distance": 0.1, "document": "Far"}, {"id": "y"}]
+    found = {r["id"]: r for r in index.candidates(spark, lambda vector, k: answer, "shared clause", 2).collect()}
+    assert (found["y"]["document_name"], found["y"]["page_number"], found["y"]["heading"], found["y"]["score"]) == ("Unknown", 1, "General", 0.5)
+    assert found["x"]["sources"] == ["Far:p1"] and abs(found["x"]["score"] - 0.95) < 1e-9
+    assert pipeline.search(corpus, "shared clause", 5, lambda vector, k: answer).where("id = 'x'").count() == 1  # after the top row's siblings
+    vectors = pipeline.vectorize(chunks)
+    sent = index.resync(vectors, lambda rows: None).first()
+    assert (sent["sent"], sent["failed"]) == (5, 0)  # the two empty texts aren't usable
