@@ -15,7 +15,7 @@ from scriptorium.operators import guards as G
 from scriptorium.operators.chunking import chunk_documents
 
 
-#: A key's state goes when nothing came for it this long; longer than any time to live or refill.
+#: A key's state goes when the stream's time is this far beyond the key's last event; longer than any time to live or refill.
 IDLE_MS = 24 * 3_600_000
 
 
@@ -27,15 +27,16 @@ def _stepped(machine: Callable[[], object], out: str, convert: Callable, idle_ms
             state.remove()
             yield pd.DataFrame([], columns=names)
             return
-        current = pickle.loads(state.get[0]) if state.exists else machine()  # noqa: S301 - written by this operator
+        current, last = pickle.loads(state.get[0]) if state.exists else (machine(), 0)  # noqa: S301 - written by this operator
         # a key's events of one micro-batch come in several frames; they are put in order as a whole
         events = pd.concat([frame[["ms", "request_id", "value"]] for frame in frames]).sort_values(["ms", "request_id"])
         rows = []
         for ms, request, value in events.itertuples(index=False):
             flag, extra = current.step(int(ms), None if pd.isna(value) else value)
             rows.append((int(request), key[0], bool(flag), convert(extra)))
-        state.update((pickle.dumps(current),))
-        state.setTimeoutDuration(idle_ms)
+            last = max(last, int(ms))
+        state.update((pickle.dumps((current, last)),))
+        state.setTimeoutTimestamp(last + idle_ms)
         yield pd.DataFrame(rows, columns=names)
 
     return run
@@ -44,19 +45,21 @@ def _stepped(machine: Callable[[], object], out: str, convert: Callable, idle_ms
 def stream_fold(events: DataFrame, key, machine: Callable[[], object], value, out: str, out_type: str, idle_ms: int = IDLE_MS) -> DataFrame:
     """`operators.guards.fold` over a stream: one state a key; each micro-batch of a key is put in order of time as a whole.
 
-    A key's events of one micro-batch are held at once, so its size is bounded by the trigger. States of
-    keys that are idle for `idle_ms` of processing time are dropped.
+    A key's events of one micro-batch are held at once, so its size is bounded by the trigger. States
+    are dropped once the newest event of the stream is `idle_ms` beyond the key's last; events that come
+    later than that behind the newest are left out, as their state may be gone.
     """
     named = events.where(F.col("ts").isNotNull()).select(
         F.when(T.is_blank(key), "anonymous").otherwise(key).alias("key"),
+        F.col("ts").cast("timestamp").alias("at"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
         "request_id",
         value.alias("value"),
     )
     convert = str if out_type == "string" else float
-    return named.groupBy("key").applyInPandasWithState(
+    return named.withWatermark("at", f"{idle_ms} milliseconds").groupBy("key").applyInPandasWithState(
         _stepped(machine, out, convert, idle_ms), f"request_id long, key string, flag boolean, {out} {out_type}", "state binary", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -219,11 +219,27 @@ def test_stream_equals_batch(spark, tmp_path):
     log.write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
     out = streaming.token_bucket(stream).writeStream.format("memory").queryName("buckets").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    out.awaitTermination(120)
+    assert out.awaitTermination(120)
     got = {r["request_id"]: r["flag"] for r in spark.table("buckets").collect()}
     assert got == {r["request_id"]: r["allowed"] for r in guards.token_bucket(log).collect()}
 
 
+def test_idle_states_expire(spark, tmp_path):
+    from scriptorium.streaming import guards as streaming
+
+    hour = 3_600_000
+    batches = [[(0, "a", "q", "x", 1.0, None)] * 31], [[(30 * hour, "b", "q", "x", 1.0, None)]], [[(60 * hour, "b", "q", "x", 1.0, None)]]
+    for n, (rows,) in enumerate(batches):
+        log_of(spark, rows).coalesce(1).write.parquet(str(tmp_path / "log" / f"n={n}"))
+        stream = spark.readStream.schema(log_of(spark, rows).schema).parquet(str(tmp_path / "log" / "n=*"))
+        query = streaming.token_bucket(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+        query = query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] == 1  # b alone
+    assert spark.read.parquet(str(tmp_path / "out")).where("not flag").count() == 1
+
+
 def test_ledger_is_updated_twice(spark):
     old = [job(1, "a.pdf", "s1", "FAILED", error="broken"), job(2, "b.pdf", " ", "VALIDATED", run="r2")]
     a = [job(4, "a2.pdf", "s1", "VALIDATED")]
