@@ -6,7 +6,7 @@ turned against each other as in `near_copies`), its sketch, the hashes of its sy
 
 - `sign` fingerprints a batch, the only step that reads the batch's texts as a whole;
 - `look_up` finds exact block matches with the history, and among the runs of the batch, compares the
-  candidates' sketches by the number of differing bytes (their Hamming distance), then their texts;
+  candidates' sketches by their differing bits, which bound the common shingles, then their texts;
 - `append` adds what was accepted. No text of the history is hashed again: of the store a look-up
   reads fingerprints, and texts of candidates to verify them.
 

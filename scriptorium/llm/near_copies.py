@@ -4,17 +4,17 @@ Every row gets TREES labels, each a string of min-hash values over its runs of t
 values hashed to a number, then four more levels of four bits each. A label is one key, so that a
 sort of the keys is a trie: rows that share a prefix lie side by side, and the bits two keys agree in
 tell how deep. One sorted walk finds all pairs that share at least SHORTEST levels, with the longest
-prefix they share in any tree. Sketches of the signatures thin the pairs out and tell how similar
-they are; from that the recall at each depth is measured (`depth_reached`), and prefixes are shortened
-from the full depth until it reaches the target. SHORTEST is where a pair at the threshold itself
-meets with the probability LEAST_RECALL, so nothing shorter is ever needed. Pairs that are left are
-verified by the exact share of common shingles.
+prefix they share in any tree. Sketches, sets of bits of a row's shingles, bound from above how many
+shingles two rows share and leave out only pairs that can't reach the threshold; they also tell how
+similar the others may be. From that the recall at each depth is measured (`depth_reached`), and
+prefixes are shortened from the full depth until it reaches the target. SHORTEST is where a pair at the
+threshold itself meets with the probability LEAST_RECALL, so nothing shorter is ever needed. Pairs that
+are left are verified by the exact share of common shingles.
 
 Nodes of more than WIDE rows are compared in blocks of rows spread over the tasks, by their sketches,
-so that no task holds a node and no unlikely pair is ever written. Nodes of more than DEEP rows are
-split by their further levels first, as the number of comparisons grows with the square: pairs that
-are less similar than about 0.8 can be lost there if they meet in no other node. `deep=None` compares
-these exactly too.
+so that no task compares a whole node and no impossible pair is ever written. All pairs of a node are
+compared whatever its size; nodes of more than DEEP rows have larger blocks, so that their rows are sent
+less often.
 
 Rows with the same sequence of words form a class, and only one row of a class enters the forest;
 pairs are found between classes and expanded to rows where the result asks for rows.
@@ -45,14 +45,12 @@ TREES = 48
 FULL_DEPTH = 9
 LEAST_RECALL = 0.97  # of pairs at the threshold
 TARGET_RECALL = 0.998  # of all pairs, as measured
-WIDE, BLOCK, DEEP = 1_000, 1_024, 65_536
+WIDE, DEEP = 1_000, 8_192
+BLOCK, DEEP_BLOCK = 1_024, 16_384
 MOST_TABLES = 1024
-SKETCH = 32
-#: Of SKETCH compared signature bytes, pairs at the threshold agree in 19 on average; in fewer than 9
-#: with a probability of 1 in 7,000.
-SKETCH_LEAST = 9
-#: From this many on a pair counts when recall is measured; pairs at the threshold stay below in 3 of 100.
-SKETCH_LIKELY = 14
+SKETCH_BITS = 512
+#: Similarity is counted in SKETCH parts when recall is measured, from SKETCH_LIKELY on.
+SKETCH, SKETCH_LIKELY = 32, 14
 
 _SCHEMA = (
     "src_table string, row_id long, w1 long, w2 long, k1 long, k2 long, f1 long, f2 long, "
@@ -88,6 +86,19 @@ def _labels(values: np.ndarray) -> np.ndarray:
     return label
 
 
+def _sketches(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(rows, SKETCH_BITS / 8) bytes: the set of bits that each row's shingles fall on."""
+    bits = np.zeros((len(counts), SKETCH_BITS), bool)
+    bits[np.repeat(np.arange(len(counts)), counts), (grams >> core.U64(20)) & core.U64(SKETCH_BITS - 1)] = True
+    return np.packbits(bits, axis=1)
+
+
+def _unpacked(sketches: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches as (rows, SKETCH_BITS / 64) words, and by how many a row's shingles outnumber its bits."""
+    words = np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, SKETCH_BITS // 64)
+    return words, n.astype(np.int32) - np.bitwise_count(words).sum(axis=1, dtype=np.int32)
+
+
 def _signer(more: list[str], shingle: int, min_words: int):
     def sign(rest: dict[str, list], texts: list[str]) -> dict[str, object]:
         word_hashes, n_words = core.words(texts)
@@ -97,7 +108,7 @@ def _signer(more: list[str], shingle: int, min_words: int):
         grams, counts = core.shingles(word_hashes, n_words, shingle)
         grams, counts = core.distinct_per_text(grams, counts)
         values = core.minhash(grams, counts, TREES * SHORTEST)[keep]
-        sketch = (values[:, :SKETCH] & np.uint32(255)).astype(np.uint8)
+        sketch = _sketches(grams, counts)[keep]
         k1, k2 = core.rolling_hashes(texts)
         f1, f2, mask = core.field_hashes(texts)
         f1, f2 = np.where(mask, f1, 0), np.where(mask, f2, 0)
@@ -126,18 +137,10 @@ def classes_of(signed: DataFrame, *more) -> DataFrame:
     return signed.groupBy(*CLASS).agg(F.min("row_id").alias("rep"), F.count("*").alias("n_rows"), *more)
 
 
-def _walker(ordered: bool, floor: int, wide: int, deep: int | None):
+def _walker(ordered: bool, floor: int, wide: int):
     """A walk over sorted (key, row, ord): pairs of narrow nodes, members of wide ones."""
     low = np.int64((1 << 16) - 1)
 
-    def parts(keys: np.ndarray, begin: int, end: int, shift: int) -> Iterator[tuple[int, int]]:
-        if end - begin <= wide or deep is None or end - begin <= deep or shift == 0:
-            yield begin, end
-            return
-        cuts = np.flatnonzero(np.diff(keys[begin:end] >> np.int64(shift - 4))) + begin + 1
-        for x, y in zip([begin, *cuts], [*cuts, end]):
-            yield from parts(keys, x, y, shift - 4)
-
     def batch_of(code, a, b, depth, node) -> pa.RecordBatch:
         n = len(a)
         columns = [
@@ -154,10 +157,9 @@ def _walker(ordered: bool, floor: int, wide: int, deep: int | None):
         for size in np.unique(sizes[sizes > 1]).tolist():
             own = starts[sizes == size]
             if size > wide:
-                for begin in own.tolist():
-                    for x, y in parts(keys, begin, begin + size, 16):
-                        if y - x > 1:
-                            yield batch_of(code[x:y], rows[x:y], None, None, np.full(y - x, keys[x]))
+                for x in own.tolist():
+                    y = x + size
+                    yield batch_of(code[x:y], rows[x:y], None, None, np.full(size, nodes[x]))
                 continue
             i, j = np.triu_indices(size, 1)
             step = max(1, 2_000_000 // len(i))
@@ -197,30 +199,38 @@ def _walker(ordered: bool, floor: int, wide: int, deep: int | None):
 
 
 def _blocks(ordered: bool, floor: int):
-    """The pairs of two blocks of a wide node whose sketches agree enough."""
+    """The pairs of two blocks of a wide node whose sketches let them reach the threshold."""
+    num, den = THRESHOLD
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, ords, block = (table.column(c).to_numpy() for c in ("a", "ord", "own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        ids, ords, block, n = (table.column(c).to_numpy() for c in ("a", "ord", "own", "n"))
+        i, j, code = (table.column(c)[0].as_py() for c in ("i", "j", "code"))
+        words, spare = _unpacked(table.column("sketch").to_pylist(), n)
+        need = num * n.astype(np.int32)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = [np.zeros((2, 0), np.int64)]
-        for at in range(0, len(left), 128):
-            some = left[at : at + 128]
-            agree = np.zeros((len(some), len(right)), np.uint8)
-            for k in range(SKETCH):
-                agree += sketches[some, k][:, None] == sketches[right, k][None, :]
-            x, y = np.nonzero(agree >= SKETCH_LEAST)
-            x, y = some[x], right[y]
-            good = ids[x] < ids[y] if i == j else ids[x] != ids[y]
-            if ordered:
-                good &= (ords[x] != ords[y]) & (np.maximum(ords[x], ords[y]) >= floor)
-            out.append(np.stack((x[good], y[good])))
-        x, y = np.concatenate(out, axis=1)
-        swap = ords[x] > ords[y] if ordered else ids[x] > ids[y]
-        a, b = np.where(swap, ids[y], ids[x]), np.where(swap, ids[x], ids[y])
-        code = table.column("code")[0].as_py()
-        return pa.table({"code": pa.array(np.full(len(a), code, np.int32)), "a": a, "b": b, "depth": pa.array(np.full(len(a), SHORTEST, np.int32))})
+        sides = [np.ascontiguousarray(words[side].T) for side in (left, right)]
+        both, ones = np.empty((64, 1024), np.uint64), np.empty((64, 1024), np.uint8)
+        for x0 in range(0, len(left), 64):
+            for y0 in range(x0 // 1024 * 1024 if i == j else 0, len(right), 1024):
+                some, other = left[x0 : x0 + 64], right[y0 : y0 + 1024]
+                common = np.minimum(spare[some][:, None], spare[other][None, :])
+                u, v = both[: len(some), : len(other)], ones[: len(some), : len(other)]
+                for a, b in zip(sides[0][:, x0 : x0 + 64, None], sides[1][:, None, y0 : y0 + 1024]):
+                    np.bitwise_and(a, b, out=u)
+                    np.bitwise_count(u, out=v)
+                    common += v
+                x, y = np.nonzero(common * (num + den) >= need[some][:, None] + need[other][None, :])
+                x, y = some[x], other[y]
+                good = x < y if i == j else ids[x] != ids[y]
+                if ordered:
+                    good &= (ords[x] != ords[y]) & (np.maximum(ords[x], ords[y]) >= floor)
+                x, y = x[good], y[good]
+                if x.size:
+                    swap = ords[x] > ords[y] if ordered else ids[x] > ids[y]
+                    same = [pa.array(np.full(x.size, v, np.int32)) for v in (code, SHORTEST)]
+                    a, b = np.where(swap, ids[y], ids[x]), np.where(swap, ids[x], ids[y])
+                    yield pa.RecordBatch.from_arrays([same[0], pa.array(a), pa.array(b), same[1]], names=["code", "a", "b", "depth"])
 
     return compare
 
@@ -228,8 +238,9 @@ def _blocks(ordered: bool, floor: int):
 def candidate_pairs(reps: DataFrame, order: str | None = None, floor: int = 0, wide: int = WIDE, deep: int | None = DEEP) -> DataFrame:
     """(src_table, a, b, depth): pairs of rows that share a prefix in some tree, once each, with the longest; a written table.
 
-    reps: (src_table, row_id, labels, sketch); with `order`, an int column, only pairs whose value of it
-    differs and is from `floor` on in one of them are made, the one with the smaller value first.
+    reps: (src_table, row_id, labels, n, sketch); with `order`, an int column, only pairs whose value of it
+    differs and is from `floor` on in one of them are made, the one with the smaller value first. `wide`
+    and `deep` (None: no node is deep) change how a node is compared, never what is found.
     """
     names = sorted(r["src_table"] for r in reps.select("src_table").distinct().collect())  # a row a table
     if len(names) > MOST_TABLES:
@@ -242,47 +253,53 @@ def candidate_pairs(reps: DataFrame, order: str | None = None, floor: int = 0, w
         (F.shiftleft(F.col("tree").cast("long") * MOST_TABLES + F.col("code"), 48) + F.col("label")).alias("key"), "row_id", "ord",
     )
     sorted_ = entries.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
-    walked = sorted_.mapInArrow(_walker(bool(order), floor, wide, deep), "code int, a long, b long, depth int, node long")
+    walked = sorted_.mapInArrow(_walker(bool(order), floor, wide), "code int, a long, b long, depth int, node long")
     met = write_table(walked.groupBy("code", "a", "b", "node").agg(F.max("depth").alias("depth")), "near-met")
     pairs = met.where(F.col("b").isNotNull()).select("code", "a", "b", "depth")
     members = met.where(F.col("node").isNotNull()).select("code", "node", "a")
     if members.limit(1).count():
         sizes = members.groupBy("node").agg(F.count("*").alias("_m"))
-        known = join_groups(members, sizes, ["node"], "_m").withColumn("blocks", F.ceil(F.col("_m") / BLOCK).cast("int"))
+        rows = F.lit(BLOCK) if deep is None else F.when(F.col("_m") > deep, DEEP_BLOCK).otherwise(BLOCK)
+        known = join_groups(members, sizes, ["node"], "_m").withColumn("blocks", F.ceil(F.col("_m") / rows).cast("int"))
         known = known.withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-        side = reps.select(code.cast("int").alias("code"), F.col("row_id").alias("a"), ord_, "sketch")
+        side = reps.select(code.cast("int").alias("code"), F.col("row_id").alias("a"), ord_, "n", "sketch")
         spread = known.join(side, ["code", "a"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("code", "node", "a", "ord", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        spread = spread.select("code", "node", "a", "ord", "n", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        # a fixed number of tasks, as few bytes are much work here
+        tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = spread.repartition(tasks, "code", "node", "i", "j")
         blocks = spread.groupBy("code", "node", "i", "j").applyInArrow(_blocks(bool(order), floor), "code int, a long, b long, depth int")
         pairs = pairs.unionByName(blocks).groupBy("code", "a", "b").agg(F.max("depth").alias("depth"))
     return pairs.join(F.broadcast(codes), "code").select("src_table", "a", "b", "depth")  # a row a table
 
 
 def _sketch_batch(batch) -> dict[str, object]:
-    a = np.frombuffer(b"".join(batch.column("sketch_a").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    b = np.frombuffer(b"".join(batch.column("sketch_b").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    agree = (a == b).sum(axis=1).astype(np.int32)
-    keep = np.flatnonzero(agree >= SKETCH_LEAST)
+    num, den = THRESHOLD
+    n_a, n_b = (batch.column(c).to_numpy().astype(np.int32) for c in ("n_a", "n_b"))
+    a, spare_a = _unpacked(batch.column("sketch_a").to_pylist(), n_a)
+    b, spare_b = _unpacked(batch.column("sketch_b").to_pylist(), n_b)
+    common = np.bitwise_count(a & b).sum(axis=1, dtype=np.int32) + np.minimum(spare_a, spare_b)
+    keep = np.flatnonzero(common * (num + den) >= num * (n_a + n_b))
+    agree = SKETCH * common // np.maximum(n_a + n_b - common, 1)
     return {c: batch.column(c).take(keep) for c in ("src_table", "a", "b", "depth")} | {"agree": agree[keep]}
 
 
 def by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(src_table, a, b, depth, agree) of the pairs that can reach the threshold by their numbers of shingles and by their sketches."""
-    num, den = THRESHOLD
+    """(src_table, a, b, depth, agree) of the pairs that can reach the threshold by their sketches; none that does is left out.
+
+    agree: the largest share of common shingles the sketches allow, in SKETCH parts.
+    """
     side = reps.select("src_table", "row_id", "n", "sketch")
     both = pairs.join(
         side.toDF("src_table", "a", "n_a", "sketch_a"), ["src_table", "a"]
     ).join(side.toDF("src_table", "b", "n_b", "sketch_b"), ["src_table", "b"])
-    bounded = both.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    return map_batches(
-        bounded.select("src_table", "a", "b", "depth", "sketch_a", "sketch_b"), "src_table string, a long, b long, depth int, agree int", _sketch_batch
-    )
+    return map_batches(both, "src_table string, a long, b long, depth int, agree int", _sketch_batch)
 
 
 def depth_reached(counts: dict[tuple[int, int], int], target: float = TARGET_RECALL) -> int:
     """The longest depth whose measured recall reaches the target, else SHORTEST.
 
-    counts: pairs by (depth, agreeing bytes of SKETCH). Each pair that may be similar stands for as many as its
+    counts: pairs by (depth, similarity in SKETCH parts). Each pair that may be similar stands for as many as its
     similarity makes the forest miss at SHORTEST, so the whole is estimated from what was met.
     """
     likely = {k: n for k, n in counts.items() if k[1] >= SKETCH_LIKELY}

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from scriptorium.llm import history as H
 from scriptorium.llm import near_copies as N
+from scriptorium.llm import textcore as core
 
 from .test_format_copies import WORDS, frame, sentence
 
@@ -64,6 +67,37 @@ def test_wide_nodes_give_the_same_pairs(spark):
     assert pairs(wide=5, deep=None) == narrow and pairs(wide=5, deep=10) <= narrow
 
 
+def test_deep_nodes_lose_no_pair(spark, monkeypatch):
+    base = sentence(3, 80)
+    texts = [edited(base, 4, i) for i in range(60)] + corpus(4, 20)
+    rows = frame(spark, texts)
+    reps = N.signatures(rows)
+
+    def pairs(**how):
+        found = N.verify(N.by_sketch(N.candidate_pairs(reps, **how), reps).select("src_table", "a", "b"), rows)
+        return {(r["a"], r["b"]) for r in found.collect()}
+
+    narrow = pairs()
+    assert len(narrow) > 500 and pairs(wide=5, deep=10) == narrow
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "DEEP_BLOCK", 40)
+    assert pairs(wide=5, deep=10) == pairs(wide=5, deep=None) == narrow
+
+
+def test_sketches_leave_out_no_similar_pair():
+    texts = [t for i in range(40) for t in (sentence(i, 60 + 10 * i), edited(sentence(i, 60 + 10 * i), 5 + i, i))]
+    grams_, counts = core.distinct_per_text(*core.shingles(*core.words(texts), N.SHINGLE))
+    sets = [set(x.tolist()) for x in np.split(grams_, np.cumsum(counts)[:-1])]
+    words, spare = N._unpacked([x.tobytes() for x in N._sketches(grams_, counts)], counts)
+    near = 0
+    for i in range(len(texts)):
+        most = np.bitwise_count(words & words[i]).sum(axis=1).astype(int) + np.minimum(spare, spare[i])
+        for j in range(len(texts)):
+            assert len(sets[i] & sets[j]) <= most[j]
+            near += i != j and 8 * most[j] < 3 * (counts[i] + counts[j])
+    assert near > 5000  # of 6,320: most pairs of unlike texts are left out
+
+
 def test_pairs_against_brute_force(spark):
     texts = corpus(1)
     texts += [texts[0], texts[0].upper(), None, "", "short", "short"]
