@@ -4,12 +4,11 @@ Every row gets TREES labels, each a string of min-hash values over its runs of t
 values hashed to a number, then four more levels of four bits each. A label is one key, so that a
 sort of the keys is a trie: rows that share a prefix lie side by side, and the bits two keys agree in
 tell how deep. One sorted walk finds all pairs that share at least SHORTEST levels, with the longest
-prefix they share in any tree. Sketches, sets of bits of a row's shingles, bound from above how many
-shingles two rows share and leave out only pairs that can't reach the threshold; they also tell how
-similar the others may be. From that the recall at each depth is measured (`depth_reached`), and
-prefixes are shortened from the full depth until it reaches the target. SHORTEST is where a pair at the
-threshold itself meets with the probability LEAST_RECALL, so nothing shorter is ever needed. Pairs that
-are left are verified by the exact share of common shingles.
+prefix they share in any tree. SHORTEST is where a pair at the threshold itself meets with the
+probability LEAST_RECALL. Sketches, sets of bits of a row's shingles, bound from above how many shingles
+two rows share and leave out only pairs that can't reach the threshold; all others are verified by the
+exact share of common shingles, at whatever depth they met and whatever other pairs there are. Which
+longer prefix would have served can be measured (`depth_reached`), but leaves nothing out.
 
 Nodes of more than WIDE rows are compared in blocks of rows spread over the tasks, by their sketches,
 so that no task compares a whole node and no impossible pair is ever written. All pairs of a node are
@@ -209,11 +208,16 @@ def _blocks(ordered: bool, floor: int):
         words, spare = _unpacked(table.column("sketch").to_pylist(), n)
         need = num * n.astype(np.int32)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        new = ords >= floor
+        if ordered:  # old rows last, as two of them needn't be compared
+            left, right = (side[np.argsort(~new[side], kind="stable")] for side in (left, right))
         sides = [np.ascontiguousarray(words[side].T) for side in (left, right)]
         both, ones = np.empty((64, 1024), np.uint64), np.empty((64, 1024), np.uint8)
         for x0 in range(0, len(left), 64):
-            for y0 in range(x0 // 1024 * 1024 if i == j else 0, len(right), 1024):
+            for y0 in range(0, len(right), 1024):
                 some, other = left[x0 : x0 + 64], right[y0 : y0 + 1024]
+                if ordered and not (new[some].any() or new[other].any()):
+                    break
                 common = np.minimum(spare[some][:, None], spare[other][None, :])
                 u, v = both[: len(some), : len(other)], ones[: len(some), : len(other)]
                 for a, b in zip(sides[0][:, x0 : x0 + 64, None], sides[1][:, None, y0 : y0 + 1024]):
@@ -222,7 +226,7 @@ def _blocks(ordered: bool, floor: int):
                     common += v
                 x, y = np.nonzero(common * (num + den) >= need[some][:, None] + need[other][None, :])
                 x, y = some[x], other[y]
-                good = x < y if i == j else ids[x] != ids[y]
+                good = ids[x] < ids[y] if i == j else ids[x] != ids[y]
                 if ordered:
                     good &= (ords[x] != ords[y]) & (np.maximum(ords[x], ords[y]) >= floor)
                 x, y = x[good], y[good]
@@ -280,26 +284,22 @@ def _sketch_batch(batch) -> dict[str, object]:
     b, spare_b = _unpacked(batch.column("sketch_b").to_pylist(), n_b)
     common = np.bitwise_count(a & b).sum(axis=1, dtype=np.int32) + np.minimum(spare_a, spare_b)
     keep = np.flatnonzero(common * (num + den) >= num * (n_a + n_b))
-    agree = SKETCH * common // np.maximum(n_a + n_b - common, 1)
-    return {c: batch.column(c).take(keep) for c in ("src_table", "a", "b", "depth")} | {"agree": agree[keep]}
+    return {c: batch.column(c).take(keep) for c in ("src_table", "a", "b", "depth")}
 
 
 def by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(src_table, a, b, depth, agree) of the pairs that can reach the threshold by their sketches; none that does is left out.
-
-    agree: the largest share of common shingles the sketches allow, in SKETCH parts.
-    """
+    """(src_table, a, b, depth) of the pairs that can reach the threshold by their sketches; none that does is left out."""
     side = reps.select("src_table", "row_id", "n", "sketch")
     both = pairs.join(
         side.toDF("src_table", "a", "n_a", "sketch_a"), ["src_table", "a"]
     ).join(side.toDF("src_table", "b", "n_b", "sketch_b"), ["src_table", "b"])
-    return map_batches(both, "src_table string, a long, b long, depth int, agree int", _sketch_batch)
+    return map_batches(both, "src_table string, a long, b long, depth int", _sketch_batch)
 
 
 def depth_reached(counts: dict[tuple[int, int], int], target: float = TARGET_RECALL) -> int:
     """The longest depth whose measured recall reaches the target, else SHORTEST.
 
-    counts: pairs by (depth, similarity in SKETCH parts). Each pair that may be similar stands for as many as its
+    A measure only: no pair is left out by it. counts: pairs by (depth, similarity in SKETCH parts). Each pair that may be similar stands for as many as its
     similarity makes the forest miss at SHORTEST, so the whole is estimated from what was met.
     """
     likely = {k: n for k, n in counts.items() if k[1] >= SKETCH_LIKELY}
@@ -363,12 +363,10 @@ def representatives(signed: DataFrame, classes: DataFrame, more: str | None = No
 def class_links(rows: DataFrame, reps: DataFrame, order: str | None = None, floor: int = 0) -> DataFrame:
     """(src_table, a, b, common, either): similar pairs among the signed rows `reps`; a written table.
 
-    rows: (src_table, row_id, text) of at least these rows.
+    rows: (src_table, row_id, text) of at least these rows. All pairs that met are verified, at any depth.
     """
     pairs = write_table(by_sketch(candidate_pairs(reps, order, floor), reps), "near-candidates")
-    counts = pairs.groupBy("depth", "agree").agg(F.count("*").alias("c")).collect()  # FULL_DEPTH * SKETCH rows at most
-    depth = depth_reached({(r["depth"], r["agree"]): r["c"] for r in counts})
-    return write_table(verify(pairs.where(F.col("depth") >= depth).select("src_table", "a", "b"), rows), "near-links")
+    return write_table(verify(pairs.select("src_table", "a", "b"), rows), "near-links")
 
 
 def _without_copies(links: DataFrame, signed: DataFrame) -> DataFrame:
