@@ -16,7 +16,8 @@
 
 Null, empty and blank texts are no cases. Line ends alone aren't noise. The lexicon, the index and
 the corrections are tables joined by key, never broadcast as a whole; a word's correction depends on
-counts over all rows.
+counts over all rows. What is joined in steps is written between them: all broadcasts of one plan are
+in the driver's memory at once, those of a plan that ended aren't.
 """
 
 from __future__ import annotations
@@ -149,7 +150,8 @@ def header_rows(rows: DataFrame) -> DataFrame:
     for keys, least in ((["mask", "title"], LEAST_IN_DOCUMENT), (["mask"], LEAST_IN_CORPUS)):
         texts = found.groupBy(*keys, "h").agg(F.count("*").alias("n"), F.max(F.col("breaks").cast("int")).alias("breaks"))
         known = texts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("breaks").alias("texts")).where(F.col("texts") >= least).drop("texts")
-        parts.append(join_groups(found, known, keys, "n").select("src_table", "row_id", "mask"))
+        met = join_groups(found, write_table(known, "scan-recurring"), keys, "n").select("src_table", "row_id", "mask")
+        parts.append(write_table(met, "scan-header-lines"))
     both = parts[0].unionByName(parts[1])
     return both.groupBy("src_table", "row_id").agg(F.collect_set("mask").alias("headers"))
 
@@ -221,11 +223,11 @@ def _words_of(rest: dict[str, list], texts: list[str]) -> dict[str, list]:
 
 
 def copied_rows(rows: DataFrame) -> DataFrame:
-    """(src_table, row_id, copies): the rows whose letters and digits occur in other rows too, with the number of these rows."""
+    """(src_table, row_id, copies): the rows whose letters and digits occur in other rows too, with the number of these rows; a written table."""
     folded = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
     hashed = write_table(rows.select("src_table", "row_id", F.xxhash64(folded).alias("h")), "scan-hashes")
-    sizes = hashed.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
-    return join_groups(hashed, sizes, ["h"], "copies").select("src_table", "row_id", "copies")
+    sizes = write_table(hashed.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"), "scan-copies")
+    return write_table(join_groups(hashed, sizes, ["h"], "copies").select("src_table", "row_id", "copies"), "scan-copied")
 
 
 def lexicon(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
@@ -391,9 +393,9 @@ def corrections(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = map_text(rare.select("df", "n", F.col("word").alias("text")), index, _indexer(seen_keys))
     right = map_text(frequent.select("df", "n", F.col("word").alias("text")), index, _indexer(lexicon_keys))
     often = (F.col("meant_df") >= F.col("df") * RATIO) | (F.col("meant_n") >= F.col("n") * RATIO)
-    pairs = (
+    pairs = (  # the planner takes the index for as small as the words it is made of, and would broadcast it
         left.toDF("key", "text", "df", "n")
-        .join(right.toDF("key", "meant", "meant_df", "meant_n"), "key")
+        .join(right.toDF("key", "meant", "meant_df", "meant_n").hint("merge"), "key")
         .where((F.col("text") != F.col("meant")) & often)
         .select("text", "meant", "df", "meant_df")
         .distinct()
@@ -508,11 +510,11 @@ def noise(rows: DataFrame) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(word_bits(doubtful))  # 2 ** WORD_BITS bits
     seen = write_table(map_text(headed, _ROWS, _evidence(shared)), "scan-evidence")
     used = seen.select("src_table", "row_id", F.explode("words").alias("seen"))
-    known = fixes.join(words.select(F.col("word").alias("seen"), F.col("n").alias("_n")), "seen")
-    fitting = in_context(seen, doubtful).withColumnRenamed("meant", "_fits")
+    known = write_table(fixes.join(words.select(F.col("word").alias("seen"), F.col("n").alias("_n")), "seen"), "scan-known")
+    fitting = write_table(in_context(seen, doubtful).withColumnRenamed("meant", "_fits"), "scan-fitting")
     misread = join_groups(used, known, ["seen"], "_n").join(fitting, ["src_table", "row_id", "seen"], "left")
     chosen = F.struct("seen", F.coalesce("_fits", "meant").alias("meant"))
-    misread = misread.groupBy("src_table", "row_id").agg(F.collect_set(chosen).alias("fixes"))
+    misread = write_table(misread.groupBy("src_table", "row_id").agg(F.collect_set(chosen).alias("fixes")), "scan-misread")
     parts = seen.select("src_table", "row_id", F.explode("broken").alias("b")).select("src_table", "row_id", "b.joined", "b.compound")
     df = words.select("word", "df")
     counts = parts.groupBy("joined", "compound").agg(F.count("*").alias("_n"))
@@ -521,9 +523,10 @@ def noise(rows: DataFrame) -> DataFrame:
         .join(df.toDF("compound", "compound_df"), "compound", "left")
         .select("joined", "compound", "_n", (F.coalesce("compound_df", F.lit(0)) > F.coalesce("joined_df", F.lit(0))).alias("kept"))
     )
-    broken = join_groups(parts, judged, ["joined", "compound"], "_n").groupBy("src_table", "row_id").agg(
+    broken = join_groups(parts, write_table(judged, "scan-judged"), ["joined", "compound"], "_n").groupBy("src_table", "row_id").agg(
         F.max(~F.col("kept")).alias("has_break"), F.collect_set(F.when(F.col("kept"), F.col("compound"))).alias("compounds")
     )
+    broken = write_table(broken, "scan-broken")
     every = seen.select("src_table", "row_id", "running").join(misread, ["src_table", "row_id"], "left").join(broken, ["src_table", "row_id"], "left")
     noisy = every.where(F.col("running") | F.col("fixes").isNotNull() | F.coalesce("has_break", F.lit(False)))
     noisy = noisy.join(marked, ["src_table", "row_id"], "left")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from scriptorium.llm import scans as S
 
@@ -120,3 +121,19 @@ def test_short_words_keep_their_confusions():
     for seen, meant in (("tirne", "time"), ("gatber", "gather"), ("nodem", "nodern"), ("modem", "modern"), ("sbips", "ships"), ("vvorks", "works"), ("cliet", "diet"), ("sha11", "shall"), ("c0ci", "coci")):
         assert S.seen_keys(seen) & S.lexicon_keys(meant), (seen, meant)
     assert len(S.lexicon_keys("depots")) < len(S.deletes("depots")) / 2
+
+
+def test_plans_hold_few_broadcasts(spark, monkeypatch):
+    plans, write = {}, S.write_table
+
+    def noted(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(S, "write_table", noted)
+    rows = [(i, "Rules_A", prose(i)) for i in range(100)] + [(1000, "Rules_A", prose(901).replace("employee", "ernployee") + " the inspec-\ntion of the depot")]
+    frame = spark.createDataFrame([("t", *r) for r in rows], "src_table string, row_id long, document_name string, text string")
+    assert [r["row_id"] for r in S.noise(frame).collect()] == [1000]
+    joins = [x for x in plans["scan-likely"].splitlines() if re.search(r"Join.* \[key#\d+\], \[key#\d+\]", x)]
+    assert joins and all("SortMergeJoin" in x for x in joins)  # the index isn't broadcast
+    assert max(plan.count("BroadcastExchange") for plan in plans.values()) <= 6
