@@ -44,11 +44,12 @@ def map_text(
     schema: str | T.StructType,
     fn: Callable[[dict[str, list], list[str]], dict[str, object]],
     text: str = "text",
+    chars: int = BATCH_CHARS,
 ) -> DataFrame:
     """Apply `fn` to batches of rows in Arrow form.
 
     `fn` gets the other columns as lists (by name) and the texts (null as ''), and returns the
-    columns of `schema`; rows may be dropped or added.
+    columns of `schema`; rows may be dropped or added. chars: code points handled at once.
     """
     target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -59,7 +60,7 @@ def map_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            for part in slices(texts):
+            for part in slices(texts, chars):
                 length = part.stop - part.start
                 rest = {c: batch.column(c).slice(part.start, length).to_pylist() for c in others}
                 out = fn(rest, texts[part])

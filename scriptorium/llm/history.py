@@ -155,7 +155,8 @@ def look_up(signed: DataFrame, rows: DataFrame, history: History) -> Found:
     met = write_table(met, "history-met")  # cases for what the history holds
     within = ends.where(F.col("_ra").isNotNull()).join(met.withColumnRenamed("rep", "a"), ["src_table", "a"], "left_anti").drop("_ra")
     several = keys.groupBy(*_KEY).agg(F.count("*").alias("_n"), F.min("run_no").alias("_low"), F.max("run_no").alias("_high")).where("_low < _high")
-    shared = join_groups(keys, several.drop("_low", "_high"), _KEY, "_n").drop("_n")
+    several = write_table(several.drop("_low", "_high"), "history-several")  # read several times
+    shared = join_groups(keys, several, _KEY, "_n").drop("_n")
     shared = write_table(shared.join(met, ["src_table", "rep"], "left_anti"), "history-shared")
     cases = settle(within, shared, runs[1:]) if len(runs) > 1 else None
     cases = met if cases is None else cases.unionByName(met).distinct()

@@ -3,7 +3,8 @@
 Every row gets TREES labels, each a string of min-hash values over its runs of three words: SHORTEST
 values hashed to a number, then four more levels of four bits each. A label is one key, so that a
 sort of the keys is a trie: rows that share a prefix lie side by side, and the bits two keys agree in
-tell how deep. One sorted walk finds all pairs that share at least SHORTEST levels, with the longest
+tell how deep. The tries are dealt out by node to as many tasks as keep each below PART_KEYS keys on
+average, and travel as packed arrays, so that no row is made per key. One sorted walk finds all pairs that share at least SHORTEST levels, with the longest
 prefix they share in any tree. SHORTEST is where a pair at the threshold itself meets with the
 probability LEAST_RECALL. Sketches, sets of bits of a row's shingles, bound from above how many shingles
 two rows share and leave out only pairs that can't reach the threshold; all others are verified by the
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import textcore as core
-from scriptorium.llm.frames import likely_rows, map_batches, map_text
+from scriptorium.llm.frames import likely_rows, map_batches, map_text, slices
 from scriptorium.operators.components import connected_components
 from scriptorium.operators.skew import join_groups
 from scriptorium.session import write_table
@@ -48,6 +49,8 @@ WIDE, DEEP = 1_000, 8_192
 BLOCK, DEEP_BLOCK = 1_024, 16_384
 MOST_TABLES = 1024
 SKETCH_BITS = 512
+SIGN_CHARS = 300_000  # handled at once, so that arrays stay in the cache
+PART_KEYS, FEW_KEYS = 1 << 20, 1 << 16  # keys a task sorts on average, at most and at least
 #: Similarity is counted in SKETCH parts when recall is measured, from SKETCH_LIKELY on.
 SKETCH, SKETCH_LIKELY = 32, 14
 
@@ -100,7 +103,8 @@ def _unpacked(sketches: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _signer(more: list[str], shingle: int, min_words: int):
     def sign(rest: dict[str, list], texts: list[str]) -> dict[str, object]:
-        word_hashes, n_words = core.words(texts)
+        fold = core.folded(texts)
+        word_hashes, n_words = core.words(texts, fold)
         keep = np.flatnonzero(n_words >= min_words)
         w1 = core.sequence_hash(word_hashes, n_words)
         w2 = core.sequence_hash(core.mix(word_hashes ^ core.U64(0x5851F42D4C957F2D)), n_words)
@@ -108,7 +112,7 @@ def _signer(more: list[str], shingle: int, min_words: int):
         grams, counts = core.distinct_per_text(grams, counts)
         values = core.minhash(grams, counts, TREES * SHORTEST)[keep]
         sketch = _sketches(grams, counts)[keep]
-        k1, k2 = core.rolling_hashes(texts)
+        k1, k2 = core.rolling_hashes(texts, fold)
         f1, f2, mask = core.field_hashes(texts)
         f1, f2 = np.where(mask, f1, 0), np.where(mask, f2, 0)
         return {
@@ -127,7 +131,7 @@ def signatures(rows: DataFrame, more: str | None = None, shingle: int = SHINGLE,
     """Hashes, labels and sketch of each row with enough words, and its int column `more`, as a written table."""
     extra = [more] if more else []
     schema = _SCHEMA + "".join(f", {c} int" for c in extra)
-    signed = map_text(rows.select("src_table", "row_id", *extra, "text"), schema, _signer(extra, shingle, min_words))
+    signed = map_text(rows.select("src_table", "row_id", *extra, "text"), schema, _signer(extra, shingle, min_words), chars=SIGN_CHARS)
     return write_table(signed, "signatures")
 
 
@@ -136,8 +140,51 @@ def classes_of(signed: DataFrame, *more) -> DataFrame:
     return signed.groupBy(*CLASS).agg(F.min("row_id").alias("rep"), F.count("*").alias("n_rows"), *more)
 
 
+def _pack(values: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Integers as their least, and the rest in as few bytes as the largest needs."""
+    least = int(values.min())
+    rest = (values - least).view(np.uint64)  # right also where the difference wraps
+    kind = np.min_scalar_type(int(rest.max()))
+    return least, kind.itemsize, rest.astype(kind)
+
+
+def _unpack(least: int, width: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{width}").astype(np.uint64).view(np.int64) + np.int64(least)
+
+
+_PACKED = "part int, row_least long, row_width int, ord_least long, ord_width int, keys binary, rows binary, ords binary"
+
+
+def _dealer(parts: int):
+    """The keys of all tries of a batch of (row_id, ord, code, labels), dealt out by node to `parts` tasks, as `_PACKED`."""
+    kind = np.uint16 if parts <= 1 << 16 else np.uint32
+    trees = (np.arange(TREES, dtype=np.int64) * MOST_TABLES)[None, :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = batch.column("labels").flatten().to_numpy().reshape(-1, TREES)
+            row, ord_, code = (batch.column(c).to_numpy() for c in ("row_id", "ord", "code"))
+            # one number orders the tries: tree, table, label
+            keys = (((trees + code[:, None]) << np.int64(48)) + labels).ravel()
+            part = (core.mix((keys >> np.int64(16)).view(np.uint64)) % np.uint64(parts)).astype(kind)
+            order = np.argsort(part, kind="stable")
+            keys, owner = keys[order], order // TREES
+            bounds = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+            (row_least, row_width, row), (ord_least, ord_width, ord_) = _pack(row), _pack(ord_.astype(np.int64))
+            row, ord_ = row[owner], ord_[owner]
+            own = [i for i in range(parts) if bounds[i] < bounds[i + 1]]
+            sides = [[x[bounds[i] : bounds[i + 1]].tobytes() for i in own] for x in (keys, row, ord_)]
+            wide = [pa.array(np.full(len(own), v, k)) for v, k in ((row_least, np.int64), (row_width, np.int32), (ord_least, np.int64), (ord_width, np.int32))]
+            columns = [pa.array(np.array(own, np.int32)), *wide, *(pa.array(x, pa.binary()) for x in sides)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "row_least", "row_width", "ord_least", "ord_width", "keys", "rows", "ords"])
+
+    return run
+
+
 def _walker(ordered: bool, floor: int, wide: int):
-    """A walk over sorted (key, row, ord): pairs of narrow nodes, members of wide ones."""
+    """A walk over the keys of a task in order: pairs of narrow nodes, members of wide ones."""
     low = np.int64((1 << 16) - 1)
 
     def batch_of(code, a, b, depth, node) -> pa.RecordBatch:
@@ -180,19 +227,14 @@ def _walker(ordered: bool, floor: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(c).to_numpy() for c in ("key", "row_id", "ord")))
-            size = sum(len(h[0]) for h in held)
-            first, last = held[0][0][0] >> np.int64(16), held[-1][0][-1] >> np.int64(16)
-            if size < 200_000 or first == last:
-                continue
-            keys, rows, ords = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(keys >> np.int64(16), last))
-            yield from process(keys[:cut], rows[:cut], ords[:cut])
-            held = [(keys[cut:], rows[cut:], ords[cut:])]
+            for x in batch.to_pylist():
+                rows, ords = (_unpack(x[f"{c}_least"], x[f"{c}_width"], x[f"{c}s"]) for c in ("row", "ord"))
+                held.append((np.frombuffer(x["keys"], np.int64), rows, ords.astype(np.int32)))
         if held:
-            yield from process(*(np.concatenate(x) for x in zip(*held)))
+            keys, rows, ords = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(keys)
+            yield from process(keys[order], rows[order], ords[order])
 
     return run
 
@@ -246,18 +288,18 @@ def candidate_pairs(reps: DataFrame, order: str | None = None, floor: int = 0, w
     differs and is from `floor` on in one of them are made, the one with the smaller value first. `wide`
     and `deep` (None: no node is deep) change how a node is compared, never what is found.
     """
-    names = sorted(r["src_table"] for r in reps.select("src_table").distinct().collect())  # a row a table
+    sizes = {r["src_table"]: r["count"] for r in reps.groupBy("src_table").count().collect()}  # a row a table
+    names = sorted(sizes)
     if len(names) > MOST_TABLES:
         raise ValueError(f"more than {MOST_TABLES} tables")
     codes = reps.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "src_table string, code int")
     code = F.coalesce(*(F.when(F.col("src_table") == n, i) for i, n in enumerate(names)), F.lit(0)).cast("long")
     ord_ = (F.col(order) if order else F.lit(0)).cast("int").alias("ord")
-    entries = reps.select("row_id", ord_, code.alias("code"), F.posexplode("labels").alias("tree", "label")).select(
-        # one number orders the tries: tree, table, label
-        (F.shiftleft(F.col("tree").cast("long") * MOST_TABLES + F.col("code"), 48) + F.col("label")).alias("key"), "row_id", "ord",
-    )
-    sorted_ = entries.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
-    walked = sorted_.mapInArrow(_walker(bool(order), floor, wide), "code int, a long, b long, depth int, node long")
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_keys = sum(sizes.values()) * TREES
+    parts = max(min(tasks, 1 + n_keys // FEW_KEYS), -(-n_keys // PART_KEYS))
+    dealt = reps.select("row_id", ord_, code.alias("code"), "labels").mapInArrow(_dealer(parts), _PACKED)
+    walked = dealt.repartitionById(parts, "part").mapInArrow(_walker(bool(order), floor, wide), "code int, a long, b long, depth int, node long")
     met = write_table(walked.groupBy("code", "a", "b", "node").agg(F.max("depth").alias("depth")), "near-met")
     pairs = met.where(F.col("b").isNotNull()).select("code", "a", "b", "depth")
     members = met.where(F.col("node").isNotNull()).select("code", "node", "a")
@@ -270,7 +312,6 @@ def candidate_pairs(reps: DataFrame, order: str | None = None, floor: int = 0, w
         spread = known.join(side, ["code", "a"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         spread = spread.select("code", "node", "a", "ord", "n", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         # a fixed number of tasks, as few bytes are much work here
-        tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         spread = spread.repartition(tasks, "code", "node", "i", "j")
         blocks = spread.groupBy("code", "node", "i", "j").applyInArrow(_blocks(bool(order), floor), "code int, a long, b long, depth int")
         pairs = pairs.unionByName(blocks).groupBy("code", "a", "b").agg(F.max("depth").alias("depth"))
@@ -316,8 +357,10 @@ def _verifier(shingle: int):
         for name in ("text_a", "text_b"):
             texts = [t or "" for t in batch.column(name).to_pylist()]
             known = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-            grams, counts = core.distinct_per_text(*core.shingles(*core.words(list(known)), shingle))
-            parts = np.split(grams, np.cumsum(counts)[:-1])
+            each, parts = list(known), []
+            for some in slices(each, SIGN_CHARS):
+                grams, counts = core.distinct_per_text(*core.shingles(*core.words(each[some]), shingle))
+                parts += np.split(grams, np.cumsum(counts)[:-1])
             sides.append([parts[known[t]] for t in texts])
         common = [core.jaccard_counts(a, b) for a, b in zip(*sides)]
         return {c: batch.column(c) for c in ("src_table", "a", "b")} | {

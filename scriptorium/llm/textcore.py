@@ -68,14 +68,25 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for i in np.unique(np.searchsorted(ends, high, side="right")).tolist():
                 texts[i] = _several_pattern().sub(lambda m: several[ord(m.group())], texts[i])
             codes, ends = _codes(texts)
+    if not codes.size or codes.max() < _PLANES:
+        return fold[codes], ends
     low = codes < _PLANES
     out = fold[np.where(low, codes, 0)]
-    if not low.all():
-        rest = np.flatnonzero(~low)
-        out[rest] = [c if chr(c).isalnum() else 0 for c in codes[rest].tolist()]
+    rest = np.flatnonzero(~low)
+    out[rest] = [c if chr(c).isalnum() else 0 for c in codes[rest].tolist()]
     return out, ends
 
 
+def _mixed(codes: np.ndarray, salt: int) -> np.ndarray:
+    """mix(code + salt) of each code point, looked up where the table has it."""
+    if codes.size and codes.max() >= _PLANES:
+        return mix(codes.astype(U64) + U64(salt))
+    table = _cache.get(f"mixed {salt}")
+    if table is None:
+        table = _cache[f"mixed {salt}"] = mix(np.arange(_PLANES, dtype=U64) + U64(salt))
+    return table[codes]  # type: ignore[index]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     known = _cache.get(base)
     if known is None or len(known) < n:  # type: ignore[arg-type]
@@ -92,23 +103,25 @@ def _segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return total[ends] - total[starts]
 
 
-def rolling_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def rolling_hashes(texts: list[str], fold: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit polynomial hashes of each text's letters and digits, case folded.
 
     The code points stream through the skip-and-fold table in place: a skipped one weighs nothing, a
-    kept one by its rank among the kept. No string of the kept symbols is ever put together.
+    kept one by its rank among the kept. No string of the kept symbols is ever put together. fold:
+    what `folded` gives for the texts, where it is known.
     """
-    codes, ends = folded(texts)
+    codes, ends = folded(texts) if fold is None else fold
+    at = np.flatnonzero(codes)
+    ends = np.searchsorted(at, ends)  # among the kept
     starts = np.concatenate(([0], ends[:-1])) if len(texts) else ends
-    kept = codes != 0
-    rank = np.concatenate(([0], np.cumsum(kept)))
-    lengths = rank[ends] - rank[starts]
-    position = np.maximum(rank[1:] - 1 - np.repeat(rank[starts], ends - starts), 0)
-    symbols = mix(codes.astype(U64) + U64(0x9E3779B97F4A7C15)) * kept
+    lengths = ends - starts
+    position = np.arange(at.size) - np.repeat(starts, lengths)
+    symbols = _mixed(codes[at], 0x9E3779B97F4A7C15)
     most = int(lengths.max()) if len(lengths) else 0
     out = []
     for base in (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1):
-        weighted = symbols * _powers(base, most + 1)[position]
+        weighted = _powers(base, most + 1)[position]
+        np.multiply(weighted, symbols, out=weighted)
         out.append(mix(_segment_sums(weighted, starts, ends) + lengths.astype(U64)))
     return out[0], out[1]
 
@@ -195,9 +208,9 @@ def fields_equal(a: str, b: str) -> bool:
     return keys(fa) == keys(fb)
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (longest runs of letters and digits) and the number of words of each text."""
-    codes, ends = folded(texts)
+def words(texts: list[str], fold: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (longest runs of letters and digits) and the number of words of each text; fold as above."""
+    codes, ends = folded(texts) if fold is None else fold
     kept = codes != 0
     starts = np.concatenate(([0], ends[:-1])) if len(texts) else ends
     first = kept.copy()
@@ -205,17 +218,15 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         first[1:] &= ~kept[:-1]
         own = starts[starts < codes.size]
         first[own] = kept[own]  # a text's first symbol begins a word whatever stands before it
-    word_no = np.cumsum(first)
-    counts = np.concatenate(([0], word_no))
-    n_words = counts[ends] - counts[starts]
+    n_words = np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0)
     at = np.flatnonzero(kept)
     if not at.size:
         return np.zeros(0, U64), n_words
     begin = np.flatnonzero(first[at])
     lengths = np.diff(np.concatenate((begin, [at.size])))
     position = np.arange(at.size) - np.repeat(begin, lengths)
-    symbols = mix(codes[at].astype(U64) + U64(0x632BE59BD9B4E019))
-    weighted = symbols * _powers(0xD6E8FEB86659FD93 | 1, int(lengths.max()) + 1)[position]
+    weighted = _powers(0xD6E8FEB86659FD93 | 1, int(lengths.max()) + 1)[position]
+    np.multiply(weighted, _mixed(codes[at], 0x632BE59BD9B4E019), out=weighted)
     return mix(np.add.reduceat(weighted, begin) + lengths.astype(U64)), n_words
 
 
@@ -245,8 +256,10 @@ def shingles(word_hashes: np.ndarray, n_words: np.ndarray, size: int) -> tuple[n
 def distinct_per_text(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values within each text, and how many each has."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+    values, at = values.copy(), 0
+    for end in np.cumsum(counts).tolist():
+        values[at:end].sort()
+        at = end
     new = np.ones(values.size, bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     return values[new], np.bincount(owner[new], minlength=len(counts))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from scriptorium.llm import history as H
 from scriptorium.llm import near_copies as N
@@ -84,6 +85,46 @@ def test_deep_nodes_lose_no_pair(spark, monkeypatch):
     assert pairs(wide=5, deep=10) == pairs(wide=5, deep=None) == narrow
 
 
+def test_keys_are_dealt_whole_and_packed():
+    rng, rows = np.random.default_rng(3), 50
+    labels = rng.integers(0, 1 << 48, (rows, N.TREES))
+    labels[7] = labels[9]  # two rows of one node in every tree
+    ids = rng.integers(-(1 << 63), (1 << 63) - 1, rows)
+    ids[:2] = -(1 << 63), (1 << 63) - 1
+    ords, codes = np.arange(rows, dtype=np.int32) * 1000 - 7, np.arange(rows) % 2
+    batch = pa.table({"row_id": ids, "ord": ords, "code": codes.astype(np.int64), "labels": list(labels)}).to_batches()[0]
+    dealt = [x for part in N._dealer(5)(iter([batch.slice(0, 0), batch.slice(0, 20), batch.slice(20)])) for x in part.to_pylist()]
+    assert len(dealt) <= 2 * 5 and {x["part"] for x in dealt} == set(range(5))  # a row for each part of a batch, none for each key
+    found, where = [], {}
+    for x in dealt:
+        keys = np.frombuffer(x["keys"], np.int64).tolist()
+        row, ord_ = (N._unpack(x[f"{c}_least"], x[f"{c}_width"], x[f"{c}s"]).tolist() for c in ("row", "ord"))
+        found += zip(keys, row, ord_, strict=True)
+        assert all(where.setdefault(k >> 16, x["part"]) == x["part"] for k in keys)
+    wanted = [((t * N.MOST_TABLES + int(codes[r])) << 48) + int(labels[r, t]) for r in range(rows) for t in range(N.TREES)]
+    wanted = [(k - (1 << 64) if k >> 63 else k, int(ids[i // N.TREES]), int(ords[i // N.TREES])) for i, k in enumerate(wanted)]
+    assert sorted(found) == sorted(wanted)
+
+
+def test_many_parts_give_the_same_pairs(spark, monkeypatch):
+    reps = N.signatures(frame(spark, corpus(4, 20)))
+
+    def pairs():
+        return {(r["a"], r["b"], r["depth"]) for r in N.candidate_pairs(reps).collect()}
+
+    narrow = pairs()
+    monkeypatch.setattr(N, "PART_KEYS", 200)
+    assert len(narrow) > 10 and pairs() == narrow
+
+
+def test_signing_folds_a_text_once(monkeypatch):
+    calls, folded = [], core.folded
+    monkeypatch.setattr(core, "folded", lambda texts: calls.append(texts) or folded(texts))
+    texts = [sentence(i, 40) for i in range(3)]
+    signed = N._signer([], N.SHINGLE, N.MIN_WORDS)({"src_table": ["t"] * 3, "row_id": [1, 2, 3]}, texts)
+    assert calls == [texts] and signed["row_id"] == [1, 2, 3]
+
+
 def test_sketches_leave_out_no_similar_pair():
     texts = [t for i in range(40) for t in (sentence(i, 60 + 10 * i), edited(sentence(i, 60 + 10 * i), 5 + i, i))]
     grams_, counts = core.distinct_per_text(*core.shingles(*core.words(texts), N.SHINGLE))
